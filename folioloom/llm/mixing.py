@@ -9,12 +9,9 @@ which a coin settles. So a source's words miss its target by less than one docum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioloom.llm._common import WORD, written
@@ -30,14 +27,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     """source, source_size, target: shares of all words by weight, none above ``most`` times its source's words.
 
     What a full source cannot take is shared among the others by weight, again and again until none is above.
-    The loop runs over sources, never documents: one row each, a few windows a round, at most as many rounds as sources.
+    The driver gets one row a source (a mix names its sources, so they are few), never documents. Sources are ordered by
+    code point, null last.
     """
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("i") % len(weights) + 1).cast("int"))
-    ranked = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # Sources are few (20 here); they are ordered by code point, null last.
-    rows = sorted(ranked.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
-    spark = sizes.sparkSession
-    del w
+    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rows = sorted(sums.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     size = [float(r["source_size"] or 0) for r in rows]
     weight = [weights[i % len(weights)] for i in range(len(rows))]
     full: set[int] = set()
@@ -51,7 +45,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
         if not over:
             break
         full |= over
-    return spark.createDataFrame([(r["source"], int(r["source_size"] or 0), t) for r, t in zip(rows, share)], "source string, source_size long, target double")
+    return sizes.sparkSession.createDataFrame([(r["source"], int(r["source_size"] or 0), t) for r, t in zip(rows, share)], "source string, source_size long, target double")
 
 
 def _coin(seed: int, *key) -> float:
@@ -85,7 +79,8 @@ SCHEMA = "doc_id long, size long, source string, source_size long, target double
 
 def _level(rows: DataFrame, seed: int, last: bool) -> DataFrame:
     def settle(group: pa.Table) -> pa.Table:
-        order = sorted(range(group.num_rows), key=lambda i: (hs[i], ids[i] if ids[i] is not None else -1, ss[i])) if (hs := group["h"].to_pylist()) and (ids := group["doc_id"].to_pylist()) and (ss := group["size"].to_pylist()) else []
+        keys = list(zip(group["h"].to_pylist(), group["size"].to_pylist(), group["p"].to_pylist()))
+        order = sorted(range(len(keys)), key=keys.__getitem__)
         group = group.take(pa.array(order, pa.int64()))
         p = pivot(group["doc_id"].to_pylist(), group["size"].to_pylist(), group["p"].to_pylist(), seed, last)
         return group.set_column(group.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
