@@ -79,8 +79,9 @@ SCHEMA = "doc_id long, size long, source string, source_size long, target double
 
 def _level(rows: DataFrame, seed: int, last: bool) -> DataFrame:
     def settle(group: pa.Table) -> pa.Table:
-        keys = list(zip(group["h"].to_pylist(), group["size"].to_pylist(), group["p"].to_pylist()))
-        order = sorted(range(len(keys)), key=keys.__getitem__)
+        # The largest first: what is open at the end is then a small document.
+        keys = list(zip(group["size"].to_pylist(), group["h"].to_pylist(), group["p"].to_pylist()))
+        order = sorted(range(len(keys)), key=lambda i: (-keys[i][0], keys[i][1:]))
         group = group.take(pa.array(order, pa.int64()))
         p = pivot(group["doc_id"].to_pylist(), group["size"].to_pylist(), group["p"].to_pylist(), seed, last)
         return group.set_column(group.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
