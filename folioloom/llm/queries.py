@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm import decontaminate, lines, mixing, onebit, secrets, simhash, substrings, toxicity
+from folioloom.llm import backoff, decontaminate, lines, mixing, onebit, secrets, simhash, substrings, toxicity
 from folioloom.llm._common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,27 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query(
+    "op4_stupid_backoff",
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w FROM documents WHERE text IS NOT NULL),
+     t AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM w),
+     b AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM t),
+     u AS (SELECT w, count(*) AS f FROM t GROUP BY w), ud AS (SELECT doc_id, w, count(*) AS f FROM t GROUP BY ALL),
+     g AS (SELECT p, w, count(*) AS f FROM b WHERE p IS NOT NULL GROUP BY ALL), gd AS (SELECT doc_id, p, w, count(*) AS f FROM b WHERE p IS NOT NULL GROUP BY ALL),
+     n AS (SELECT doc_id, count(*) AS n, (SELECT count(*) FROM t) - count(*) AS others FROM t GROUP BY doc_id),
+     s AS (SELECT b.doc_id, b.i, b.p AS p, others, u.f - ud.f AS fw, up.f - pd.f AS fp, coalesce(g.f - gd.f, 0) AS fg
+           FROM b JOIN n USING (doc_id) JOIN u ON u.w = b.w JOIN ud ON ud.w = b.w AND ud.doc_id = b.doc_id
+           LEFT JOIN u up ON up.w = b.p LEFT JOIN ud pd ON pd.w = b.p AND pd.doc_id = b.doc_id
+           LEFT JOIN g ON g.p = b.p AND g.w = b.w LEFT JOIN gd ON gd.doc_id = b.doc_id AND gd.p = b.p AND gd.w = b.w),
+     r AS (SELECT doc_id, p IS NOT NULL AND fg = 0 AS short, ln(CASE WHEN fg > 0 THEN fg / fp ELSE (CASE WHEN p IS NULL THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END) * (CASE WHEN fw > 0 THEN fw / greatest(others, 1) ELSE 1 / (others + 1.0::DOUBLE) END) END) AS s FROM s),
+     d AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE short) AS n_backoff, sum(s) AS log_score FROM r GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backoff, 0) AS n_backoff, round(coalesce(log_score, 0), 4) AS log_score, round(log_score / n_words, 6) AS mean_log_score FROM documents LEFT JOIN d USING (doc_id)""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = backoff.scores(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_backoff", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 @query("op6_toxicity")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
