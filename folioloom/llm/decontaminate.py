@@ -46,14 +46,8 @@ def _checked(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def contaminated(
-    docs: DataFrame, items: DataFrame, k: int = SHINGLE, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
-) -> DataFrame:
-    """doc_id, item_id, n_items, n_shingles, containment: each document that holds ``share`` or more of an item's shingles.
-
-    item_id is the least id of the items with the same words, n_items how many they are. Items of fewer than k words have no
-    shingle and are found nowhere; nor are null texts. A doc_id with several rows counts by the row that holds most.
-    """
+def _found(docs: DataFrame, items: DataFrame, k: int, share: float, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """doc_id, row_key (a hash of the text), item_id, n (shingles held), n_items, q."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("row_key"), F.col(text_col).cast("string").alias("text"))
     d = d.where(F.col("text").isNotNull())
     texts = items.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col).cast("string")).alias("w")).where(F.size("w") >= k)
@@ -80,6 +74,27 @@ def contaminated(
     hits = hits.join(c, hits["doc_id"].eqNullSafe(c["c_doc"]) & (hits["row_key"] == c["c_row"]) & (hits["item_id"] == c["c_item"]), "left_semi")
     # A row and its exact repeats have one key: distinct shingles are counted once.
     counted = hits.groupBy("doc_id", "row_key", "item_id", "s").agg(F.count("*")).groupBy("doc_id", "row_key", "item_id").agg(F.count("*").alias("n"))
-    held_by = counted.groupBy("doc_id", "item_id").agg(F.max("n").alias("n"))
-    out = held_by.join(_checked(shingled.select("item_id", "n_items", "q")), "item_id").where(F.col("n") >= need)
-    return out.select("doc_id", "item_id", "n_items", F.col("q").cast("long").alias("n_shingles"), (F.col("n") / F.col("q")).alias("containment"))
+    return counted.join(_checked(shingled.select("item_id", "n_items", "q")), "item_id").where(F.col("n") >= need)
+
+
+def contaminated(
+    docs: DataFrame, items: DataFrame, k: int = SHINGLE, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """doc_id, item_id, n_items, n_shingles, containment: each document that holds ``share`` or more of an item's shingles.
+
+    item_id is the least id of the items with the same words, n_items how many they are. Items of fewer than k words have no
+    shingle and are found nowhere; nor are null texts. A doc_id with several rows counts by the row that holds most.
+    """
+    out = _found(docs, items, k, share, id_col, text_col, item_col, item_text_col)
+    out = out.groupBy("doc_id", "item_id").agg(F.max("n").alias("n"), F.max("n_items").alias("n_items"), F.max("q").cast("long").alias("n_shingles"))
+    return out.select("doc_id", "item_id", "n_items", "n_shingles", (F.col("n") / F.col("n_shingles")).alias("containment"))
+
+
+def keep_clean(
+    docs: DataFrame, items: DataFrame, k: int = SHINGLE, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """docs without those that hold an item; all columns as they are."""
+    bad = _found(docs, items, k, share, id_col, text_col, item_col, item_text_col).select(F.col("doc_id").alias("b_id"), F.col("row_key").alias("b_key")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("r_key", F.xxhash64(F.col(f"row.`{text_col}`").cast("string")))
+    same = rows["r_key"].eqNullSafe(bad["b_key"]) & F.col(f"row.`{id_col}`").eqNullSafe(bad["b_id"])
+    return rows.join(bad, same, "left_anti").select("row.*")

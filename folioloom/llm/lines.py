@@ -160,7 +160,7 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, id
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with kept_text, n_lines and n_dropped added; other columns as they are, whatever their names."""
+    """row (a struct of the columns of docs), kept_text, n_lines, n_dropped: one row for each of docs."""
     return _with_kept(docs, bitmaps, id_col, text_col, digest=False)
 
 

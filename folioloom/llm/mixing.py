@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioloom.llm._common import WORD, written
@@ -127,3 +127,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
         open_rows = open_rows.withColumn("chunk", F.pmod("chunk", F.lit(chunks)))
     copies = (F.col("whole") + F.col("p")).cast("long")
     return settled.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), "source")
+
+
+def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs as often as the mix takes them, with mix_copy (from 1), mix_size and mix_target added; others are left out.
+
+    Repeated rows are told apart by a number, so each is taken as often as its own draw says.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = [F.col(f"row.`{c}`") for c in (id_col, source_col)]
+    size = F.coalesce(F.regexp_count(F.col(f"row.`{text_col}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = rows.select("row", own[0].cast("long").alias("r_id"), own[1].cast("string").alias("r_source"), size.alias("r_size"))
+    taken = mix(docs, weights, most, seed, id_col, text_col, source_col)
+    # Rows of one id, source and size: repeats, or texts that share an id. The numbers pair them off.
+    nth = Window.partitionBy("r_id", "r_source", "r_size").orderBy(F.xxhash64(F.col(f"row.`{text_col}`").cast("string")))
+    drawn = Window.partitionBy("doc_id", "source", "size").orderBy("copies")
+    rows = rows.withColumn("nth", F.row_number().over(nth))
+    taken = taken.withColumn("t_nth", F.row_number().over(drawn))
+    same = rows["r_id"].eqNullSafe(taken["doc_id"]) & rows["r_source"].eqNullSafe(taken["source"]) & (rows["r_size"] == taken["size"]) & (rows["nth"] == taken["t_nth"])
+    both = rows.join(taken.where(F.col("copies") > 0), same)
+    return both.select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("mix_copy"), F.col("size").alias("mix_size"), F.col("target").alias("mix_target"))

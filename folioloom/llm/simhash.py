@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioloom.llm._common import as_bytes, bits_of, by_column, written
+from folioloom.llm._common import as_bytes, bits_of, by_column, hashes, mixed, written
 from folioloom.llm.graph import components
 
 #: A list with no more members than this is compared member by member; a longer one by flipping bits.
@@ -163,3 +163,132 @@ def near_duplicates(docs: DataFrame, size: int = 3, most: int = 2, id_col: str =
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+# Near copies by the similarity of their texts. Documents that share 0.8 of their five-word shingles differ in many more than
+# two bits of a fingerprint, so the fingerprint is four times as wide and of the set of words, which edits change least.
+
+#: Bytes of a wide fingerprint; byte positions in a key of the index, and keys of a document; shared bytes and differing
+#: bits a candidate must reach; words of a shingle and the least Jaccard similarity.
+WIDE, KEY_BYTES, KEYS, LEAST_BYTES, MOST_BITS, SHINGLE, SIMILAR = 32, 5, 80, 6, 40, 5, 0.8
+
+
+def wide_fingerprint(words: list[bytes]) -> np.ndarray:
+    """32 bytes: each bit 1 if set in over half of the hashes of the distinct words."""
+    h = hashes(sorted(set(words)))
+    total = np.zeros(8 * WIDE, np.int64)
+    for at in range(0, len(h), 16384):
+        part = h[at : at + 16384]
+        bits = np.stack([mixed(part + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for i in range(WIDE // 8)], axis=1)
+        total += np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(h), bitorder="little")
+
+
+def _key_positions() -> np.ndarray:
+    """For each key the byte positions whose bytes it holds: the same ones for all documents."""
+    rng = np.random.default_rng(5)
+    return np.stack([np.sort(rng.choice(WIDE, KEY_BYTES, replace=False)) for _ in range(KEYS)])
+
+
+def similarity(a: list[bytes], b: list[bytes], size: int = SHINGLE) -> float:
+    """Jaccard similarity of the sets of shingles; fewer words than a shingle's are one shingle."""
+
+    def shingles(w: list[bytes]) -> set:
+        return set(zip(*(w[j:] for j in range(size)))) if len(w) >= size else {tuple(w)}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def near_copies(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row_key, least: of each distinct text (row_key is a hash of the column) the least doc_id of its near copies.
+
+    Two texts are linked if their lower-case words' ``size``-word shingles have a Jaccard similarity of ``similar`` or more, and
+    groups are what links reach. Candidates come from the byte-position index: each document is listed under KEYS keys of KEY_BYTES
+    positional bytes; members of a list are paired in a row and with the first (so a list costs twice its members, however long);
+    a pair's shared positional bytes are tallied over all WIDE bytes, pairs short of LEAST_BYTES or with over MOST_BITS differing
+    bits are dropped, and the rest are verified on the whole texts. A pair at exactly 0.8 is found with about 98 %, a
+    closer one nearly surely. Texts of the same words are one class. Null text has no words, like an empty one.
+    """
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("row_key"), F.col(text_col).cast("string").alias("text"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = xxhash.xxh64_intdigest
+        for ids, keys, texts in by_column(batches, "doc_id", "row_key", "text"):
+            words = [t.lower().split() for t in as_bytes(texts)]
+            same = np.fromiter((h(b" ".join(w)) for w in words), np.uint64, len(words))
+            fps = np.stack([wide_fingerprint(w) for w in words]).reshape(len(words), WIDE)
+            longs = np.ascontiguousarray(fps).view(np.int64)
+            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(bits_of(same)), *(pa.array(longs[:, i].copy()) for i in range(4))], ["doc_id", "row_key", "c", "f0", "f1", "f2", "f3"])
+
+    fields = [f"f{i}" for i in range(4)]
+    found = written(d.mapInArrow(read, "doc_id long, row_key long, c long, f0 long, f1 long, f2 long, f3 long"))
+    classes = written(found.groupBy("c").agg(F.min("doc_id").alias("least"), *[F.min(f).alias(f) for f in fields]))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = _key_positions()
+        weight = (np.uint64(1) << (np.uint64(8) * np.arange(KEY_BYTES, dtype=np.uint64))).astype(np.uint64)
+        for c, *fs in by_column(batches, "c", *fields):
+            fp = np.stack([f.to_numpy() for f in fs], axis=1).view(np.uint8).reshape(len(c), WIDE)
+            for i in range(KEYS):
+                key = (fp[:, at[i]].astype(np.uint64) * weight).sum(axis=1, dtype=np.uint64) + (np.uint64(i) << np.uint64(8 * KEY_BYTES))
+                yield pa.RecordBatch.from_arrays([pa.array(bits_of(key)), c], ["k", "c"])
+
+    postings = classes.mapInArrow(post, "k long, c long").repartition("k").sortWithinPartitions("k", F.xxhash64("c", "k"), "c")
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = first = None  # of the list that may go on: (key, member)
+        for ks, cs in by_column(batches, "k", "c"):
+            k, c = ks.to_numpy(), cs.to_numpy()
+            if last is not None:
+                k, c = np.concatenate([[last[0]], k]), np.concatenate([[last[1]], c])
+            same = k[1:] == k[:-1]
+            start = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(k)), 0))
+            head = c[start]
+            if last is not None:
+                head[start == 0] = first
+            a, b = np.concatenate([c[:-1][same], head[1:][same]]), np.concatenate([c[1:][same]] * 2)
+            last, first = (k[-1], c[-1]), head[-1]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    pairs = postings.mapInArrow(pair, "a long, b long").where(F.col("a") > F.col("b")).distinct()
+    one, two = (classes.select(F.col("c").alias(x), *[F.col(f).alias(x + f) for f in fields]) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b")
+    x = [F.col("a" + f).bitwiseXOR(F.col("b" + f)) for f in fields]
+    tally = sum((v.bitwiseAND(F.lit(_signed(0xFF << 8 * j))) == 0).cast("int") for v in x for j in range(8))
+    bits = sum(F.bit_count(v) for v in x)
+    candidates = written(both.where((tally >= LEAST_BYTES) & (bits <= MOST_BITS)).select("a", "b"))
+
+    # Of each class in a candidate one text, of its least row; the text is all that is read of the documents again.
+    held = candidates.select(F.col("a").alias("c")).unionByName(candidates.select(F.col("b").alias("c"))).distinct()
+    keys = written(found.join(held, "c", "left_semi").groupBy("c").agg(F.min("row_key").alias("t_key"), F.min_by("doc_id", "row_key").alias("t_id")))
+    texts = d.join(keys, (d["row_key"] == keys["t_key"]) & d["doc_id"].eqNullSafe(keys["t_id"])).select("c", "text").dropDuplicates(["c"])
+    texts = written(texts)
+    left = candidates.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
+    left = left.join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, ta, tb in by_column(batches, "a", "b", "ta", "tb"):
+            good = [similarity(u.lower().split(), v.lower().split(), size) >= similar for u, v in zip(as_bytes(ta), as_bytes(tb))]
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    comp = components(left.mapInArrow(verify, "a long, b long"))
+    rooted = written(classes.join(comp, classes["c"] == comp["node"], "left").select("c", "least", F.coalesce("root", "c").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    named = rooted.select("c", "root").join(least, "root").select("c", "least")
+    return found.join(named, "c").groupBy("row_key").agg(F.min("least").alias("least"))
+
+
+def keep_one(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One of docs for each group of near copies: that of the least id (null ids last); all columns as they are.
+
+    Of repeated rows of that id one stays.
+    """
+    groups = near_copies(docs, similar, size, id_col, text_col).select(F.col("row_key").alias("g_key"), F.coalesce(F.col("least").cast("string"), F.lit("null")).alias("least"))
+    key = F.xxhash64(F.col(f"row.`{text_col}`").cast("string"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("r_key", key)
+    mine = F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit("null"))
+    joined = rows.join(groups, rows["r_key"] == groups["g_key"]).where(mine == F.col("least"))
+    # What is left has one id a group, so ties are its repeated rows.
+    return joined.groupBy("least").agg(F.min_by("row", "r_key").alias("row")).select("row.*")
