@@ -150,7 +150,7 @@ def tidy_triple(c: Column) -> Column:
     """``a | b | c``: kept when it has exactly two pipes, else cut lazily at other separators."""
     text = strip(c)
     pipes = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
-    sep = rf"{WS}*(?:\||-|–|—|,|;){WS}*"
+    sep = rf"(?:{WS}*[|–—,;]{WS}*|{WS}+[-–—]{WS}+)"
     pattern = rf"^(.+?)({sep})(.+?)({sep})(.+)$"
     a, b, d = (strip(F.regexp_extract(text, pattern, g)) for g in (1, 3, 5))
     joined = F.concat_ws(" | ", a, b, d)
