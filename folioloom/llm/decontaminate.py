@@ -67,7 +67,8 @@ def _found(docs: DataFrame, items: DataFrame, k: int, share: float, id_col: str,
 
     some = candidates.select(F.col("doc_id").alias("c_doc"), F.col("row_key").alias("c_row")).distinct()
     held = d.join(some, d["doc_id"].eqNullSafe(some["c_doc"]) & (d["row_key"] == some["c_row"]), "left_semi")
-    there = held.select("doc_id", "row_key", F.explode(F.array_distinct(_texts(words_of(F.col("text")), k))).alias("s"))
+    # The words are a column of their own: inside a lambda they would be split again for each shingle.
+    there = held.select("doc_id", "row_key", words_of(F.col("text")).alias("w")).select("doc_id", "row_key", F.explode(F.array_distinct(_texts(F.col("w"), k))).alias("s"))
     wanted = _checked(written(shingled.select("item_id", F.explode("s").alias("s"))))
     c = candidates.select(F.col("doc_id").alias("c_doc"), F.col("row_key").alias("c_row"), F.col("item_id").alias("c_item"))
     hits = there.join(wanted, "s")
