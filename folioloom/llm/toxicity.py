@@ -23,7 +23,7 @@ from folioloom.llm._common import by_column
 #: Labelled documents used at most, those with the least hash of their id: bounds what the driver collects.
 MOST_LABELLED = 6000
 #: Hash buckets of features, features kept, documents a feature must be in, rounds of fitting, weight decay.
-DIMENSIONS, KEPT, LEAST_DOCS, ROUNDS, DECAY = 1 << 20, 2000, 4, 400, 1e-3
+DIMENSIONS, KEPT, LEAST_DOCS, ROUNDS, DECAY = 1 << 20, 1000, 4, 1500, 1e-3
 #: A document is rejected from this expected severity on.
 REJECT = 0.5
 
@@ -63,11 +63,14 @@ class Model:
         return np.diff(upto, prepend=0.0)
 
 
-def graded(toxic: np.ndarray, rate: np.ndarray) -> np.ndarray:
-    """Grades 0, 1, 2 from a yes-no label: toxic documents are severe if their rate of toxic features is above the median."""
+def graded(toxic: np.ndarray, amount: np.ndarray) -> np.ndarray:
+    """Grades 0, 1, 2 from a yes-no label: toxic documents are severe if they have more of toxic features than the median.
+
+    The amount is what the model's features measure; by a share of the text's words, grades would contradict them.
+    """
     if not toxic.any():
         return np.zeros(len(toxic), int)
-    return np.where(toxic > 0, 1 + (rate > np.median(rate[toxic > 0])), 0)
+    return np.where(toxic > 0, 1 + (amount > np.median(amount[toxic > 0])), 0)
 
 
 def _select(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
@@ -81,7 +84,7 @@ def _select(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.
     gain[(a + b) < min(LEAST_DOCS, n1)] = 0
     gain[p1 < p0] = 0  # what marks clean documents would let long ones hide a slur
     best = np.argsort(-gain, kind="stable")[:KEPT]
-    return best[gain[best] > 4]
+    return best[gain[best] > 6]
 
 
 def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray) -> Model:
@@ -93,16 +96,16 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray) -> M
     chosen = _select([d[:2] for d in docs], toxic)
     column = np.full(DIMENSIONS, -1, np.int64)
     column[chosen] = np.arange(len(chosen))
-    row, col, val, rate = [], [], [], np.zeros(len(docs))
-    for i, (at, counts, n) in enumerate(docs):
+    row, col, val, amount = [], [], [], np.zeros(len(docs))
+    for i, (at, counts, _) in enumerate(docs):
         c = column[at]
         keep = c >= 0
         row.append(np.full(keep.sum(), i))
         col.append(c[keep])
         val.append(_value(counts[keep]))
-        rate[i] = counts[keep].sum() / max(1, n)
+        amount[i] = _value(counts[keep]).sum()
     row, col, val = np.concatenate(row), np.concatenate(col), np.concatenate(val)
-    grade = labels if labels.max() > 1 else graded(toxic, rate)
+    grade = labels if labels.max() > 1 else graded(toxic, amount)
     top = int(grade.max())
     w, theta0, gaps = np.zeros(len(chosen)), 1.0, np.zeros(max(0, top - 1))
     # Parameters: weights, the first threshold, the logs of the gaps between thresholds. Adam on all rows.
