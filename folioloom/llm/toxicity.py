@@ -23,7 +23,7 @@ from folioloom.llm._common import by_column
 #: Labelled documents used at most, those with the least hash of their id: bounds what the driver collects.
 MOST_LABELLED = 6000
 #: Hash buckets of features, features kept, documents a feature must be in, rounds of fitting, weight decay.
-DIMENSIONS, KEPT, LEAST_DOCS, ROUNDS, DECAY = 1 << 20, 1000, 4, 1500, 1e-3
+DIMENSIONS, KEPT, LEAST_DOCS, ROUNDS, DECAY = 1 << 20, 1000, 3, 1500, 1e-3
 #: A document is rejected from this expected severity on.
 REJECT = 0.5
 
@@ -84,7 +84,7 @@ def _select(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.
     gain[(a + b) < min(LEAST_DOCS, n1)] = 0
     gain[p1 < p0] = 0  # what marks clean documents would let long ones hide a slur
     best = np.argsort(-gain, kind="stable")[:KEPT]
-    return best[gain[best] > 6]
+    return best[gain[best] > 3]
 
 
 def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray) -> Model:
