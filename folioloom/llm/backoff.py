@@ -126,9 +126,9 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: st
         left = []  # counts of the m-gram that ends at each word in other documents
         for m, g in enumerate(grams):
             at = np.searchsorted(own, g)
-            at[place < m] = 0
-            _, inverse, mine = np.unique(doc * max(1, len(own)) + at, return_inverse=True, return_counts=True)
-            f = (corpus[at] if len(corpus) else np.zeros(len(at))) - mine[inverse]
+            at[place < m] = len(own)  # no n-gram of this length ends here: a number that none has
+            _, inverse, mine = np.unique(doc * (len(own) + 1) + at, return_inverse=True, return_counts=True)
+            f = np.append(corpus, 0.0)[at] - mine[inverse]
             f[place < m] = 0
             left.append(f)
         score = np.where(left[0] > 0, left[0] / np.maximum(others, 1), 1 / (others + 1.0)) if len(doc) else np.empty(0)
