@@ -69,24 +69,24 @@ def _anchor_rows(docs: DataFrame, k: int, a: int) -> DataFrame:
 
 
 #: What an edge has in one text: first place, number of places, least and largest hash of the edges before and after
-#: (0: none); more: further places.
-EDGES = "doc long, edge array<long>, place array<int>, n array<int>, before0 array<long>, before1 array<long>, after0 array<long>, after1 array<long>, more_edge array<long>, more_place array<int>"
+#: (0: none; as signed numbers, which is how Spark compares them); more: further places.
+EDGES = "text_key long, doc long, edge array<long>, place array<int>, n array<int>, before0 array<long>, before1 array<long>, after0 array<long>, after1 array<long>, more_edge array<long>, more_place array<int>"
 
 
 def _edge_rows(rows: DataFrame, k: int, a: int) -> DataFrame:
     """Of each text its distinct windows whose anchor is repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [np.uint64, np.int32, np.int32, np.uint64, np.uint64, np.uint64, np.uint64]
-        for ids, column, repeated in by_column(batches, "doc", "text", "repeated"):
+        kinds = [np.int64, np.int32, np.int32, np.int64, np.int64, np.int64, np.int64]
+        for keys, ids, column, repeated in by_column(batches, "text_key", "doc", "text", "repeated"):
             parts: list[list[np.ndarray]] = [[] for _ in kinds]
             more: list[list[np.ndarray]] = [[], []]
             for t, r in zip(as_bytes(column), repeated):
                 words = hashes(t.split())
                 where, runs = anchors(words, k, a)
                 at = np.flatnonzero(np.isin(runs[where], r.values.to_numpy().view(np.uint64)))
-                e = window_hashes(words, k)
-                padded = np.concatenate([[np.uint64(0)], e, [np.uint64(0)]])
+                e = bits_of(window_hashes(words, k))
+                padded = np.concatenate([[0], e, [0]])
                 order = np.argsort(e[at], kind="stable")  # equal edges stay in order of place
                 at = at[order]
                 own, before, after = e[at], padded[at], padded[at + 2]
@@ -100,9 +100,9 @@ def _edge_rows(rows: DataFrame, k: int, a: int) -> DataFrame:
                 more[0].append(own[rest])
                 more[1].append(at[rest])
             lengths, further = [len(x) for x in parts[0]], [len(x) for x in more[0]]
-            flat = [np.concatenate(x).astype(kind) for x, kind in zip(parts + more, [*kinds, np.uint64, np.int32])]
-            columns = [lists(m, pa.array(bits_of(x) if x.dtype == np.uint64 else x)) for m, x in zip([lengths] * 7 + [further] * 2, flat)]
-            yield pa.RecordBatch.from_arrays([ids, *columns], ["doc", "edge", "place", "n", "before0", "before1", "after0", "after1", "more_edge", "more_place"])
+            flat = [np.concatenate(x).astype(kind) for x, kind in zip(parts + more, [*kinds, np.int64, np.int32])]
+            columns = [lists(m, pa.array(x)) for m, x in zip([lengths] * 7 + [further] * 2, flat)]
+            yield pa.RecordBatch.from_arrays([keys, ids, *columns], ["text_key", "doc", "edge", "place", "n", "before0", "before1", "after0", "after1", "more_edge", "more_place"])
 
     return rows.mapInArrow(run, EDGES)
 
@@ -126,12 +126,13 @@ def _paths(edges: DataFrame, distinct_ids: bool) -> DataFrame:
 
 
 def _places(edges: DataFrame, paths: DataFrame) -> DataFrame:
-    """path (first edge), doc, place, length, source: all places of all paths, source being the earliest."""
-    first = edges.select("doc", F.explode(F.arrays_zip("edge", "place")).alias("e")).select("doc", "e.edge", "e.place")
-    more = edges.select("doc", F.explode(F.arrays_zip(F.col("more_edge").alias("edge"), F.col("more_place").alias("place"))).alias("e")).select("doc", "e.edge", "e.place")
+    """path (first edge), text_key, place, length, source: all places of all paths, source being the earliest."""
+    first = edges.select("text_key", "doc", F.explode(F.arrays_zip("edge", "place")).alias("e")).select("text_key", "doc", "e.edge", "e.place")
+    rest = F.arrays_zip(F.col("more_edge").alias("edge"), F.col("more_place").alias("place"))
+    more = edges.select("text_key", "doc", F.explode(rest).alias("e")).select("text_key", "doc", "e.edge", "e.place")
     heads = paths.select("edge", "length", F.col("doc").alias("s_doc"), F.col("place").alias("s_place"))
     source = (F.col("doc") == F.col("s_doc")) & (F.col("place") == F.col("s_place"))
-    return first.unionByName(more).join(heads, "edge").select(F.col("edge").alias("path"), "doc", "place", "length", source.alias("source"))
+    return first.unionByName(more).join(heads, "edge").select(F.col("edge").alias("path"), "text_key", "place", "length", source.alias("source"))
 
 
 def _removed(n: int, starts: tuple[int, ...], sizes: tuple[int, ...]) -> np.ndarray:
@@ -201,12 +202,12 @@ def dedup(docs: DataFrame, k: int = WINDOW, a: int = ANCHOR, with_text: bool = F
     repeated = flat.select("text_key", "h").join(many, "h").groupBy("text_key").agg(F.collect_set("h").alias("repeated"))
     repeated = written(repeated.join(first, "text_key").select("text_key", F.col("first_doc").alias("doc"), "repeated"))
 
-    edges = written(_edge_rows(d.join(repeated, ["text_key", "doc"]).select("doc", "text", "repeated"), k, a))
+    edges = written(_edge_rows(d.join(repeated, ["text_key", "doc"]).select("text_key", "doc", "text", "repeated"), k, a))
     places = _places(edges, written(_paths(edges, distinct_ids)))
     place = F.struct("path", "place", F.col("length").cast("int").alias("length"), "source")
-    # All of a document's places: no more than it has words. What repeats nothing but itself has no later place.
-    of = written(places.groupBy("doc").agg(F.collect_list(place).alias("places")))
-    shown = written(first.join(of, first["first_doc"] == of["doc"], "left").select(F.col("text_key").alias("f_key"), "first_doc", "places"))
+    # All places of a text: no more than it has words.
+    of = written(places.groupBy("text_key").agg(F.collect_list(place).alias("places")))
+    shown = written(first.join(of, "text_key", "left").select(F.col("text_key").alias("f_key"), "first_doc", "places"))
 
     def cut(shown: DataFrame) -> DataFrame:
         rows = d.join(shown, d["text_key"] == shown["f_key"])
