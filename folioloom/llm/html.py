@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -274,7 +275,7 @@ def _neighbours(light: DataFrame, parts: int) -> DataFrame:
     both = dealt.withColumn("ghost", F.lit(False)).unionByName(ghosts)
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([(c, "ascending") for c in order])
+        group = group.take(pc.sort_indices(group, [(c, "ascending") for c in order], null_placement="at_start"))  # as Spark has it
         host, path, key, doubtful, ghost = (group[c].to_pylist() for c in ("host", "path", "row_key", "doubtful", "ghost"))
         keys, shared = [], []
         for i in range(len(key)):

@@ -146,4 +146,5 @@ def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     taken = taken.withColumn("t_nth", F.row_number().over(drawn))
     same = rows["r_id"].eqNullSafe(taken["doc_id"]) & rows["r_source"].eqNullSafe(taken["source"]) & (rows["r_size"] == taken["size"]) & (rows["nth"] == taken["t_nth"])
     both = rows.join(taken.where(F.col("copies") > 0), same)
-    return both.select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("mix_copy"), F.col("size").alias("mix_size"), F.col("target").alias("mix_target"))
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("mix_copy", "mix_size", "mix_target")]  # an earlier mix's go
+    return both.select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("mix_copy"), F.col("size").alias("mix_size"), F.col("target").alias("mix_target"))
