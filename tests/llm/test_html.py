@@ -1,0 +1,68 @@
+import random
+
+from folioloom.llm import html
+
+
+def text_of(page):
+    found = html.blocks_of(page)
+    best = max((k for _, k in found if k), default=0)
+    return [t for t, k in found if k == best and k]
+
+
+def test_what_is_no_article_goes():
+    page = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
+    <header>Site</header><nav><a href="/">Home</a></nav><main><article><h1>Head &amp; tail</h1><p class="ad-slot">buy</p><p>One <b>bold</b>ly &lt;here&gt;<br>and on<p>Two
+    &copy; x<aside>side</aside><form>name<input></form><div id="comments"><p>first!</div><!-- no <p>comment</p> --><ul><li>a<li>b</ul><div role="complementary">role</div><p hidden>h</p></article>
+    <article class="comment">me too</article></main><div class="cookie-notice">cookies</div><footer>foot</footer></body></html>"""
+    assert text_of(page) == ["Head & tail", "One boldly <here> and on", "Two © x", "a", "b"]
+
+
+def test_broken_pages():
+    assert text_of('<article><p>one &amp two <a href="/x') == ["one & two"]
+    assert text_of("<article><p>one</p><script>never closed <p>x") == ["one"]
+    assert text_of("<article><p>a < b and c</p><!-- open") == ["a < b and c"]
+    assert text_of("just text") == ["just text"]
+    assert text_of("") == [] and text_of("<article></article>") == []
+    assert text_of("<article>" + "<div>" * 3000 + "deep" + "</div>" * 10) == ["deep"]
+
+
+def longest(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    return t[-1][-1]
+
+
+def test_common_lines_are_a_longest_common_subsequence():
+    rng = random.Random(0)
+    for _ in range(500):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 15))] for _ in range(2))
+        got = html.common_lines(a, b)
+        rest = iter(b)
+        assert len(got) == len(set(got)) == longest(a, b) and all(x in rest for x in (a[i] for i in got))
+
+
+def test_pages_without_an_article_lose_what_the_nearest_page_has(spark):
+    def page(i, own):
+        return f"<body><div>Menu of the site</div><p>{own}</p><div>Shared foot</div></body>"
+
+    rows = [(i, f"https://Host.example/{'news' if i < 4 else 'shop'}/{i}?q=1", page(i, f"own {i}")) for i in range(8)]
+    rows += [(20, "https://alone.example/x", page(20, "alone")), (21, None, None), (None, "https://host.example/about/us", "<article><p>Menu of the site</p></article>"), (22, "not a url", "")]
+    df = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, part int")
+    for n in ("1", "2", "30"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {r.page_id: (r.url, r.text, r.n_chars) for r in html.main_text(df).collect()}
+        assert {i: got[i][1] for i in range(8)} == {i: f"own {i}" for i in range(8)}
+        assert got[20][1] == "Menu of the site\n\nalone\n\nShared foot"
+        assert got[21] == (None, "", 0) and got[22][1] == "" and got[None][1] == "Menu of the site" and len(got) == 12
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_empty_table(spark):
+    assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_urls():
+    assert html.split_url("HTTPS://user@A.B/c/d/?x#y") == ("a.b", "/c/d")
+    assert html.split_url("//a/b") == ("a", "/b") and html.split_url(None) == ("", "") and html.split_url("x/y?z") == ("", "x/y")
