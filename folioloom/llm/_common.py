@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Fixed value: a word, as a Java and Python pattern. bytes.split() cuts at exactly the other characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting by which an execution's shuffle files are removed at its end.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -48,17 +51,18 @@ def _delete_all() -> None:
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: lineage is cut, and lost executors cost no work done before.
 
-    The files of a step that is over are deleted when the driver ends. Its shuffle files go at once:
-    the driver's garbage collector is what tells the executors.
+    Its shuffle files go as soon as it is written. The table itself is deleted when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioloom-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    del df
-    spark.sparkContext._jvm.System.gc()
-    return out
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
