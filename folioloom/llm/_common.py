@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Spark's setting by which an execution's shuffle files are removed at its end.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -65,6 +72,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """What a worker has freed goes back to the system, so that one group's peak does not stay for the next."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioloom.llm._common import BASE, as_bytes, hashes, mixed, written
+from folioloom.llm._common import BASE, as_bytes, hashes, mixed, trim, written
 
 #: Longest n-gram, weight of a shorter context, bytes of text in a block, and bytes for each partition of the count table.
-ORDER, ALPHA, BLOCK_BYTES, PART_BYTES = 2, 0.4, 4 << 20, 8 << 20
+ORDER, ALPHA, BLOCK_BYTES, PART_BYTES = 2, 0.4, 2 << 20, 4 << 20
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -37,11 +37,11 @@ def _numbers(data: bytes, kind: type) -> np.ndarray:
 
 def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Of a block's words: each one's document, its place in it, and the hash of the m-gram that ends with it (m = 1..)."""
-    split = [t.split() for t in texts]
-    lengths = np.array([len(w) for w in split], np.int64)
-    doc = np.repeat(np.arange(len(split)), lengths)
+    each = [hashes(t.split()) for t in texts]  # words themselves are held for one document at a time
+    lengths = np.array([len(w) for w in each], np.int64)
+    doc = np.repeat(np.arange(len(each)), lengths)
     place = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    words = hashes([w for ws in split for w in ws])
+    words = np.concatenate(each)
     out, run = [], np.zeros(len(words), np.uint64)
     for m in range(1, order + 1):
         # The polynomial of the last m words: what is before a document's start is never used.
@@ -86,6 +86,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: st
         runs = [slice(a, b) for a, b in zip(starts[full], ends[full])]
         words = np.zeros(len(full), np.int64)
         words[:1] = len(doc)  # a block's words are told once
+        trim()
         return pa.table(
             {
                 "part": pa.array(full, pa.int32()),
@@ -109,6 +110,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: st
         back = np.empty(len(every), np.uint64)
         back[order_] = np.repeat(sums, np.diff(np.concatenate([new, [len(every)]])))
         pieces = np.split(back, np.cumsum([len(x) for x in own])[:-1])
+        trim()
         totals = pa.array([zlib.compress(_planes(x), 1) for x in pieces], pa.binary())
         return pa.table({"block": group["block"], "part": group["part"], "totals": totals, "words": group["words"]})
 
@@ -139,8 +141,9 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: st
             seen = able & (left[m] > 0)
             score = np.where(seen, left[m] / np.maximum(context, 1), np.where(able, alpha * score, score))
             short = np.where(seen, False, short | able)
-        log = np.bincount(doc, np.log(score), len(texts))
+        log = np.bincount(doc, np.log(score), len(texts)).astype(float)
         mean = pa.array(log / np.maximum(n_words, 1), mask=n_words == 0)
+        trim()
         return pa.table({"doc_id": group["doc_id"], "n_words": pa.array(n_words), "n_backoff": pa.array(np.bincount(doc, short, len(texts)).astype(np.int64)), "log_score": pa.array(log), "mean_log_score": mean})
 
     left = d.groupBy("block").cogroup(totals.groupBy("block"))
