@@ -27,7 +27,7 @@ def diff(now: DataFrame, before: DataFrame) -> DataFrame:
 
 def chunks(files: DataFrame, by_sentence: bool = False) -> DataFrame:
     """corpus, source_file, chunk_index, text: passages of text files; bytes that are no UTF-8 are left out."""
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "�", "") if dict(files.dtypes)["content"] == "binary" else F.col("content")
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")) if dict(files.dtypes)["content"] == "binary" else F.col("content")
     parts = paragraphs_of(text)
     if by_sentence:
         parts = F.flatten(F.transform(parts, passage_sentences))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import json
 import os
+import re
 import tempfile
 import uuid
 
@@ -102,6 +103,11 @@ def folder_name(run: str) -> str:
     return flat or "unknown_run"
 
 
+def literal(path: str) -> str:
+    """A path for readers, which take brackets and stars for patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def snapshot(tables: dict[str, DataFrame], root: str, run: str, saved_at: float, options: dict) -> str:
     """All result tables of a run in a folder named after it, beside its options; an older one of that name is replaced."""
     at = f"{root.rstrip('/')}/{folder_name(run)}"

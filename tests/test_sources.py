@@ -1,0 +1,115 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from folioloom.operators import blocks, layout
+from folioloom.sources import documents, store
+from folioloom.streaming.snippets import extract_stream, stream_snippets
+
+
+def test_files(spark, tmp_path):
+    for name in ("a/x.txt", "a/deep/y.MD", "a/README.md", "a/deep/readme.md", ".hidden/z.txt", "b/z.pdf", "b/z.png"):
+        p = tmp_path / "root" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(name)
+    got = {(r.corpus, r.source_file) for r in documents.corpus_files(spark, str(tmp_path / "root")).collect()}
+    assert got == {("a", "x.txt"), ("a", "deep/y.MD"), ("a", "deep/readme.md"), ("b", "z.pdf")}
+    assert documents.pdf_files(spark, str(tmp_path / "root/b")).count() == 1
+    with pytest.raises(Exception):
+        documents.pdf_files(spark, str(tmp_path / "root/a"))
+
+
+def test_words_of_markup(spark):
+    xml = '<page width="1"><word xMin="1" xMax="2" yMin="3" yMax="4">e&amp;ﬁ</word><word xMin="x" xMax="2" yMin="3" yMax="4">bad</word><word xMin="1" xMax="2" yMin="3" yMax="4"> </word></page><page></page>'
+    got = documents.words_of_markup(spark.createDataFrame([("d", xml), ("n", None)], "doc string, xml string")).collect()
+    assert [tuple(r) for r in got] == [("d", 1, 0, 1.0, 2.0, 3.0, 4.0, "e&fi")]
+    files = spark.createDataFrame([("p", b"not a pdf")], "path string, content binary")
+    assert documents.pdf_markup(files).head().xml is None
+
+
+def test_json_lines(spark, tmp_path):
+    p = tmp_path / "x.jsonl"
+    p.write_text('{"a": 1}\n\n{bad\n{"a": 2, "b": 3}\n')
+    assert sorted(r.a for r in store.read_jsonl(spark, str(p), "a int").collect()) == [1, 2] and store.count_lines(spark, str(p)) == 3
+    store.append_jsonl(spark.createDataFrame([(5,)], "a int"), str(tmp_path / "out"))
+    store.append_jsonl(spark.createDataFrame([(6,)], "a int"), str(tmp_path / "out"))
+    assert sorted(r.a for r in store.read_jsonl(spark, str(tmp_path / "out"), "a int").collect()) == [5, 6]
+    store.write_json_atomic(str(tmp_path / "d.json"), {"é": 1})
+    assert json.loads((tmp_path / "d.json").read_text()) == {"é": 1} and not list(tmp_path.glob("*.tmp"))
+    none = spark.createDataFrame([], "a int")
+    assert store.read_json(spark, str(tmp_path / "nowhere.json"), "a int", none) is none
+
+
+def test_clusters_and_snapshots(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2, 2), (2, 2, 2), (3, 10, 2), (4, 10, 2), (5, 11, 1)], "seq long, cluster_id long, size long")
+    store.write_clusters(rows, str(tmp_path / "c"))
+    assert [r.seq for r in store.read_clusters(spark, str(tmp_path / "c")).collect()] == [1, 2, 3, 4]
+    assert [r.seq for r in store.read_clusters(spark, str(tmp_path / "c"), lexical=True).collect()] == [3, 4, 1, 2]
+    assert [r.seq for r in store.read_isolated(spark, str(tmp_path / "c")).collect()] == [5]
+    for _ in range(2):
+        at = store.snapshot({"rows": rows}, str(tmp_path / "s"), "m/x[norag]", 1.5, {"a": 1})
+    assert at.endswith("m__x[norag]") and spark.read.parquet(store.literal(at) + "/rows").count() == 5 and spark.read.json(store.literal(at) + "/run_meta").head().saved_at == 1.5
+    assert store.folder_name("\x00") == "unknown_run"
+
+
+def test_stream_answers_each_snippet_once(spark, tmp_path):
+    schema = "source_pdf string, paragraph_index int, text string"
+    path, out, log, cp = (str(tmp_path / x) for x in ("in", "out", "log", "cp"))
+
+    def go():
+        extract_stream(stream_snippets(spark, path, schema), lambda df: df.withColumn("n", F.length("text")), out, log, cp).awaitTermination()
+
+    spark.createDataFrame([("a", 1, "x"), ("a", 2, "yy"), ("a", 1, "x")], schema).write.parquet(path)
+    go()
+    spark.createDataFrame([("a", 2, "yy"), ("b", 1, "z")], schema).write.mode("append").parquet(path)
+    go()
+    assert sorted((r.source_pdf, r.paragraph_index) for r in spark.read.parquet(out).collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def words(spark, rows):
+    return spark.createDataFrame([("d", p, i, float(x), float(x + w), float(y), float(y + 10), t) for i, (p, x, w, y, t) in enumerate(rows)], documents.WORDS)
+
+
+def test_layout_of_a_two_column_page(spark):
+    rows = []
+    for y in range(25):
+        for c, x0 in enumerate((0, 300)):
+            rows += [(1, x0 + 50 * k + 17 * (y % 3), 45, 100 + 12 * y, f"{'lr'[c]}{y}.{k}") for k in range(4)]
+    got = layout.group_lines(layout.split_columns(words(spark, rows))).orderBy("column", "line_no").collect()
+    assert [r.column for r in got] == ["L"] * 25 + ["R"] * 25 and got[0].text == "l0.0 l0.1 l0.2 l0.3" and got[25].text.startswith("r0.0")
+
+
+def test_lines_are_anchored_at_their_first_word(spark):
+    rows = [(1, 0, 5, 0, "a"), (1, 10, 5, 4, "b"), (1, 20, 5, 8, "c"), (1, 30, 5, 9, "d")]
+    got = layout.group_lines(words(spark, rows), ["doc", "page"]).orderBy("line_no").collect()
+    assert [r.text for r in got] == ["a b", "c d"]
+
+
+def test_running_lines_and_whole_documents(spark):
+    rows = []
+    for p in range(1, 5):
+        rows += [(p, 0, 60, 0, "Journal"), (p, 70, 20, 0, str(p))]
+        rows += [(p, 10 * k + 3 * (y % 3), 9, 200 + 12 * y, f"w{chr(96 + p)}{chr(97 + y)}{chr(97 + k)}") for y in range(20) for k in range(8)]
+    rows += [(4, 0, 80, 600, "References"), (4, 0, 40, 640, "Smith")]
+    w = words(spark, rows)
+    whole = layout.group_lines(w, ["doc", "page"])
+    assert [r.form for r in layout.running_lines(whole).collect()] == ["journal #"]
+    text = " ".join(r.text for r in layout.blocks_from_words(w).orderBy("block_no").collect())
+    assert "Journal" not in text and "Smith" not in text and "waaa" in text and "wdth" in text
+
+
+def test_text_pages_to_blocks(spark):
+    pages = documents.text_pages(spark.createDataFrame([("d", "A well-known\nfact of the inter-\nnational kind and\n\n42\n\ngoes on here.\fNext page; it\nis well-\nknown.\n\nReferences\nSmith")], "doc string, text string"))
+    from folioloom.functions.text import is_header_or_footer
+
+    got = blocks.blocks_from_text(pages, lambda line: is_header_or_footer(line, [], [])).orderBy("block_no").collect()
+    assert [(r.page, r.text) for r in got] == [(1, "A well-known fact of the international kind and goes on here."), (2, "Next page; it is well-known.")]
+
+
+def test_front_matter_and_references(spark):
+    rows = [("a", 1, 1, "Title"), ("a", 2, 1, "1 Introduction Here we go"), ("a", 3, 2, "Body"), ("a", 4, 9, "References Smith"), ("b", 1, 1, "References"), ("b", 2, 4, "Introduction"), ("b", 3, 5, "x")]
+    got = blocks.body_only(spark.createDataFrame(rows, "doc string, block_no int, page int, text string")).orderBy("doc", "block_no").collect()
+    assert [(r.doc, r.text) for r in got] == [("a", "Here we go"), ("a", "Body"), ("b", "References"), ("b", "Introduction"), ("b", "x")]
+    both = blocks.paragraphs(spark.createDataFrame([("g", 1, 1, "x" * 80)], "doc string, block_no int, page int, text string"), spark.createDataFrame([("g", 1, 1, "y" * 90), ("t", 1, 1, "z" * 90), ("t", 2, 1, "short")], "doc string, block_no int, page int, text string"))
+    assert sorted((r.doc, r.text[0]) for r in both.collect()) == [("g", "x"), ("t", "z")]
