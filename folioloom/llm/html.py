@@ -37,8 +37,11 @@ MARKS = set(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner banners "
     "sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs toc footer masthead comment comments commentlist respond disqus reply replies "
     "notice notices cookie cookies consent gdpr alert alerts popup popups modal overlay newsletter subscribe subscription signup login "
-    "share sharing social related recommended recommendations widget widgets toolbar pagination pager disclaimer copyright paywall".split()
+    "share sharing social related recommended recommendations widget widgets toolbar pagination pager disclaimer copyright paywall search searchbox skip discussion".split()
 )
+# Whole classes or ids of a page's head, and of what holds its text where no element says so.
+HEADS = set("header site-header page-header top-header global-header main-header header-top".split())
+CONTENT = set("content main-content page-content article article-body article-content article-text post post-body post-content entry entry-content story story-body main-text body-text body-content".split())
 #: Classes of these are not judged: they hold everything.
 HOLDERS = {"html", "body", "main"}
 
@@ -52,27 +55,33 @@ _URL = re.compile(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)([^?#]
 STRUCTURE, DOUBTFUL, MAIN, ARTICLE = range(4)
 
 
-def _marked(attributes: str, tag: str) -> bool:
-    """Whether the element is no part of an article, by its role, class, id or style."""
+def _told(attributes: str, tag: str, inside: bool) -> int | None:
+    """What role, class, id or style tell of an element: STRUCTURE if it is no part of an article, MAIN or ARTICLE if it holds the text, or nothing."""
     if not attributes.strip():
-        return False
-    at = {}
+        return None
+    at: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attributes):
-        name = (m[1] or m[5]).lower()
-        at.setdefault(name, unescape(m[2] or m[3] or m[4] or ""))
-    if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(at.get("style", "")):
-        return True
-    if at.get("role", "").lower().strip() in ROLES:
-        return True
+        at.setdefault((m[1] or m[5]).lower(), unescape(m[2] or m[3] or m[4] or ""))
+    role = at.get("role", "").lower().strip()
+    if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(at.get("style", "")) or role in ROLES:
+        return STRUCTURE
+    if role in ("main", "article"):
+        return MAIN if role == "main" else ARTICLE
     if tag in HOLDERS:
-        return False
+        return None
+    found = None
     for name in (at.get("class", "") + " " + at.get("id", "")).split():
         parts = [p for p in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if p]
+        whole = "-".join(parts)
+        if whole in HEADS and not inside:
+            return STRUCTURE
         if parts and parts[0] not in ("no", "has", "with", "without") and (parts[0] in MARKS or parts[-1] in MARKS):
             if tag == "article" and not {"comment", "comments", "reply"} & {parts[0], parts[-1]}:
                 continue
-            return True
-    return False
+            return STRUCTURE
+        if whole in CONTENT and tag in ("div", "section", "td"):
+            found = MAIN
+    return found
 
 
 def blocks_of(html: str) -> list[tuple[str, int]]:
@@ -151,11 +160,12 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
         now = kind
         if kind != STRUCTURE:
             inside = kind in (ARTICLE, MAIN)
-            if tag in DROPPED or _marked(attributes, tag) or (tag == "header" and not inside):
+            told = STRUCTURE if tag in DROPPED or (tag == "header" and not inside) else _told(attributes, tag, inside)
+            if told == STRUCTURE:
                 now = STRUCTURE
-            elif tag == "article":
+            elif tag == "article" or told == ARTICLE:
                 now = ARTICLE
-            elif tag == "main" and kind != ARTICLE:
+            elif (tag == "main" or told == MAIN) and kind != ARTICLE:
                 now = MAIN
         if now != kind:
             flush()

@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     got = rows.mapInArrow(run, "doc_id long, grade int, at array<int>, counts array<int>, n long").toArrow()
     at, counts = (got[c].combine_chunks() if got.num_rows else None for c in ("at", "counts"))
     order = sorted(range(got.num_rows), key=lambda i: (ids[i], n[i])) if (ids := got["doc_id"].to_pylist()) and (n := got["n"].to_pylist()) else []
-    found = [(at[i].values.to_numpy().astype(np.int64), counts[i].values.to_numpy().astype(float), n[i]) for i in order]
+    found = [(at[i].values.to_numpy(), counts[i].values.to_numpy(), n[i]) for i in order]  # views of what was collected
     return fit(found, got["grade"].to_numpy()[order] if order else np.array([], int))
 
 

@@ -17,6 +17,13 @@ def test_what_is_no_article_goes():
     assert text_of(page) == ["Head & tail", "One boldly <here> and on", "Two © x", "a", "b"]
 
 
+def test_the_text_may_be_told_by_a_role_or_class():
+    rest = '<div id="siteHeader">Site</div><div class="links"><a>x</a></div>{}<div>foot</div>'
+    for hold in ('<div id="content">{}</div>', '<div role="main">{}</div>', '<section class="wide post-body">{}</section>', '<div role="article">{}</div>'):
+        assert text_of(rest.format(hold.format("<p>one</p><div class=search-box>find</div>two"))) == ["one", "two"]
+    assert text_of(rest.format("<p>one</p>")) == ["x", "one", "foot"]
+
+
 def test_broken_pages():
     assert text_of('<article><p>one &amp two <a href="/x') == ["one & two"]
     assert text_of("<article><p>one</p><script>never closed <p>x") == ["one"]
