@@ -53,6 +53,8 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _URL = re.compile(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)([^?#]*)")
 
 STRUCTURE, DOUBTFUL, MAIN, ARTICLE = range(4)
+#: Inside an inline element that is no part of the article: its text is left out and the block goes on.
+HIDDEN = -1
 
 
 def _told(attributes: str, tag: str, inside: bool) -> int | None:
@@ -88,26 +90,39 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
     """(text, kind) of each non-empty block in page order; structure is what is dropped whatever else the page has."""
     out: list[tuple[str, int]] = []
     buffer: list[str] = []
-    stack: list[tuple[str, int]] = []  # open elements with the kind of what they hold
-    kind = DOUBTFUL
+    # Open elements with the kind of what they hold, and how many there are of each tag. Inline elements outside structure
+    # change nothing and are not held, so unclosed ones do not pile up.
+    stack: list[tuple[str, int]] = []
+    opened: dict[str, int] = {}
+    kind = of = DOUBTFUL  # of: the kind of what is in the buffer
     at = 0
 
+    def add(text: str) -> None:
+        nonlocal of
+        if kind != HIDDEN:
+            of = of if buffer else kind
+            buffer.append(text)
+
     def flush() -> None:
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                out.append((text, kind))
+                out.append((text, of))
             buffer.clear()
 
     def pop_to(n: int) -> None:
         nonlocal kind
-        if any(t in BLOCKS or t in DROPPED for t, _ in stack[n:]):
+        if any(k != HIDDEN and (t in BLOCKS or t in DROPPED or k != (stack[n - 1][1] if n else DOUBTFUL)) for t, k in stack[n:]):
             flush()
+        for t, _ in stack[n:]:
+            opened[t] -= 1
         del stack[n:]
         kind = stack[-1][1] if stack else DOUBTFUL
 
     def close(tags: tuple[str, ...], until: tuple[str, ...]) -> None:
         """What a start tag ends by itself."""
+        if not any(opened.get(t) for t in tags):
+            return None
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in tags:
                 return pop_to(i)
@@ -118,7 +133,7 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
         m = _MARKUP.search(html, at)
         text = html[at : m.start()] if m else html[at:]
         if text:
-            buffer.append(unescape(text))
+            add(unescape(text))
         if not m:
             break
         at = m.end()
@@ -126,13 +141,10 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-            else:
-                if tag in ("p", "br"):
-                    flush()
+            if opened.get(tag):
+                pop_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+            elif tag == "p" and kind != HIDDEN:
+                flush()
             continue
         attributes = m[3] if m[3] is not None else m[4] or ""
         if tag in RAW:
@@ -141,10 +153,10 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
             if end:
                 at = html.find(">", end.start()) + 1 or len(html)
             if tag != "noscript":
-                buffer.append("" if tag in ("script", "style", "template") else " ")
+                add("" if tag in ("script", "style", "template") else " ")
             continue
         if tag in ("br", "wbr", "td", "th"):
-            buffer.append("" if tag == "wbr" else " ")
+            add("" if tag == "wbr" else " ")
         if tag in BLOCKS:
             close(("p",), ("table", "td", "th", "button", "object", "article", "section", "div", "li", "blockquote", "body"))
         if tag == "li":
@@ -153,25 +165,28 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
             close(("dt", "dd"), ("dl",))
         elif tag == "tr":
             close(("tr",), ("table",))
-        if tag in BLOCKS or tag in DROPPED:
+        if (tag in BLOCKS or tag in DROPPED) and kind != HIDDEN:
             flush()
         if tag in VOID:
             continue
         now = kind
-        if kind != STRUCTURE:
+        if kind not in (STRUCTURE, HIDDEN):
             inside = kind in (ARTICLE, MAIN)
             told = STRUCTURE if tag in DROPPED or (tag == "header" and not inside) else _told(attributes, tag, inside)
             if told == STRUCTURE:
-                now = STRUCTURE
+                now = STRUCTURE if tag in BLOCKS or tag in DROPPED else HIDDEN
             elif tag == "article" or told == ARTICLE:
                 now = ARTICLE
             elif (tag == "main" or told == MAIN) and kind != ARTICLE:
                 now = MAIN
-        if now != kind:
+        if now != kind and now != HIDDEN:
             flush()
-        if not (tag not in BLOCKS and attributes.rstrip().endswith("/")):
-            stack.append((tag, now))
-            kind = now
+        inline = tag not in BLOCKS and tag not in DROPPED
+        if inline and (attributes.rstrip().endswith("/") or now == kind and kind not in (STRUCTURE, HIDDEN)):
+            continue
+        stack.append((tag, now))
+        opened[tag] = opened.get(tag, 0) + 1
+        kind = now
     flush()
     return out
 

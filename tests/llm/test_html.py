@@ -30,6 +30,8 @@ def test_broken_pages():
     assert text_of("<article><p>a < b and c</p><!-- open") == ["a < b and c"]
     assert text_of("just text") == ["just text"]
     assert text_of("") == [] and text_of("<article></article>") == []
+    assert text_of('<article><p>so <span class="ad">no <span>no</span> no</span> yes <b>bold</p><p>a <i hidden>b<p>c</article><p>d') == ["so yes bold", "a", "c"]
+    assert text_of("<article>" + "<p><b>x<br>" * 20000 + "</b>" * 20000) == ["x"] * 20000
     assert text_of("<article>" + "<div>" * 3000 + "deep" + "</div>" * 10) == ["deep"]
 
 
