@@ -393,9 +393,12 @@ def _candidates(spark, sf_dir):
     )
 
 
-@query("relation_validate")
+@query("relation_validate", r"""WITH d AS (SELECT doc_id, doc_id % 7 AS k, list_filter(regexp_split_to_array(regexp_replace(lower(text[1:2000]), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda x: length(x) > 3) AS w FROM documents WHERE doc_id % 3 = 0)
+ SELECT doc_id, CASE k WHEN 1 THEN NULL WHEN 2 THEN 'ho' ELSE 'part_of' END AS name, CASE k WHEN 4 THEN 'subsumption' ELSE 'Subsumption' END AS relation_type,
+  CASE k WHEN 5 THEN 'only two | parts' WHEN 6 THEN 'entity | part of | object' ELSE coalesce(w[1], 'zzzz') || ' | part of | ' || coalesce(w[2], 'zzzz') END AS usage_example,
+  CASE k WHEN 0 THEN CASE WHEN len(w) < 2 THEN 'not_in_source' END WHEN 1 THEN 'missing_field' WHEN 2 THEN 'predicate_differs' WHEN 3 THEN 'empty_field' WHEN 4 THEN 'unknown_class' WHEN 5 THEN 'no_triple' ELSE 'placeholder' END AS reject_reason FROM d""")
 def relation_validate(spark, sf_dir):
-    return validate.check_relations(_candidates(spark, sf_dir), source=F.col("text")).drop("text")
+    return validate.check_relations(_candidates(spark, sf_dir), source=F.col("text")).select("doc_id", "name", "relation_type", "usage_example", "reject_reason")
 
 
 @query("run_counters", """SELECT CASE doc_id % 7 WHEN 1 THEN 'missing_field' WHEN 2 THEN 'no_triple' WHEN 3 THEN 'empty_field' WHEN 4 THEN 'unknown_class' WHEN 5 THEN 'no_triple' WHEN 6 THEN 'placeholder' END AS reject_reason, count(*) AS n FROM documents WHERE doc_id % 3 = 0 AND doc_id % 7 NOT IN (0, 2) GROUP BY ALL""")
