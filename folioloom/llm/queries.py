@@ -24,9 +24,18 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-@query("op1_substring_dedup")
+@query(
+    "op1_substring_dedup",
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+     p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM w WHERE len(w) >= 20),
+     f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY md5(array_to_string(w[p:p+19], ' ')) ORDER BY doc_id, p) > 1 AS later FROM p),
+     c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM f WHERE later),
+     t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+     r AS (SELECT t.doc_id, t.i, word, c.i IS NOT NULL AS gone FROM t LEFT JOIN c ON c.doc_id = t.doc_id AND c.i = t.i)
+SELECT w.doc_id, count(word) AS n_words, count(word) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM w LEFT JOIN r ON r.doc_id = w.doc_id GROUP BY w.doc_id""",
+)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", "removed")
+    return substrings.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 @query("op2_simhash_near_dedup")
