@@ -241,7 +241,23 @@ def grounding(spark, sf_dir):
     return both.select("conv_id", "turn", "phrase", is_in_source(F.col("phrase"), F.col("source")).alias("grounded"))
 
 
-@query("condense")
+def _condensed(sentences: int, chars: int) -> str:
+    """Fixed SQL: the leading sentences of ``t`` within so many characters; chr(2) marks the end once one does not fit."""
+    parts = SENTENCES.format("t")
+    joined = f"replace(list_reduce(({parts})[1:{sentences}], lambda a, x: CASE WHEN ends_with(a, chr(2)) THEN a WHEN length(a) + 1 + length(x) <= {chars} THEN a || ' ' || x ELSE a || chr(2) END), chr(2), '')"
+    at = "length(h) - strpos(reverse(h), reverse('{0}')) - length('{0}') + 1"
+
+    def cut(mark: str) -> str:
+        return f"WHEN contains(h, '{mark}') AND {at.format(mark)} >= {int(chars * 0.6)} THEN left(h, {at.format(mark)})"
+
+    return (
+        f"(SELECT CASE WHEN z = '' OR regexp_matches(z, '[.!?]$') THEN z ELSE z || '.' END FROM (SELECT regexp_replace(CASE WHEN length(j) <= {chars} THEN j {cut('; ')} {cut(', ')} WHEN contains(h, ' ') THEN left(h, {at.format(' ')}) ELSE h END, '[ ,;:\\-—]+$', '') AS z"
+        f" FROM (SELECT j, left(j, {chars}) AS h FROM (SELECT coalesce({joined}, '') AS j))))"
+    )
+
+
+@query("condense", rf"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
+ SELECT doc_id, {_condensed(*validate.DESCRIPTION)} AS description, {_condensed(*validate.DEFINITION)} AS definition FROM d""")
 def condense(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", tx.condense(F.col("text"), *validate.DESCRIPTION).alias("description"), tx.condense(F.col("text"), *validate.DEFINITION, True).alias("definition"))
@@ -473,7 +489,7 @@ def _stub() -> model.Stub:
     return model.Stub(_stub_answer)
 
 
-@query("json_relations")
+@query("json_relations", "SELECT conv_id, turn, CASE turn % 4 WHEN 2 THEN 'empty' WHEN 3 THEN 'unreadable' ELSE 'read' END AS status, CASE WHEN turn % 4 < 2 THEN 1 ELSE 0 END::INTEGER AS n FROM conversations")
 def json_relations(spark, sf_dir):
     c, k = table(spark, sf_dir, "conversations"), F.col("turn") % 4
     good = F.to_json(F.struct(F.array(F.struct(F.lit("part of").alias("name"), F.col("text").alias("description"), F.col("role").alias("definition"))).alias("relations")))
