@@ -224,6 +224,7 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE,
     fields = [f"f{i}" for i in range(4)]
     found = written(d.mapInArrow(read, "doc_id long, row_key long, c long, f0 long, f1 long, f2 long, f3 long"))
     classes = written(found.groupBy("c").agg(F.min("doc_id").alias("least"), *[F.min(f).alias(f) for f in fields]))
+    texts_of = written(found.groupBy("c", "row_key").agg(F.min("doc_id").alias("doc_id")))  # copies are one row before anything is joined
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = _key_positions()
@@ -262,7 +263,8 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE,
 
     # Of each class in a candidate one text, of its least row; the text is all that is read of the documents again.
     held = candidates.select(F.col("a").alias("c")).unionByName(candidates.select(F.col("b").alias("c"))).distinct()
-    keys = written(found.join(held, "c", "left_semi").groupBy("c").agg(F.min("row_key").alias("t_key"), F.min_by("doc_id", "row_key").alias("t_id")))
+    keys = texts_of.groupBy("c").agg(F.min("row_key").alias("t_key"), F.min_by("doc_id", "row_key").alias("t_id"))
+    keys = written(keys.join(held, "c", "left_semi"))
     texts = d.join(keys, (d["row_key"] == keys["t_key"]) & d["doc_id"].eqNullSafe(keys["t_id"])).select("c", "text").dropDuplicates(["c"])
     texts = written(texts)
     left = candidates.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
@@ -277,7 +279,7 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE,
     rooted = written(classes.join(comp, classes["c"] == comp["node"], "left").select("c", "least", F.coalesce("root", "c").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("least"))
     named = rooted.select("c", "root").join(least, "root").select("c", "least")
-    return found.join(named, "c").groupBy("row_key").agg(F.min("least").alias("least"))
+    return texts_of.join(named, "c").select("row_key", "least")
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
