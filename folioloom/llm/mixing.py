@@ -20,7 +20,7 @@ from folioloom.llm._common import WORD, written
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 #: Documents in a chunk of the tree, and chunks that meet in one of the next level.
-CHUNK, FAN_IN = 512, 64
+CHUNK, FAN_IN = 128, 64
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
