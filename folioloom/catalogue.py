@@ -16,6 +16,7 @@ from folioloom.operators import checkpoint, index, layout, notes, resolve, retri
 from folioloom.plans import answers, knowledge, model, prompts
 from folioloom.plans.run import Options
 from folioloom.sources.documents import text_pages
+from folioloom.sources.store import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -221,7 +222,7 @@ PARAGRAPHS = f"""WITH {WORDS}, l AS (SELECT doc, page, min(x_min) AS x_min, max(
 
 @query("paragraph_grouping", PARAGRAPHS)
 def paragraph_grouping(spark, sf_dir):
-    lines = layout.group_lines(_words(spark, sf_dir), ["doc", "page"])
+    lines = written(layout.group_lines(_words(spark, sf_dir), ["doc", "page"]))  # read three times
     return layout.group_paragraphs(lines, ["doc", "page"]).select("doc", "page", "line_no", "paragraph")
 
 
