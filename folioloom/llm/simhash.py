@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioloom.llm._common import as_bytes, bits_of, by_column, hashes, mixed, written
+from folioloom.llm._common import as_bytes, bits_of, by_column, hashes, lists, mixed, window_hashes, written
 from folioloom.llm.graph import components
 
 #: A list with no more members than this is compared member by member; a longer one by flipping bits.
@@ -166,11 +166,15 @@ def near_duplicates(docs: DataFrame, size: int = 3, most: int = 2, id_col: str =
 
 
 # Near copies by the similarity of their texts. Documents that share 0.8 of their five-word shingles differ in many more than
-# two bits of a fingerprint, so the fingerprint is four times as wide and of the set of words, which edits change least.
+# two bits of a fingerprint. A fingerprint four times as wide, of the set of words, finds most of them; a prefix filter on the shingles
+# themselves then finds every pair that is left between two groups.
 
 #: Bytes of a wide fingerprint; byte positions in a key of the index, and keys of a document; shared bytes and differing
 #: bits a candidate must reach; words of a shingle and the least Jaccard similarity.
 WIDE, KEY_BYTES, KEYS, LEAST_BYTES, MOST_BITS, SHINGLE, SIMILAR = 32, 5, 80, 6, 40, 5, 0.8
+#: Texts in which frequent shingles are looked for, how many must hold one, and how many shingles there are at most. They come
+#: last in the prefix filter's order; any choice of them loses no pair.
+SAMPLE, HELD_BY, FREQUENT = 50_000, 3, 100_000
 
 
 def wide_fingerprint(words: list[bytes]) -> np.ndarray:
@@ -200,17 +204,120 @@ def similarity(a: list[bytes], b: list[bytes], size: int = SHINGLE) -> float:
     return len(x & y) / len(x | y)
 
 
+def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the shingles that ``similarity`` compares."""
+    return np.unique(window_hashes(hashes(words), size) if len(words) >= size else hashes([b" ".join(words)]))
+
+
+def prefix(h: np.ndarray, similar: float, frequent: np.ndarray) -> np.ndarray:
+    """The first of h (sorted, distinct), frequent ones last, of which a set of similarity ``similar`` or more shares at least one among its own."""
+    late = np.isin(h, frequent, assume_unique=True)
+    return np.concatenate([h[~late], h[late]])[: len(h) - int(np.ceil(similar * len(h) - 1e-9)) + 1]
+
+
+def _frequent(d: DataFrame, size: int) -> np.ndarray:
+    """Shingles that HELD_BY or more of a sample of texts hold, the FREQUENT most frequent."""
+    step = max(1, -(-d.count() // SAMPLE))
+    sample = d.where(F.pmod("row_key", F.lit(step)) == 0).select("row_key", "text").dropDuplicates(["row_key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (texts,) in by_column(batches, "text"):
+            for t in as_bytes(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(bits_of(shingle_hashes(t.lower().split(), size)))], ["h"])
+
+    counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= HELD_BY)
+    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
+    return np.sort(top.column("h").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _list_pairs(lists: DataFrame, similar: float) -> DataFrame:
+    """a > b, n and p of both, o: pairs of different roots in a list (h, c, root, n, p, pos), and how many lists hold both.
+
+    All members of a list meet, whose sizes and positions allow the similarity. pos is a shingle's place in the order of its text: so many
+    shingles at most come before it, and so many after.
+    """
+    columns = ["h", "c", "root", "n", "p", "pos"]
+    dealt = lists.select(*columns).repartition("h").sortWithinPartitions("h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, root, n, p, pos in _whole_lists(batches, ["h"], columns[1:]):
+            for i, j in _rows_of_pairs(len(c)):
+                need = similar / (1 + similar) * (n[i] + n[j]) - 1e-6
+                keep = (root[i] != root[j]) & (c[i] != c[j]) & (np.minimum(n[i], n[j]) >= need)
+                keep &= np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
+                i, j = i[keep], j[keep]
+                if len(i):
+                    up = c[i] > c[j]
+                    a, b = np.where(up, i, j), np.where(up, j, i)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[a], c[b], n[a], n[b], p[a], p[b])], ["a", "b", "an", "bn", "ap", "bp"])
+
+    pairs = dealt.mapInArrow(run, "a long, b long, an long, bn long, ap long, bp long")
+    return pairs.groupBy("a", "b", "an", "bn", "ap", "bp").agg(F.count("*").alias("o"))
+
+
+def _rows_of_pairs(m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All i < j under m, some hundred thousand at a time."""
+    at = 0
+    while at < m - 1:
+        to = min(m - 1, at + max(1, 200_000 // (m - at)))
+        width = m - 1 - np.arange(at, to)
+        i = np.repeat(np.arange(at, to), width)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(width) - width, width)
+        at = to
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch], by: list[str], rest: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns ``rest`` of each run of two or more rows that agree in ``by``."""
+    held: list[np.ndarray] | None = None
+
+    def lists(now: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+        new = np.zeros(len(now[0]), bool)
+        new[0] = True
+        for x in now[: len(by)]:
+            new[1:] |= x[1:] != x[:-1]
+        start = np.flatnonzero(new)
+        n = np.diff(np.concatenate([start, [len(new)]]))
+        for at, m in zip(start[n > 1], n[n > 1]):
+            yield [x[at : at + m] for x in now[len(by) :]]
+
+    for cols in by_column(batches, *by, *rest):
+        now = [c.to_numpy(zero_copy_only=False) for c in cols]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now)]
+        last = np.zeros(len(now[0]), bool)
+        for x in now[: len(by)]:
+            last |= x != x[-1]
+        cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0  # the last list may go on in the next batch
+        held = [x[cut:] for x in now]
+        if cut:
+            yield from lists([x[:cut] for x in now])
+    if held is not None:
+        yield from lists(held)
+
+
+def _mixed(lists: DataFrame) -> DataFrame:
+    """Rows of lists whose members are not all of one root. Lists are judged by aggregates, so a large group's are never gathered."""
+    keys = lists.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    return lists.join(keys, "h", "left_semi")
+
+
 def near_copies(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row_key, least: of each distinct text (row_key is a hash of the column) the least doc_id of its near copies.
 
     Two texts are linked if their lower-case words' ``size``-word shingles have a Jaccard similarity of ``similar`` or more, and
-    groups are what links reach. Candidates come from the byte-position index: each document is listed under KEYS keys of KEY_BYTES
-    positional bytes; members of a list are paired in a row and with the first (so a list costs twice its members, however long);
-    a pair's shared positional bytes are tallied over all WIDE bytes, pairs short of LEAST_BYTES or with over MOST_BITS differing
-    bits are dropped, and the rest are verified on the whole texts. A pair at exactly 0.8 is found with about 98 %, a
-    closer one nearly surely. Texts of the same words are one class. Null text has no words, like an empty one.
+    groups are what links reach. Every link between two groups is found, but for collisions of 64-bit hashes:
+
+    1. Links that the byte-position index of wide fingerprints proposes: each document is listed under KEYS keys of KEY_BYTES positional
+       bytes; members of a list are paired in a row and with the first, and pairs short of LEAST_BYTES or with over MOST_BITS
+       differing bits are dropped. This loses pairs; it is there to join most of a large group at a cost that grows with its members.
+    2. Each text is listed under the shingles of its prefix (``prefix``), by which any two similar texts share a list. Lists within one
+       group are dropped. In the others a member of each group is compared with one of the first group.
+    3. In the lists that still have members of two groups all pairs of different groups are tallied and verified.
+
+    Candidates are verified on the whole texts. Texts of the same words are one class. Null text has no words, like an empty one.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("row_key"), F.col(text_col).cast("string").alias("text"))
+    frequent = _frequent(d, size)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh64_intdigest
@@ -219,11 +326,15 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE,
             same = np.fromiter((h(b" ".join(w)) for w in words), np.uint64, len(words))
             fps = np.stack([wide_fingerprint(w) for w in words]).reshape(len(words), WIDE)
             longs = np.ascontiguousarray(fps).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(bits_of(same)), *(pa.array(longs[:, i].copy()) for i in range(4))], ["doc_id", "row_key", "c", "f0", "f1", "f2", "f3"])
+            sets = [shingle_hashes(w, size) for w in words]
+            n = pa.array([len(s) for s in sets], pa.int64())
+            firsts = [bits_of(prefix(s, similar, frequent)) for s in sets]
+            listed = lists([len(f) for f in firsts], pa.array(np.concatenate(firsts)))
+            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(bits_of(same)), *(pa.array(longs[:, i].copy()) for i in range(4)), n, listed], ["doc_id", "row_key", "c", "f0", "f1", "f2", "f3", "n", "prefix"])
 
     fields = [f"f{i}" for i in range(4)]
-    found = written(d.mapInArrow(read, "doc_id long, row_key long, c long, f0 long, f1 long, f2 long, f3 long"))
-    classes = written(found.groupBy("c").agg(F.min("doc_id").alias("least"), *[F.min(f).alias(f) for f in fields]))
+    found = written(d.mapInArrow(read, "doc_id long, row_key long, c long, f0 long, f1 long, f2 long, f3 long, n long, prefix array<long>"))
+    classes = written(found.groupBy("c").agg(F.min("doc_id").alias("least"), *[F.min(f).alias(f) for f in fields], F.min("n").alias("n"), F.first("prefix").alias("prefix")))
     texts_of = written(found.groupBy("c", "row_key").agg(F.min("doc_id").alias("doc_id")))  # copies are one row before anything is joined
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,22 +372,45 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE,
     bits = sum(F.bit_count(v) for v in x)
     candidates = written(both.where((tally >= LEAST_BYTES) & (bits <= MOST_BITS)).select("a", "b"))
 
-    # Of each class in a candidate one text, of its least row; the text is all that is read of the documents again.
-    held = candidates.select(F.col("a").alias("c")).unionByName(candidates.select(F.col("b").alias("c"))).distinct()
-    keys = texts_of.groupBy("c").agg(F.min("row_key").alias("t_key"), F.min_by("doc_id", "row_key").alias("t_id"))
-    keys = written(keys.join(held, "c", "left_semi"))
-    texts = d.join(keys, (d["row_key"] == keys["t_key"]) & d["doc_id"].eqNullSafe(keys["t_id"])).select("c", "text").dropDuplicates(["c"])
-    texts = written(texts)
-    left = candidates.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
-    left = left.join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, ta, tb in by_column(batches, "a", "b", "ta", "tb"):
-            good = [similarity(u.lower().split(), v.lower().split(), size) >= similar for u, v in zip(as_bytes(ta), as_bytes(tb))]
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    comp = components(left.mapInArrow(verify, "a long, b long"))
-    rooted = written(classes.join(comp, classes["c"] == comp["node"], "left").select("c", "least", F.coalesce("root", "c").alias("root")))
+    def verified(candidates: DataFrame) -> DataFrame:
+        """Those of the pairs a, b whose texts are similar."""
+        # Of each class in a candidate one text, of its least row; the text is all that is read of the documents again.
+        held = candidates.select(F.col("a").alias("c")).unionByName(candidates.select(F.col("b").alias("c"))).distinct()
+        keys = texts_of.groupBy("c").agg(F.min("row_key").alias("t_key"), F.min_by("doc_id", "row_key").alias("t_id"))
+        keys = written(keys.join(held, "c", "left_semi"))
+        texts = d.join(keys, (d["row_key"] == keys["t_key"]) & d["doc_id"].eqNullSafe(keys["t_id"])).select("c", "text").dropDuplicates(["c"])
+        texts = written(texts)
+        left = candidates.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
+        left = left.join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for a, b, ta, tb in by_column(batches, "a", "b", "ta", "tb"):
+                good = [similarity(u.lower().split(), v.lower().split(), size) >= similar for u, v in zip(as_bytes(ta), as_bytes(tb))]
+                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+        return written(left.mapInArrow(verify, "a long, b long"))
+
+    def with_root(rows: DataFrame, links: DataFrame) -> DataFrame:
+        comp = components(links)
+        return rows.join(comp, rows["c"] == comp["node"], "left").withColumn("root", F.coalesce("root", "c")).drop("node")
+
+    links = verified(candidates)
+    rooted = written(with_root(classes.select("c", "n", "prefix"), links))
+    listed = rooted.select("c", "root", "n", F.size("prefix").cast("long").alias("p"), F.posexplode("prefix").alias("pos", "h")).withColumn("pos", F.col("pos").cast("long"))
+    mixed = written(_mixed(listed))
+
+    one = mixed.groupBy("h", "root").agg(F.min(F.struct("c", "n")).alias("m"))
+    first = one.groupBy("h").agg(F.min(F.struct("root", "m")).alias("f"))
+    met = one.join(first, "h").where(F.col("root") > F.col("f.root"))
+    met = met.where((F.least("m.n", "f.m.n") + 1e-6 >= F.greatest("m.n", "f.m.n") * similar))
+    ends = [F.col("m.c"), F.col("f.m.c")]
+    links = links.unionByName(verified(written(met.select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b")).distinct())))
+
+    rest = written(_mixed(with_root(mixed.drop("root"), links)))
+    # Of the shingles after the prefix of one of the two texts no more than are there can be shared.
+    least_o = similar / (1 + similar) * (F.col("an") + F.col("bn")) - F.greatest(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) - 1e-6
+    links = links.unionByName(verified(written(_list_pairs(rest, similar).where(F.col("o") >= least_o).select("a", "b"))))
+    rooted = written(with_root(classes.select("c", "least"), links))
     least = rooted.groupBy("root").agg(F.min("least").alias("least"))
     named = rooted.select("c", "root").join(least, "root").select("c", "least")
     return texts_of.join(named, "c").select("row_key", "least")

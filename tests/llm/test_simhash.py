@@ -96,3 +96,32 @@ def test_keep_one_of_nasty_rows(nasty):
     blank = kept.where(F.coalesce(F.trim(F.regexp_replace("text", r"\s", "")), F.lit("")) == "").count()
     assert blank == 1
     assert kept.groupBy("text").count().where("count > 1").count() == 0
+
+
+def block_edits(rng, vocabulary, start):
+    """Texts, and for each a copy with one block added, cut or replaced, of similarity just over 0.8: rows (id, text)."""
+    rows = []
+    for i in range(90):
+        n = (60, 200, 1000)[i % 3]
+        t = [rng.choice(vocabulary) for _ in range(n)]
+        at, new = rng.randrange(n), [f"n{rng.randrange(10**6)}" for _ in range(n)]
+        k = n // 6 if i // 3 % 3 else n // 11
+        e = (t[:at] + new[: n // 11] + t[at + n // 11 :], t[:at] + new[:k] + t[at:], t[k:])[i // 3 % 3]
+        rows += [(start + 2 * i, " ".join(t)), (start + 2 * i + 1, " ".join(e))]
+    return rows
+
+
+def similar_ids(rows):
+    """Kept ids by comparing all pairs."""
+    words = [t.lower().encode().split() for _, t in rows]
+    sets = [set(zip(*(w[j:] for j in range(5)))) for w in words]
+    root = groups(range(len(rows)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    return {rows[i][0] for i, r in root.items() if i == r}
+
+
+def test_near_copies_with_a_block_edited_are_all_found(spark):
+    rng = random.Random(8)
+    rows = block_edits(rng, [f"v{i}" for i in range(4000)], 0)
+    want = similar_ids(rows)
+    assert len(want) < 130
+    assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
