@@ -175,6 +175,8 @@ WIDE, KEY_BYTES, KEYS, LEAST_BYTES, MOST_BITS, SHINGLE, SIMILAR = 32, 5, 80, 6,
 #: Texts in which frequent shingles are looked for, how many must hold one, and how many shingles there are at most. They come
 #: last in the prefix filter's order; any choice of them loses no pair.
 SAMPLE, HELD_BY, FREQUENT = 50_000, 3, 100_000
+#: Members of a block of a long list.
+LIST = 256
 
 
 def wide_fingerprint(words: list[bytes]) -> np.ndarray:
@@ -234,16 +236,21 @@ def _list_pairs(lists: DataFrame, similar: float) -> DataFrame:
     """a > b, n and p of both, o: pairs of different roots in a list (h, c, root, n, p, pos), and how many lists hold both.
 
     All members of a list meet, whose sizes and positions allow the similarity. pos is a shingle's place in the order of its text: so many
-    shingles at most come before it, and so many after.
+    shingles at most come before it, and so many after. A long list is cut into blocks of about LIST members, and each two blocks meet in
+    a cell of their own, so that no task holds a long list.
     """
     columns = ["h", "c", "root", "n", "p", "pos"]
-    dealt = lists.select(*columns).repartition("h").sortWithinPartitions("h")
+    cuts = lists.groupBy("h").agg(F.ceil(F.count("*") / F.lit(LIST)).cast("int").alias("cuts"))
+    cut = lists.select(*columns).join(cuts, "h").withColumn("mine", F.pmod(F.xxhash64("c", "h"), F.col("cuts")).cast("int"))
+    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+    columns += ["lo", "hi", "mine"]
+    dealt = cells.select(*columns).repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, root, n, p, pos in _whole_lists(batches, ["h"], columns[1:]):
+        for c, root, n, p, pos, lo, hi, mine in _whole_lists(batches, ["h", "lo", "hi"], ["c", "root", "n", "p", "pos", "lo", "hi", "mine"]):
             for i, j in _rows_of_pairs(len(c)):
                 need = similar / (1 + similar) * (n[i] + n[j]) - 1e-6
-                keep = (root[i] != root[j]) & (c[i] != c[j]) & (np.minimum(n[i], n[j]) >= need)
+                keep = (root[i] != root[j]) & (c[i] != c[j]) & ((mine[i] != mine[j]) | (lo[0] == hi[0])) & (np.minimum(n[i], n[j]) >= need)
                 keep &= np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
                 i, j = i[keep], j[keep]
                 if len(i):

@@ -125,3 +125,24 @@ def test_near_copies_with_a_block_edited_are_all_found(spark):
     want = similar_ids(rows)
     assert len(want) < 130
     assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_pairs_in_long_lists_of_other_texts_are_found(spark):
+    rng = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(30)]
+    rows = []
+    for i in range(400):  # the same words in another order: all share all keys of the byte index
+        t = [w for _ in range(5) for w in rng.sample(vocabulary, 30)]
+        rows.append((i, " ".join(t)))
+        if i % 8 == 0:
+            rows.append((1000 + i, " ".join(t[:70] + t[71:])))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(400))
+
+
+def test_all_pairs_of_a_list_meet_once(spark):
+    n = 2 * simhash.LIST + 40
+    rows = [(h, 10 * i, 10 * (i // 2), 100, 21, 3) for h in (1, 2) for i in range(n if h == 1 else 9)]
+    got = simhash._list_pairs(spark.createDataFrame(rows, "h long, c long, root long, n long, p long, pos long"), 0.8).collect()
+    want = Counter({(10 * i, 10 * j): 1 + (i < 9) for i in range(n) for j in range(i) if i // 2 != j // 2})
+    assert Counter({(r.a, r.b): r.o for r in got}) == want and len(got) == len(want)
