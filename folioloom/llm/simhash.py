@@ -309,7 +309,7 @@ def _mixed(lists: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_key, least: of each distinct text (row_key is a hash of the column) the least doc_id of its near copies.
+    """row_key, root, least: of each distinct text (row_key is a hash of the column) its group of near copies and their least doc_id.
 
     Two texts are linked if their lower-case words' ``size``-word shingles have a Jaccard similarity of ``similar`` or more, and
     groups are what links reach. Every link between two groups is found, but for collisions of 64-bit hashes:
@@ -419,19 +419,19 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE,
     links = links.unionByName(verified(written(_list_pairs(rest, similar).where(F.col("o") >= least_o).select("a", "b"))))
     rooted = written(with_root(classes.select("c", "least"), links))
     least = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    named = rooted.select("c", "root").join(least, "root").select("c", "least")
-    return texts_of.join(named, "c").select("row_key", "least")
+    named = rooted.select("c", "root").join(least, "root").select("c", "root", "least")
+    return texts_of.join(named, "c").select("row_key", "root", "least")
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One of docs for each group of near copies: that of the least id (null ids last); all columns as they are.
 
-    Of repeated rows of that id one stays.
+    Of repeated rows of that id in a group one stays. Groups that have the same id, or none, each keep their own.
     """
-    groups = near_copies(docs, similar, size, id_col, text_col).select(F.col("row_key").alias("g_key"), F.coalesce(F.col("least").cast("string"), F.lit("null")).alias("least"))
+    groups = near_copies(docs, similar, size, id_col, text_col).select(F.col("row_key").alias("g_key"), "root", "least")
     key = F.xxhash64(F.col(f"row.`{text_col}`").cast("string"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("r_key", key)
-    mine = F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit("null"))
-    joined = rows.join(groups, rows["r_key"] == groups["g_key"]).where(mine == F.col("least"))
-    # What is left has one id a group, so ties are its repeated rows.
-    return joined.groupBy("least").agg(F.min_by("row", "r_key").alias("row")).select("row.*")
+    mine = F.col(f"row.`{id_col}`").cast("long")
+    joined = rows.join(groups, rows["r_key"] == groups["g_key"]).where(mine.eqNullSafe(F.col("least")))
+    # What is left of a group has one id, so ties are its repeated rows.
+    return joined.groupBy("root").agg(F.min_by("row", "r_key").alias("row")).select("row.*")

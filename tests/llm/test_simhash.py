@@ -146,3 +146,12 @@ def test_all_pairs_of_a_list_meet_once(spark):
     got = simhash._list_pairs(spark.createDataFrame(rows, "h long, c long, root long, n long, p long, pos long"), 0.8).collect()
     want = Counter({(10 * i, 10 * j): 1 + (i < 9) for i in range(n) for j in range(i) if i // 2 != j // 2})
     assert Counter({(r.a, r.b): r.o for r in got}) == want and len(got) == len(want)
+
+
+def test_groups_without_an_id_or_with_the_same_one_each_keep_a_document(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"v{rng.randrange(4000)}" for _ in range(80))
+    t = [text() for _ in range(6)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[1] + " more"), (7, t[2]), (7, t[3]), (7, t[3]), (7, t[4]), (8, t[4] + " more"), (None, t[4]), (9, t[5])]
+    got = [(r.doc_id, r.text.removesuffix(" more")) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert Counter(got) == Counter([(None, t[0]), (None, t[1]), (7, t[2]), (7, t[3]), (7, t[4]), (9, t[5])])
