@@ -285,14 +285,20 @@ def _shared_prefix(a: str, b: str) -> int:
 
 
 def _neighbours(light: DataFrame, parts: int) -> DataFrame:
-    """row_key, shared: which lines a page has in common with that of its host whose URL path is nearest.
+    """host, line_key (a hash of the lines), shared: which lines a page has in common with that of its host, among those with other lines, whose URL path is nearest.
+
+    Pages of a host with the same lines are one here, at the least of their paths: a copy would take all of a page's lines. If any of them is
+    doubtful it stands for all, since the same lines have the same lines in common.
 
     Pages are range-partitioned by host and path, so a host with a third of all pages is spread. A partition also gets the last
     page before it and the first one after it: two rows a partition, whatever the number of pages.
     """
     order = ["host", "path", "page_id", "row_key"]
+    same = light.withColumn("line_key", F.xxhash64("lines"))
+    one = same.groupBy("host", "line_key").agg(F.min(F.struct("path", "page_id", "row_key")).alias("o"), F.max("doubtful").alias("doubtful"), F.first("lines").alias("lines"))
+    light = one.select("host", "o.*", "lines", "doubtful", "line_key")
     dealt = written(light.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
-    row = F.struct(*order, "lines", "doubtful")
+    row = F.struct(*order, "lines", "doubtful", "line_key")
     ends = dealt.groupBy("part").agg(F.min(row).alias("first"), F.max(row).alias("last"))
     w = Window.orderBy("part")  # one row a partition
     near = ends.select("part", F.lag("last").over(w).alias("before"), F.lead("first").over(w).alias("after"))
@@ -301,33 +307,34 @@ def _neighbours(light: DataFrame, parts: int) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         group = group.take(pc.sort_indices(group, [(c, "ascending") for c in order], null_placement="at_start"))  # as Spark has it
-        host, path, key, doubtful, ghost = (group[c].to_pylist() for c in ("host", "path", "row_key", "doubtful", "ghost"))
-        keys, shared = [], []
+        host, path, key, doubtful, ghost = (group[c].to_pylist() for c in ("host", "path", "line_key", "doubtful", "ghost"))
+        hosts, keys, shared = [], [], []
         for i in range(len(key)):
             if ghost[i] or not doubtful[i]:
                 continue
             beside = [j for j in (i - 1, i + 1) if 0 <= j < len(key) and host[j] == host[i]]
             if beside:
                 j = max(beside, key=lambda j: (_shared_prefix(path[i], path[j]), -j))
+                hosts.append(host[i])
                 keys.append(key[i])
                 shared.append(common_lines(group["lines"][i].as_py(), group["lines"][j].as_py()))
-        return pa.table({"row_key": pa.array(keys, pa.int64()), "shared": pa.array(shared, pa.list_(pa.int32()))})
+        return pa.table({"host": pa.array(hosts, pa.string()), "line_key": pa.array(keys, pa.int64()), "shared": pa.array(shared, pa.list_(pa.int32()))})
 
-    return both.groupBy("part").applyInArrow(run, "row_key long, shared array<int>")
+    return both.groupBy("part").applyInArrow(run, "host string, line_key long, shared array<int>")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: one row for each of pages. Null html is empty; a null url is a host of its own.
 
-    Repeated rows have one text. A page whose host has no other page keeps its doubtful lines, as does one of several pages
-    with the same html and url, which are compared with other pages only if there are any between.
+    Repeated rows have one text. A page is compared with the nearest one of its host that has other lines; a page whose host has none, as
+    that of copies only, keeps its doubtful lines.
     """
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     found = written(_extract(p.withColumn("row_key", F.xxhash64("page_id", "url", "html"))))
     light = found.select("host", "path", "page_id", "row_key", "lines", F.col("text").isNull().alias("doubtful")).dropDuplicates(["row_key"])
     shared = _neighbours(light, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    doubtful = found.where(F.col("text").isNull()).select("page_id", "url", "row_key", "blocks", "places")
-    left = doubtful.join(shared, "row_key", "left")
+    doubtful = found.where(F.col("text").isNull()).select("page_id", "url", "host", F.xxhash64("lines").alias("line_key"), "blocks", "places")
+    left = doubtful.join(shared, ["host", "line_key"], "left")
     kept = F.filter(F.arrays_zip("blocks", "places"), lambda x: ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), x["places"]))
     text = F.array_join(F.transform(kept, lambda x: x["blocks"]), "\n\n")
     out = found.where(F.col("text").isNotNull()).select("page_id", "url", "text").unionByName(left.select("page_id", "url", text.alias("text")))

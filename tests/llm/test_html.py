@@ -68,6 +68,16 @@ def test_pages_without_an_article_lose_what_the_nearest_page_has(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
+def test_copies_on_a_host_do_not_take_each_others_lines(spark):
+    page = "<div>Menu</div><p>{}</p><div>Foot</div>".format
+    rows = [(i, f"https://a.example/x/{i}", page("one")) for i in range(3)] + [(3, "https://a.example/x/9", page("two")), (4, "https://a.example/x/9", page("two"))]
+    rows += [(10 + i, f"https://b.example/{i}", page("all alike")) for i in range(3)] + [(20, None, page("none")), (21, None, page("none"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(df).collect()}
+    whole = "Menu\n\n{}\n\nFoot".format
+    assert got == {0: "one", 1: "one", 2: "one", 3: "two", 4: "two"} | {10 + i: whole("all alike") for i in range(3)} | {20: whole("none"), 21: whole("none")}
+
+
 def test_empty_table(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
