@@ -501,10 +501,17 @@ def json_relations(spark, sf_dir):
 
 @query("knowledge_run")
 def knowledge_run(spark, sf_dir):
-    """Extraction and consolidation of the first sentences of labelled documents, with stand-ins for model, judge and encoder."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    """Extraction, by the default options, and consolidation over all documents, with stand-ins for model, judge and encoder."""
+    d = table(spark, sf_dir, "documents")
     s = bl.snippets(d.select(F.col("doc_id").alias("doc"), F.lit(1).alias("block_no"), F.lit(1).alias("page"), "text")).withColumnRenamed("doc", "source_pdf")
-    found = knowledge.extract(s, _classes(spark), _stub, Options(use_classes=False, use_rag=False))
+    found = knowledge.extract(s, _classes(spark), _stub, Options(), _passages(spark, sf_dir))
     good = found.where(F.col("reject_reason").isNull()).withColumn("seq", F.row_number().over(Window.orderBy("source_pdf", "paragraph_index", "class_no", "place")))
     rows = good.select("seq", *validate.REQUIRED, F.col("source_pdf").cast("long").alias("source_pdf"))
     return knowledge.consolidate(rows.withColumn("seq", F.col("seq").cast("long")), _merge_all, lambda a, b: {}, 0.8)
+
+
+def _passages(spark, sf_dir):
+    """An index of two corpora: benchmark items and turns of conversations."""
+    b = table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("corpus"), F.col("item_id").cast("string").alias("source_file"), F.lit(0).alias("chunk_index"), "text")
+    c = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("corpus"), F.col("conv_id").cast("string").alias("source_file"), F.col("turn").cast("int").alias("chunk_index"), "text")
+    return written(retrieval.encode(b.unionByName(c), "text"))

@@ -42,3 +42,20 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_whole_run_reads_all_documents_with_the_default_options(spark, monkeypatch):
+    from folioloom import catalogue
+    from folioloom.plans.run import Options
+
+    seen = {}
+
+    def extract(snippets, classes, model, options, index=None, **more):
+        seen.update(docs={r.source_pdf for r in snippets.select("source_pdf").distinct().collect()}, options=options, corpora={r.corpus for r in index.select("corpus").distinct().collect()})
+        raise StopIteration
+
+    monkeypatch.setattr(catalogue.knowledge, "extract", extract)
+    with pytest.raises(StopIteration):
+        catalogue.knowledge_run(spark, SF)
+    texts = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").where("trim(text) <> ''").collect()}
+    assert seen == {"docs": texts, "options": Options(), "corpora": {"benchmark", "conversations"}}
