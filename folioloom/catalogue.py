@@ -399,10 +399,11 @@ def index_refresh(spark, sf_dir):
     return kept.unionByName(now.join(change.where("change in ('new', 'changed')"), ["corpus", "source_file"], "left_semi").select("source_file", F.lit("made").alias("origin")))
 
 
-def _candidates(spark, sf_dir):
-    """Relations of which each seventh breaks another rule."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 = 0")
-    w = F.filter(F.split(tx.word_text(F.substring("text", 1, 2000)), r"\s+"), lambda x: F.length(x) > 3)
+def _candidates(spark, sf_dir, every: bool = False):
+    """Relations of which each seventh breaks another rule; of every document and its whole text, or of those that the SQL takes."""
+    d = table(spark, sf_dir, "documents")
+    d = d if every else d.where("doc_id % 3 = 0")
+    w = F.filter(F.split(tx.word_text(F.col("text") if every else F.substring("text", 1, 2000)), r"\s+"), lambda x: F.length(x) > 3)
     k = F.col("doc_id") % 7
     return d.select(
         "doc_id", "text", F.when(k == 1, F.lit(None)).when(k == 2, F.lit("H2O")).otherwise(F.lit("part of")).alias("name"), F.col("text").alias("description"), F.when(k == 3, " ").otherwise(F.col("text")).alias("definition"),
@@ -424,6 +425,16 @@ def run_counters(spark, sf_dir):
     return validate.counters(checked)
 
 
+@query("relation_validate_all")
+def relation_validate_all(spark, sf_dir):
+    return validate.check_relations(_candidates(spark, sf_dir, True), source=F.col("text")).select("doc_id", "name", "relation_type", "usage_example", "reject_reason")
+
+
+@query("run_counters_all")
+def run_counters_all(spark, sf_dir):
+    return validate.counters(validate.check_relations(_candidates(spark, sf_dir, True), source=F.col("text")))
+
+
 TAGGED = "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '<think>' || role || '</think> ' || text WHEN 1 THEN role || '</Reasoning>' || text ELSE text || '<analysis>' || role || ' ' || text END AS a, text FROM conversations"
 
 
