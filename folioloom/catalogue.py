@@ -175,10 +175,11 @@ def hyphenations(spark, sf_dir):
     return bl.hyphenations(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
 
 
-@query("form_feed_pages", "SELECT conv_id AS doc, turn, unnest(string_split(replace(text, 'the', chr(12)), chr(12))) AS text, generate_subscripts(string_split(replace(text, 'the', chr(12)), chr(12)), 1)::INTEGER AS page FROM conversations WHERE NOT ends_with(text, 'the')")
+@query("form_feed_pages", "SELECT doc, turn, unnest(p) AS text, generate_subscripts(p, 1)::INTEGER AS page FROM (SELECT conv_id AS doc, turn, CASE WHEN s[-1] = '' THEN s[:-2] ELSE s END AS p FROM (SELECT conv_id, turn, string_split(replace(CASE WHEN turn % 3 = 0 THEN text || 'the' ELSE text END, 'the', chr(12)), chr(12)) AS s FROM conversations))")
 def form_feed_pages(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where(~F.col("text").endswith("the"))
-    c = c.select(F.struct("conv_id", "turn").alias("doc"), F.replace(F.col("text"), F.lit("the"), F.lit("\f")).alias("text"))
+    c = table(spark, sf_dir, "conversations")
+    text = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("the"))).otherwise(F.col("text"))
+    c = c.select(F.struct("conv_id", "turn").alias("doc"), F.replace(text, F.lit("the"), F.lit("\f")).alias("text"))
     return text_pages(c).select("doc.conv_id", "doc.turn", "text", "page").withColumnRenamed("conv_id", "doc")
 
 
@@ -242,9 +243,11 @@ def grounding(spark, sf_dir):
     return both.select("conv_id", "turn", "phrase", is_in_source(F.col("phrase"), F.col("source")).alias("grounded"))
 
 
-def _condensed(sentences: int, chars: int) -> str:
-    """Fixed SQL: the leading sentences of ``t`` within so many characters; chr(2) marks the end once one does not fit."""
-    parts = SENTENCES.format("t")
+def _condensed(t: str, sentences: int, chars: int, semicolons: bool = False) -> str:
+    """Fixed SQL: the leading sentences of ``t`` within so many characters; chr(2) marks the end once one does not fit. Only a first one that is too long is cut."""
+    parts = SENTENCES.format(t)
+    if semicolons:
+        parts = parts.replace("'g'), chr(1))", r"'g'), ';\s+', chr(1), 'g'), chr(1))", 1).replace("string_split(regexp_replace", "string_split(regexp_replace(regexp_replace", 1)
     joined = f"replace(list_reduce(({parts})[1:{sentences}], lambda a, x: CASE WHEN ends_with(a, chr(2)) THEN a WHEN length(a) + 1 + length(x) <= {chars} THEN a || ' ' || x ELSE a || chr(2) END), chr(2), '')"
     at = "length(h) - strpos(reverse(h), reverse('{0}')) - length('{0}') + 1"
 
@@ -252,16 +255,30 @@ def _condensed(sentences: int, chars: int) -> str:
         return f"WHEN contains(h, '{mark}') AND {at.format(mark)} >= {int(chars * 0.6)} THEN left(h, {at.format(mark)})"
 
     return (
-        f"(SELECT CASE WHEN z = '' OR regexp_matches(z, '[.!?]$') THEN z ELSE z || '.' END FROM (SELECT regexp_replace(CASE WHEN length(j) <= {chars} THEN j {cut('; ')} {cut(', ')} WHEN contains(h, ' ') THEN left(h, {at.format(' ')}) ELSE h END, '[ ,;:\\-—]+$', '') AS z"
+        f"(SELECT CASE WHEN length(j) <= {chars} THEN j WHEN regexp_matches(z, '[.!?]$') THEN z ELSE z || '.' END FROM (SELECT j, regexp_replace(CASE {cut('; ')} {cut(', ')} WHEN contains(h, ' ') THEN left(h, {at.format(' ')}) ELSE h END, '[ ,;:\\-—]+$', '') AS z"
         f" FROM (SELECT j, left(j, {chars}) AS h FROM (SELECT coalesce({joined}, '') AS j))))"
     )
 
 
+#: Fixed SQL: short texts without an end, clauses, doubled blanks: what is left as it is and what is split.
+SHORT = r"""short AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN left(text, 40) WHEN 2 THEN replace(text, '. ', ';  ') ELSE repeat(left(text, 90) || ', ', 4) END AS t FROM conversations)"""
+
+
 @query("condense", rf"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
- SELECT doc_id, {_condensed(*validate.DESCRIPTION)} AS description, {_condensed(*validate.DEFINITION)} AS definition FROM d""")
+ SELECT doc_id, {_condensed("t", *validate.DESCRIPTION, True)} AS description, {_condensed("t", *validate.DEFINITION)} AS definition FROM d""")
 def condense(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", tx.condense(F.col("text"), *validate.DESCRIPTION).alias("description"), tx.condense(F.col("text"), *validate.DEFINITION, True).alias("definition"))
+    d = table(spark, sf_dir, "documents").select("doc_id", tx.collapse(F.col("text")).alias("t"))
+    return d.select("doc_id", tx.condense(F.col("t"), *validate.DESCRIPTION, True).alias("description"), tx.condense(F.col("t"), *validate.DEFINITION).alias("definition"))
+
+
+@query("condense_short", rf"""WITH {SHORT}, d AS (SELECT conv_id, turn, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM short)
+ SELECT conv_id, turn, {_condensed("t", *validate.DESCRIPTION, True)} AS description, {_condensed("t", *validate.DEFINITION)} AS definition, {_condensed("t", 2, 60)} AS narrow FROM d""")
+def condense_short(spark, sf_dir):
+    c, k = table(spark, sf_dir, "conversations"), F.col("turn") % 4
+    t = F.when(k == 0, F.col("text")).when(k == 1, F.left("text", F.lit(40))).when(k == 2, F.replace(F.col("text"), F.lit(". "), F.lit(";  "))).otherwise(F.repeat(F.concat(F.left("text", F.lit(90)), F.lit(", ")), 4))
+    d = c.select("conv_id", "turn", tx.collapse(t).alias("t"))
+    t = F.col("t")
+    return d.select("conv_id", "turn", tx.condense(t, *validate.DESCRIPTION, True).alias("description"), tx.condense(t, *validate.DEFINITION).alias("definition"), tx.condense(t, 2, 60).alias("narrow"))
 
 
 def _vectors(spark, sf_dir):
@@ -399,56 +416,47 @@ def index_refresh(spark, sf_dir):
     return kept.unionByName(now.join(change.where("change in ('new', 'changed')"), ["corpus", "source_file"], "left_semi").select("source_file", F.lit("made").alias("origin")))
 
 
-def _candidates(spark, sf_dir, every: bool = False):
-    """Relations of which each seventh breaks another rule; of every document and its whole text, or of those that the SQL takes."""
+def _candidates(spark, sf_dir):
+    """A relation of each document, made of its whole text; of each seven another breaks another rule."""
     d = table(spark, sf_dir, "documents")
-    d = d if every else d.where("doc_id % 3 = 0")
-    w = F.filter(F.split(tx.word_text(F.col("text") if every else F.substring("text", 1, 2000)), r"\s+"), lambda x: F.length(x) > 3)
+    w = F.filter(F.split(tx.word_text(F.col("text")), r"\s+"), lambda x: F.length(x) > 3)
     k = F.col("doc_id") % 7
     return d.select(
         "doc_id", "text", F.when(k == 1, F.lit(None)).when(k == 2, F.lit("H2O")).otherwise(F.lit("part of")).alias("name"), F.col("text").alias("description"), F.when(k == 3, " ").otherwise(F.col("text")).alias("definition"),
-        F.when(k == 4, "subsumption").otherwise(F.lit("Subsumption")).alias("relation_type"), F.when(k == 5, "only two | parts").when(k == 6, F.lit("entity | part of | object")).otherwise(F.concat_ws(" | ", F.coalesce(F.get(w, 0), F.lit("zzzz")), F.lit("part of"), F.coalesce(F.get(w, 1), F.lit("zzzz")))).alias("usage_example"),
+        F.when(k == 4, "subsumption").otherwise(F.lit("Material  Relations")).alias("relation_type"),
+        F.when(k == 5, "only two | parts").when(k == 6, F.lit("entity | part of | object")).otherwise(F.concat_ws(" | ", F.coalesce(F.get(w, 0), F.lit("zzzz")), F.lit("part of"), F.coalesce(F.get(w, 1), F.lit("zzzz")))).alias("usage_example"),
     )
 
 
-@query("relation_validate", r"""WITH d AS (SELECT doc_id, doc_id % 7 AS k, list_filter(regexp_split_to_array(regexp_replace(lower(text[1:2000]), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda x: length(x) > 3) AS w FROM documents WHERE doc_id % 3 = 0)
- SELECT doc_id, CASE k WHEN 1 THEN NULL WHEN 2 THEN 'ho' ELSE 'part_of' END AS name, CASE k WHEN 4 THEN 'subsumption' ELSE 'Subsumption' END AS relation_type,
+CANDIDATES = rf"""c AS (SELECT doc_id, doc_id % 7 AS k, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda x: length(x) > 3) AS w FROM documents),
+ v AS (SELECT doc_id, CASE k WHEN 1 THEN NULL WHEN 2 THEN 'ho' ELSE 'part_of' END AS name, {_condensed("t", *validate.DESCRIPTION, True)} AS description, CASE k WHEN 3 THEN '' ELSE {_condensed("t", *validate.DEFINITION)} END AS definition,
+  CASE k WHEN 4 THEN 'subsumption' ELSE 'Material Relations' END AS relation_type,
   CASE k WHEN 5 THEN 'only two | parts' WHEN 6 THEN 'entity | part of | object' ELSE coalesce(w[1], 'zzzz') || ' | part of | ' || coalesce(w[2], 'zzzz') END AS usage_example,
-  CASE k WHEN 0 THEN CASE WHEN len(w) < 2 THEN 'not_in_source' END WHEN 1 THEN 'missing_field' WHEN 2 THEN 'predicate_differs' WHEN 3 THEN 'empty_field' WHEN 4 THEN 'unknown_class' WHEN 5 THEN 'no_triple' ELSE 'placeholder' END AS reject_reason FROM d""")
-def relation_validate(spark, sf_dir):
-    return validate.check_relations(_candidates(spark, sf_dir), source=F.col("text")).select("doc_id", "name", "relation_type", "usage_example", "reject_reason")
+  CASE WHEN k = 1 THEN 'missing_field' WHEN t = '' OR k = 3 THEN 'empty_field' WHEN k = 0 THEN CASE WHEN len(w) < 2 THEN 'not_in_source' END WHEN k = 2 THEN 'predicate_differs' WHEN k = 4 THEN 'unknown_class' WHEN k = 5 THEN 'no_triple' ELSE 'placeholder' END AS reject_reason FROM c)"""
 
 
-@query("run_counters", """SELECT CASE doc_id % 7 WHEN 1 THEN 'missing_field' WHEN 2 THEN 'no_triple' WHEN 3 THEN 'empty_field' WHEN 4 THEN 'unknown_class' WHEN 5 THEN 'no_triple' WHEN 6 THEN 'placeholder' END AS reject_reason, count(*) AS n FROM documents WHERE doc_id % 3 = 0 AND doc_id % 7 NOT IN (0, 2) GROUP BY ALL""")
-def run_counters(spark, sf_dir):
-    checked = validate.check_relations(_candidates(spark, sf_dir).where("doc_id % 7 not in (0, 2)"), source=F.col("text"))
-    return validate.counters(checked)
-
-
-@query("relation_validate_all")
-def relation_validate_all(spark, sf_dir):
-    return validate.check_relations(_candidates(spark, sf_dir, True), source=F.col("text")).select("doc_id", "name", "relation_type", "usage_example", "reject_reason")
-
-
-@query("run_counters_all")
-def run_counters_all(spark, sf_dir):
-    return validate.counters(validate.check_relations(_candidates(spark, sf_dir, True), source=F.col("text")))
+@query("relation_validate", f"WITH {CANDIDATES} SELECT * FROM v")
+def relation_validate(spark, sf_dir):
+    return validate.check_relations(_candidates(spark, sf_dir), source=F.col("text")).drop("text")
 
 
-TAGGED = "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '<think>' || role || '</think> ' || text WHEN 1 THEN role || '</Reasoning>' || text ELSE text || '<analysis>' || role || ' ' || text END AS a, text FROM conversations"
+@query("run_counters", f"WITH {CANDIDATES} SELECT coalesce(reject_reason, 'accepted') AS reject_reason, count(*) AS n FROM v GROUP BY ALL")
+def run_counters(spark, sf_dir):
+    return validate.counters(validate.check_relations(_candidates(spark, sf_dir), source=F.col("text")))
 
 
-@query("reasoning_strip", "SELECT conv_id, turn, trim(CASE WHEN turn % 3 = 2 THEN role || ' ' || text ELSE text END, chr(32)||chr(10)) AS text FROM conversations")
+@query("reasoning_strip", """SELECT conv_id, turn, trim(CASE turn % 5 WHEN 2 THEN role || ' ' || text WHEN 4 THEN role || ' ' || text ELSE text END, chr(32)||chr(10)) AS text FROM conversations""")
 def reasoning_strip(spark, sf_dir):
-    c, k = table(spark, sf_dir, "conversations"), F.col("turn") % 3
-    a = F.when(k == 0, F.concat(F.lit("<think>"), "role", F.lit("</think> "), "text")).when(k == 1, F.concat("role", F.lit("</Reasoning>"), "text")).otherwise(F.concat("text", F.lit("<analysis>"), "role", F.lit(" "), "text"))
+    c, k = table(spark, sf_dir, "conversations"), F.col("turn") % 5
+    a = F.when(k == 0, F.concat(F.lit("<think>"), "role", F.lit("</think> "), "text")).when(k == 1, F.concat("role", F.lit("</Reasoning>"), "text")).when(k == 2, F.concat("text", F.lit("<analysis>"), "role", F.lit(" "), "text"))
+    a = a.when(k == 3, F.concat(F.lit("< Thinking >"), "role", F.lit("<\n/ thinking > "), "text")).otherwise(F.concat("text", F.lit("< / think >< reasoning\t>"), "role", F.lit(" "), "text"))
     return c.select("conv_id", "turn", tx.without_reasoning(a).alias("text"))
 
 
-@query("fence_strip", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN trim(text, chr(32)||chr(10)) ELSE text END AS text FROM conversations")
+@query("fence_strip", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN trim(text, chr(32)||chr(10)) WHEN 1 THEN '```json ' || role ELSE text END AS text FROM conversations")
 def fence_strip(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    fenced = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("```json\n"), "text", F.lit("\n```\nDone."))).otherwise(F.col("text"))
+    c, k = table(spark, sf_dir, "conversations"), F.col("turn") % 3
+    fenced = F.when(k == 0, F.concat(F.lit("```json\n"), "text", F.lit("\n```\nDone."))).when(k == 1, F.concat(F.lit("```json "), "role", F.lit("```"))).otherwise(F.col("text"))
     return c.select("conv_id", "turn", tx.without_fence(fenced).alias("text"))
 
 
@@ -501,13 +509,29 @@ def _stub() -> model.Stub:
     return model.Stub(_stub_answer)
 
 
-@query("json_relations", "SELECT conv_id, turn, CASE turn % 4 WHEN 2 THEN 'empty' WHEN 3 THEN 'unreadable' ELSE 'read' END AS status, CASE WHEN turn % 4 < 2 THEN 1 ELSE 0 END::INTEGER AS n FROM conversations")
+#: Answers of ten shapes: what they hold tells which list is taken for the relations.
+@query("json_relations", """SELECT conv_id, turn, CASE turn % 10 WHEN 2 THEN 'empty' WHEN 3 THEN 'unreadable' WHEN 5 THEN 'empty' WHEN 7 THEN 'unreadable' WHEN 9 THEN 'unreadable' ELSE 'read' END AS status,
+ CASE turn % 10 WHEN 0 THEN [text] WHEN 1 THEN [text] WHEN 4 THEN [text, NULL] WHEN 6 THEN [role] WHEN 8 THEN [text] ELSE [] END::VARCHAR[] AS descriptions FROM conversations""")
 def json_relations(spark, sf_dir):
-    c, k = table(spark, sf_dir, "conversations"), F.col("turn") % 4
-    good = F.to_json(F.struct(F.array(F.struct(F.lit("part of").alias("name"), F.col("text").alias("description"), F.col("role").alias("definition"))).alias("relations")))
-    text = F.when(k == 0, good).when(k == 1, F.concat(F.lit("Here: "), good, F.lit(" as asked"))).when(k == 2, F.lit('{"relations": []}')).otherwise(F.col("text"))
+    c, k = table(spark, sf_dir, "conversations"), F.col("turn") % 10
+    whole = F.to_json(F.struct(F.lit("part of").alias("name"), F.col("text").alias("description"), F.col("role").alias("definition"), F.lit("x").alias("relation_type"), F.lit("u").alias("usage_example")))
+    part = F.to_json(F.struct(F.lit("part of").alias("name"), F.col("role").alias("description")))
+    shapes = [
+        F.concat(F.lit('{"relations": ['), whole, F.lit("]}")),
+        F.concat(F.lit("Here: "), whole, F.lit(" and then {\"a\": 1} as asked")),
+        F.lit('{"relations": []}'),
+        F.col("text"),
+        F.concat(F.lit('["x", '), whole, F.lit(', {"name": "n"}]')),
+        F.concat(F.lit('{"name": "", "relations": [], "note": '), F.to_json(F.struct("text")), F.lit("}")),
+        # Two fields are no relation: the only list of the object is taken.
+        F.concat(F.lit('{"name": "n", "description": "d", "items": ['), part, F.lit("]}")),
+        F.lit("null"),
+        F.concat(F.lit("[1, 2] or ```json "), whole, F.lit("```")),
+        F.lit('{"relations": null, "name": "n"}'),
+    ]
+    text = F.coalesce(*[F.when(k == i, s) for i, s in enumerate(shapes)])
     out = answers.parse_answers(c.withColumn("answer", text))
-    return out.select("conv_id", "turn", F.col("parsed.status").alias("status"), F.size("parsed.relations").alias("n"))
+    return out.select("conv_id", "turn", F.col("parsed.status").alias("status"), F.transform("parsed.relations", lambda r: r["description"]).alias("descriptions"))
 
 
 @query("knowledge_run")

@@ -112,11 +112,11 @@ def folder_name(c: Column) -> Column:
 
 
 def condense(c: Column, most_sentences: int, most_chars: int, at_semicolons: bool = False) -> Column:
-    """Leading sentences within ``most_chars``; the first always stays, cut at a clause or word if too long.
+    """Leading sentences within ``most_chars``, as they are; the first always stays.
 
-    The result ends with . ! or ?; empty text stays empty.
+    Only a first sentence that is too long is changed: cut at a late clause, else before a word, and ended with a full stop. Empty text stays empty.
     """
-    parts = F.slice(sentences_of(collapse(c), at_semicolons), 1, most_sentences)
+    parts = F.slice(sentences_of(c, at_semicolons), 1, most_sentences)
     start = F.struct(F.lit("").alias("t"), F.lit(True).alias("open"))
 
     def add(acc: Column, s: Column) -> Column:
@@ -125,25 +125,25 @@ def condense(c: Column, most_sentences: int, most_chars: int, at_semicolons: boo
         joined = F.when(first, s).otherwise(F.concat(acc["t"], F.lit(" "), s))
         return F.struct(F.when(fits, joined).otherwise(acc["t"]).alias("t"), (acc["open"] & fits).alias("open"))
 
-    text = F.aggregate(parts, start, add, lambda acc: acc["t"])
-    head = F.substring(text, 1, most_chars)
     least = int(most_chars * 0.6)
 
-    def at_last(mark: str) -> Column:
-        return F.length(head) - F.instr(F.reverse(head), mark[::-1]) - len(mark) + 1
+    def ended(text: Column) -> Column:
+        head = F.substring(text, 1, most_chars)
 
-    def has(mark: str) -> Column:
-        return F.instr(head, mark) > 0
+        def at_last(mark: str) -> Column:
+            return F.length(head) - F.instr(F.reverse(head), mark[::-1]) - len(mark) + 1
 
-    cut = (
-        F.when(has("; ") & (at_last("; ") >= least), F.substring(head, F.lit(1), at_last("; ")))
-        .when(has(", ") & (at_last(", ") >= least), F.substring(head, F.lit(1), at_last(", ")))
-        .when(has(" "), F.substring(head, F.lit(1), at_last(" ")))
-        .otherwise(head)
-    )
-    text = F.when(F.length(text) > most_chars, cut).otherwise(text)
-    text = F.regexp_replace(text, "[ ,;:\\-—]+$", "")
-    return F.when(text == "", "").when(text.rlike(r"[.!?]$"), text).otherwise(F.concat(text, F.lit(".")))
+        def late(mark: str) -> Column:
+            return (F.instr(head, mark) > 0) & (at_last(mark) >= least)
+
+        cut = F.when(F.instr(head, " ") > 0, F.substring(head, F.lit(1), at_last(" "))).otherwise(head)
+        for mark in (", ", "; "):
+            cut = F.when(late(mark), F.substring(head, F.lit(1), at_last(mark))).otherwise(cut)
+        cut = F.regexp_replace(cut, "[ ,;:\\-—]+$", "")
+        return F.when(F.length(text) <= most_chars, text).when(cut.rlike(r"[.!?]$"), cut).otherwise(F.concat(cut, F.lit(".")))
+
+    # A one-element array names the text, so that it is computed once and not wherever it is read.
+    return F.get(F.transform(F.array(F.aggregate(parts, start, add, lambda acc: acc["t"])), ended), 0)
 
 
 def tidy_triple(c: Column) -> Column:
@@ -158,17 +158,17 @@ def tidy_triple(c: Column) -> Column:
 
 
 def without_reasoning(c: Column) -> Column:
-    """Model text without its reasoning blocks, closed or stray."""
-    tags = "(think|thinking|reasoning|analysis)"
-    out = F.regexp_replace(c, rf"(?is)<{tags}>.*?</\1>", "")
-    out = F.regexp_replace(out, rf"(?is)^.*</{tags}>", "")
+    """Model text without its reasoning blocks, closed or stray. Tags may hold white space."""
+    tags = f"{WS}*(think|thinking|reasoning|analysis){WS}*"
+    out = F.regexp_replace(c, rf"(?is)<{tags}>.*?<{WS}*/{WS}*\1{WS}*>", "")
+    out = F.regexp_replace(out, rf"(?is)^.*<{WS}*/{tags}>", "")
     out = F.regexp_replace(out, rf"(?is)^.*<{tags}>", "")
     return strip(out)
 
 
 def without_fence(c: Column) -> Column:
-    """A fenced answer without its first line and everything from the last fence on."""
-    body = F.regexp_replace(F.regexp_replace(c, r"^```[^\n]*\n?", ""), r"(?s)```(?!.*```).*$", "")
+    """A fenced answer without its first line and everything from the last fence on. One line is a last line, not a first one."""
+    body = F.regexp_replace(F.regexp_replace(c, r"^```[^\n]*\n", ""), r"(?s)```(?!.*```).*$", "")
     return F.when(c.startswith("```"), strip(body)).otherwise(c)
 
 

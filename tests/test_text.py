@@ -23,18 +23,19 @@ def sentences(t):
 
 
 def condensed(t, sentences_, chars):
-    parts = sentences(" ".join(t.split()))[:sentences_]
+    parts = sentences(t)[:sentences_]
     out = ""
     for s in parts:
         if out and len(out) + 1 + len(s) > chars:
             break
         out = f"{out} {s}" if out else s
-    if len(out) > chars:
-        head = out[:chars]
-        at = next((p for m in ("; ", ", ") if (p := head.rfind(m)) >= int(chars * 0.6)), -1)
-        out = head[:at] if at >= 0 else head[: head.rfind(" ")] if " " in head else head
+    if len(out) <= chars:
+        return out
+    head = out[:chars]
+    at = next((p for m in ("; ", ", ") if (p := head.rfind(m)) >= chars * 0.6), -1)
+    out = head[:at] if at >= 0 else head[: head.rfind(" ")] if " " in head else head
     out = out.rstrip(" ,;:-—")
-    return out if not out or out[-1] in ".!?" else out + "."
+    return out if out and out[-1] in ".!?" else out + "."
 
 
 @SLOW
@@ -60,6 +61,8 @@ def test_sentences_that_are_easily_got_wrong(spark):
 def test_answers_without_reasoning_or_fence(spark):
     raw = ["<think>a</think>b", "x</Thinking> y", "z <reasoning> w", "<analysis>1</analysis><think>2</think> 3", "plain"]
     assert values(spark, tx.without_reasoning, raw) == ["b", "y", "w", "3", "plain"]
+    assert values(spark, tx.without_reasoning, ["< think >x</ think > y", "a <\t/ analysis >b", "x< thinking\n>y"]) == ["y", "b", "y"]
+    assert values(spark, tx.without_fence, ["```json {1}```", "```", "```\na\n```b```c"]) == ["```json {1}", "", "a\n```b"]
     assert values(spark, tx.without_fence, ['```json\n{"a": 1}\n```\nbye', "no ``` fence"]) == ['{"a": 1}', "no ``` fence"]
 
 
