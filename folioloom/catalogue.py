@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark.sql import Window
-
 from folioloom.functions import text as tx
 from folioloom.functions.similarity import is_in_source
 from folioloom.operators import blocks as bl
-from folioloom.operators import checkpoint, index, layout, notes, resolve, retrieval, validate
+from folioloom.operators import checkpoint, index, layout, resolve, retrieval, validate
 from folioloom.plans import answers, knowledge, model, prompts
 from folioloom.plans.run import Options
 from folioloom.sources.documents import text_pages
@@ -344,26 +343,6 @@ def fold_global(spark, sf_dir):
     return resolve.fold_duplicates(_relations(spark, sf_dir), False).withColumn("name", F.lower("name"))
 
 
-@query("name_groups")
-def name_groups(spark, sf_dir):
-    return resolve.group_by_name(_relations(spark, sf_dir), False, 0.70).select("seq", "name", "group_seq")
-
-
-@query("name_groups_by_class")
-def name_groups_by_class(spark, sf_dir):
-    return resolve.group_by_name(_relations(spark, sf_dir), True).select("seq", "name", "relation_type", "group_seq")
-
-
-def _merge_all(batch: list[dict]) -> list[dict]:
-    """A stand-in judge: a batch is one relation, the first, with the shortest description."""
-    return [batch[0] | {"description": min((r["description"] for r in batch), key=len)}]
-
-
-@query("merge_names")
-def merge_names(spark, sf_dir):
-    return resolve.merge_by_name(_relations(spark, sf_dir), True, _merge_all)
-
-
 @query("leader_reduce", f"""{COMPONENTS}, n AS (SELECT c.*, count(*) OVER (PARTITION BY component) AS size FROM c), m AS (SELECT n.component, n.node AS seq, e, row_number() OVER (PARTITION BY component ORDER BY node) AS k FROM n JOIN v ON id = node WHERE size > 1),
  f(component, k, kept) AS (SELECT component, 1, [seq] FROM m WHERE k = 1 UNION ALL
   SELECT f.component, f.k + 1, CASE WHEN EXISTS (SELECT 1 FROM v l WHERE list_contains(f.kept, l.id) AND list_dot_product(l.e, m.e) >= 0.4) THEN f.kept ELSE list_append(f.kept, m.seq) END FROM f JOIN m ON m.component = f.component AND m.k = f.k + 1)
@@ -408,14 +387,6 @@ def index_diff(spark, sf_dir):
     return index.diff(now, before)
 
 
-@query("index_refresh", DIFF + """ SELECT source_file, 'kept' AS origin FROM d WHERE change = 'same' UNION ALL SELECT source_file, 'made' AS origin FROM d WHERE change IN ('new', 'changed')""")
-def index_refresh(spark, sf_dir):
-    _, now, before = _manifests(spark, sf_dir)
-    change = index.diff(now, before)
-    kept = before.join(change.where("change <> 'same'"), ["corpus", "source_file"], "left_anti").select("source_file", F.lit("kept").alias("origin"))
-    return kept.unionByName(now.join(change.where("change in ('new', 'changed')"), ["corpus", "source_file"], "left_semi").select("source_file", F.lit("made").alias("origin")))
-
-
 def _candidates(spark, sf_dir):
     """A relation of each document, made of its whole text; of each seven another breaks another rule."""
     d = table(spark, sf_dir, "documents")
@@ -460,15 +431,6 @@ def fence_strip(spark, sf_dir):
     return c.select("conv_id", "turn", tx.without_fence(fenced).alias("text"))
 
 
-@query("reading_notes")
-def reading_notes(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    w = F.filter(F.split("text", " "), lambda x: x != "")
-    word = lambda i: F.coalesce(F.get(w, i), F.lit("none"))
-    answer = F.concat(F.lit("Verbs: "), word(1), F.lit("; "), word(2), F.lit("; none; "), word(1), F.lit("\nReading: "), "text", F.lit("\nlinks - "), word(0), F.lit(" | is | "), word(3), F.lit("; a | b; zz | is | qq"))
-    return c.select("conv_id", "turn", notes.notes(answer, F.col("text")).alias("notes"), notes.dropped_links(notes.labelled(answer, "links"), F.col("text")).alias("dropped"))
-
-
 def _classes(spark):
     return spark.createDataFrame([(i, c, f"What {c} are", f"How {c} are told") for i, c in enumerate(validate.CLASSES)], "n int, name string, definition string, narrative string")
 
@@ -496,7 +458,13 @@ def prompt_render(spark, sf_dir):
 
 
 def _stub_answer(prompt: str) -> str:
-    """Relations made of the passage's words; the answer of a reading request is its labelled lines."""
+    """Relations made of the passage's words; a reading's labelled lines; all listed relations as one, with the first one's fields; that two mean the same."""
+    if prompt.startswith("Do both"):
+        return '{"same_meaning": true}'
+    if prompt.startswith(("These ", "Group those ")):
+        listed = prompt.split("\n\n")[1:-1]
+        fields = dict(line.split(": ", 1) for line in listed[0].split("\n")[1:])
+        return json.dumps({"groups": [{"members": list(range(1, len(listed) + 1)), **{f: fields[label] for label, f in prompts.FIELDS}}]})
     passage = prompt.rsplit("Passage:\n", 1)[-1].split("\nAnswer", 1)[0]
     words = [w.strip(".,").lower() for w in passage.split() if len(w.strip(".,")) > 3] or ["none"]
     if prompt.startswith("Read"):
@@ -536,13 +504,14 @@ def json_relations(spark, sf_dir):
 
 @query("knowledge_run")
 def knowledge_run(spark, sf_dir):
-    """Extraction, by the default options, and consolidation over all documents, with stand-ins for model, judge and encoder."""
+    """Extraction, by the default options, and consolidation over all documents, with stand-ins for model and encoder."""
     d = table(spark, sf_dir, "documents")
     s = bl.snippets(d.select(F.col("doc_id").alias("doc"), F.lit(1).alias("block_no"), F.lit(1).alias("page"), "text")).withColumnRenamed("doc", "source_pdf")
     found = knowledge.extract(s, _classes(spark), _stub, Options(), _passages(spark, sf_dir))
-    good = found.where(F.col("reject_reason").isNull()).withColumn("seq", F.row_number().over(Window.orderBy("source_pdf", "paragraph_index", "class_no", "place")))
-    rows = good.select("seq", *validate.REQUIRED, F.col("source_pdf").cast("long").alias("source_pdf"))
-    return knowledge.consolidate(rows.withColumn("seq", F.col("seq").cast("long")), _merge_all, lambda a, b: {}, 0.8)
+    good = found.where(F.col("reject_reason").isNull()).withColumn("source_pdf", F.col("source_pdf").cast("long"))
+    # The order of arrival as one number, without a sort of all rows: at most 2**20 snippets of a document, 16 classes, 256 relations of an answer.
+    seq = F.shiftleft("source_pdf", 32) + F.shiftleft(F.col("paragraph_index").cast("long"), 12) + F.col("class_no") * 256 + F.col("place")
+    return knowledge.consolidate_by_model(good.select(seq.alias("seq"), *validate.REQUIRED, "source_pdf"), _stub, Options())
 
 
 def _passages(spark, sf_dir):
@@ -550,3 +519,6 @@ def _passages(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("corpus"), F.col("item_id").cast("string").alias("source_file"), F.lit(0).alias("chunk_index"), "text")
     c = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("corpus"), F.col("conv_id").cast("string").alias("source_file"), F.col("turn").cast("int").alias("chunk_index"), "text")
     return written(retrieval.encode(b.unionByName(c), "text"))
+
+
+from folioloom import catalogue_parts  # noqa: E402, F401  adds its queries to these

@@ -121,6 +121,21 @@ def snapshot(tables: dict[str, DataFrame], root: str, run: str, saved_at: float,
     return at
 
 
+def write_json(spark: SparkSession, path: str, value) -> None:
+    """A small document at any path that Spark can write to, whole or not at all: written beside, then renamed over what was there."""
+    fs, at = _path(spark, path)
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=2).encode()))
+    finally:
+        out.close()
+    if not fs.rename(part, at):  # most file systems do not rename over a file
+        fs.delete(at, False)
+        if not fs.rename(part, at):
+            raise OSError(f"cannot write {path}")
+
+
 def write_json_atomic(path: str, value) -> None:
     """A small local document, whole or not at all."""
     tmp = f"{path}.{uuid.uuid4().hex}.tmp"
