@@ -52,7 +52,7 @@ def _coin(seed: int, *key) -> float:
     return xxhash.xxh64_intdigest(repr(key).encode(), seed) / 2.0**64
 
 
-def pivot(ids: list, sizes: list[int], p: list[float], seed: int, last: bool) -> list[float]:
+def pivot(keys: list, sizes: list[int], p: list[float], seed: int, last: bool) -> list[float]:
     """Probabilities after passing them on: all 0 or 1 but for one at most, and for none if ``last``."""
     p = list(p)
     held = -1
@@ -65,12 +65,12 @@ def pivot(ids: list, sizes: list[int], p: list[float], seed: int, last: bool) ->
         a, b = held, i
         up = min((1 - p[a]) * sizes[a], p[b] * sizes[b])  # words that may go to a
         down = min(p[a] * sizes[a], (1 - p[b]) * sizes[b])  # and from it
-        give = up if _coin(seed, ids[a], ids[b], p[a], p[b]) * (up + down) < down else -down
+        give = up if _coin(seed, keys[a], keys[b], p[a], p[b]) * (up + down) < down else -down
         pa_, pb_ = p[a] + give / sizes[a], p[b] - give / sizes[b]
         p[a], p[b] = (0.0 if pa_ < 1e-12 else 1.0 if pa_ > 1 - 1e-12 else pa_), (0.0 if pb_ < 1e-12 else 1.0 if pb_ > 1 - 1e-12 else pb_)
         held = a if 0 < p[a] < 1 else b if 0 < p[b] < 1 else -1
     if last and held >= 0:
-        p[held] = float(_coin(seed, ids[held], "last") < p[held])
+        p[held] = float(_coin(seed, keys[held], "last") < p[held])
     return p
 
 
@@ -83,7 +83,7 @@ def _level(rows: DataFrame, seed: int, last: bool) -> DataFrame:
         keys = list(zip(group["size"].to_pylist(), group["h"].to_pylist(), group["p"].to_pylist()))
         order = sorted(range(len(keys)), key=lambda i: (-keys[i][0], keys[i][1:]))
         group = group.take(pa.array(order, pa.int64()))
-        p = pivot(group["doc_id"].to_pylist(), group["size"].to_pylist(), group["p"].to_pylist(), seed, last)
+        p = pivot(group["h"].to_pylist(), group["size"].to_pylist(), group["p"].to_pylist(), seed, last)
         return group.set_column(group.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
     return rows.groupBy("place", "chunk").applyInArrow(settle, SCHEMA)
@@ -93,12 +93,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     """doc_id, size, source_size, target, copies, taken, source: one row for each of docs.
 
     Null text has no words. A document without words takes none. Repeated rows are documents of their own, of which equal
-    ones are interchangeable. The same rows give the same copies in any partitioning: coins are hashes of ids.
+    ones are interchangeable. The same rows give the same copies in any partitioning: coins are hashes of ids and texts.
     """
     words = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.col(source_col).cast("string").alias("source"),
+        # The text too, so that documents without an id, or with one id, are dealt over all chunks.
+        F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.lit(seed)).alias("h"),
     )
     words = written(words)
     goals = targets(words, weights, most)
@@ -111,7 +113,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
         .withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0))
         .withColumn("whole", F.floor("rate").cast("long"))
         .withColumn("p", F.col("rate") - F.col("whole"))
-        .withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
         .withColumn("chunk", F.pmod("h", F.lit(chunks)))
         .select("doc_id", "size", "source", "source_size", "target", "place", "whole", "p", "h", "chunk")
     )
@@ -132,7 +133,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs as often as the mix takes them, with mix_copy (from 1), mix_size and mix_target added; others are left out.
 
-    Repeated rows are told apart by a number, so each is taken as often as its own draw says.
+    Columns of these three names that docs has already, those of an earlier mix, are replaced; all others stay as they are. A document
+    without words is left out. Repeated rows are told apart by a number, so each is taken as often as its own draw says.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     own = [F.col(f"row.`{c}`") for c in (id_col, source_col)]

@@ -47,12 +47,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op3_decontamination",
     r"""WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
-     ic AS (SELECT w, min(item_id) AS item_id, count(*) AS n_items FROM iw WHERE len(w) >= 5 GROUP BY w),
-     s AS (SELECT DISTINCT item_id, n_items, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM ic),
+     ic AS (SELECT w, least(len(w), 5) AS k, min(item_id) AS item_id, count(*) AS n_items FROM iw WHERE len(w) >= 1 GROUP BY w),
+     s AS (SELECT DISTINCT item_id, n_items, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS s FROM ic),
      q AS (SELECT item_id, n_items, count(*) AS q FROM s GROUP BY ALL),
      dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
-     ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM dw WHERE len(w) >= 5),
-     h AS (SELECT doc_id, item_id, count(*) AS n FROM ds JOIN s USING (s) GROUP BY ALL)
+     ds AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS s FROM dw JOIN (SELECT DISTINCT k FROM ic) ON len(w) >= k),
+     h AS (SELECT doc_id, item_id, count(*) AS n FROM ds JOIN s USING (k, s) GROUP BY ALL)
 SELECT doc_id, h.item_id, n_items, q AS n_shingles, n / q AS containment FROM h JOIN q USING (item_id) WHERE n / q >= 0.8 - 1e-9""",
 )
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,20 +32,20 @@ CLASSES = (
     ("hex", re.compile(r"[0-9a-fA-F]{20,}"), 20, 3.0),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 4.1),
 )
-# What is random but no secret.
+# Whole candidates that are random, or say that they are examples, and no secret; each must match from end to end.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),  # UUID
-    re.compile(r"(?i)example|sample|dummy|placeholder|abcdef|012345|xxxx"),
+    re.compile(r"(?i)(?:[a-z0-9]+[-_])*(?:your|my|example|sample|dummy|placeholder|changeme|x{4,})(?:[-_][a-z0-9]+)*"),  # words of which one says so
+    re.compile(r"EXAMPLE(?:KEY)?[A-Za-z0-9+/=]*|[A-Za-z0-9+/=]*EXAMPLE(?:KEY)?"),  # keys of documentation
     re.compile(r"[A-Za-z]+"),  # a word, however long
     re.compile(r"[0-9_=+/-]+"),  # a number or a rule
     re.compile(r"/?(?:[A-Za-z][a-z_-]*|[0-9]{1,4})(?:/(?:[A-Za-z][a-z_-]*|[0-9]{1,4}))+/?"),  # a path
-    re.compile(r"[A-Za-z]+(?:[-_][A-Za-z0-9]{1,12})+"),  # words joined by hyphens
+    re.compile(r"(?:[A-Za-z]+|[0-9]{1,4})(?:[-_](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))+"),  # words and short numbers joined by hyphens
 )
-_SEARCHED = {1}
 
 
 def allowed(text: str) -> bool:
-    return any(p.search(text) if i in _SEARCHED else p.fullmatch(text) for i, p in enumerate(ALLOWED))
+    return any(p.fullmatch(text) for p in ALLOWED)
 
 
 def entropy_spans(text: str, window: int, least: float) -> list[tuple[int, int]]:

@@ -82,3 +82,19 @@ def test_expected_copies_are_the_probabilities():
         for i, x in enumerate(mixing.pivot(list(range(n)), sizes, p, seed, last=True)):
             mean[i] += x / runs
     assert all(abs(m - q) < 0.04 for m, q in zip(mean, p))
+
+
+def test_documents_without_an_id_are_dealt_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 8)
+    seen = []
+    level = mixing._level
+
+    def counted(rows, seed, last):
+        seen.append(max(r["count"] for r in rows.groupBy("place", "chunk").count().collect()))
+        return level(rows, seed, last)
+
+    monkeypatch.setattr(mixing, "_level", counted)
+    df = spark.createDataFrame([(None, f"a b c {i}", "s") for i in range(400)] + [(None, f"x {i}", "t") for i in range(200)], "doc_id long, text string, source string")
+    out = mixing.mix(df).collect()
+    assert len(out) == 600 and seen[0] < 40
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))

@@ -63,6 +63,15 @@ def test_random_strings_are_found_and_allowed_ones_are_not():
         assert secrets.added_spans(f"see {fine} here") == []
 
 
+def test_what_is_allowed_is_allowed_from_end_to_end():
+    digits = "9f8a7b6c5d0123454e3f2a1b0c9d8e7f6a5b4c31"
+    assert secrets.added_spans(f"key {digits} x") and secrets.added_spans("key 9f8aabcdef6c5d4e3f2a1b0c9d8e7f6a5b4c31 x")
+    assert not secrets.allowed("xoxb-123456789012-abcDEF123456") and not secrets.allowed("k3Yexample9Qz7TnWp2LbVx8RdJc5")
+    assert secrets.added_spans("xoxb-123456789012-abcDEF123456GhJkLm")
+    for fine in ("your-api-key-goes-here-please", "my_example_token_0001_abc", "build-2024-01-15-release-candidate-3", "XXXX-XXXX-XXXX-XXXX-XXXX-XXXX"):
+        assert secrets.allowed(fine) and secrets.added_spans(f"see {fine} here") == []
+
+
 def test_empty_table_and_long_text(nothing, nasty):
     assert secrets.scan(nothing).collect() == []
     assert secrets.scan(nasty).count() == nasty.count()
