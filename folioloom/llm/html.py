@@ -1,12 +1,13 @@
-"""Main text of web pages: structure first, then differencing with the page of the nearest URL.
+"""Main text of web pages: structure first, then differencing of what is in doubt with the page of the nearest URL.
 
-A page with an article (or a main element) tells which blocks are its text; of those the parts that are
-menus, adverts, comments and the like by their element, role or class go. On a page that tells nothing the doubtful lines are
-compared with those of the nearest page: pages of a host are ordered by URL path, a page is paired with the neighbour
-that shares the longer path prefix, their lines are aligned by longest common subsequence, and shared lines are deleted.
+What the page tells goes first: menus, footers, forms, scripts and the like by element or role, adverts, sidebars, comments and notices by
+classes and ids that are made of such words only. An article (or a main element) tells which blocks are the text. What is left in
+doubt is compared with the nearest page: pages of a host are ordered by URL path, a page is paired with the neighbour that shares the longer path
+prefix, their lines are aligned by longest common subsequence, and shared lines in doubt are deleted. In doubt are, on a page
+that tells no article, all its lines; in an article those under a class or id that has such a word among others ("related-work").
 
 Differencing alone cannot give the article: adverts and footers differ from page to page, and copies of an article on one
-host share all their lines. So an article's lines are never deleted.
+host share all their lines. So an article's other lines are never deleted, and a page that shares most of them tells nothing.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,16 +29,23 @@ BLOCKS = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe noembed noframes xmp".split())
-DROPPED = RAW | set("head nav footer aside form menu dialog search button select datalist svg math canvas object audio video map applet fieldset".split())
+DROPPED = RAW | set("head nav footer aside form menu dialog search fieldset".split())
+#: Elements inside a line: what they hold goes, the line goes on.
+INLINE_DROPPED = set("button select datalist svg canvas object audio video map applet".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form status toolbar".split())
-# The first or last part of a class or id that marks what is no article.
+# Words of classes and ids that mark what is no article, and words that say no more than where such a thing is.
 MARKS = set(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner banners "
     "sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs toc footer masthead comment comments commentlist respond disqus reply replies "
     "notice notices cookie cookies consent gdpr alert alerts popup popups modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations widget widgets toolbar pagination pager disclaimer copyright paywall search searchbox skip discussion".split()
 )
+PLACES = set(
+    "site page main global top bottom left right upper lower inner outer primary secondary header head body content container wrapper wrap holder box block area zone region section "
+    "slot unit bar panel pane row column col list item items links link button buttons btn icon icons form field text title heading label image img thread post posts article articles "
+    "story stories entry entries user reader readers author web mobile desktop sticky fixed small large big first last js wp s a 1 2 3 4 5".split()
+)
 # Whole classes or ids of a page's head, and of what holds its text where no element says so.
 HEADS = set("header site-header page-header top-header global-header main-header header-top".split())
 CONTENT = set("content main-content page-content article article-body article-content article-text post post-body post-content entry entry-content story story-body main-text body-text body-content".split())
@@ -53,12 +60,25 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _URL = re.compile(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)([^?#]*)")
 
 STRUCTURE, DOUBTFUL, MAIN, ARTICLE = range(4)
+#: Added to a kind: in doubt, though inside what holds the text.
+SUSPECT = 4
 #: Inside an inline element that is no part of the article: its text is left out and the block goes on.
 HIDDEN = -1
 
 
+def _named(name: str, inside: bool) -> str | None:
+    """What a class or id says: 'structure', 'content', 'suspect' or nothing."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if p]
+    whole = "-".join(parts)
+    if whole in HEADS and not inside:
+        return "structure"
+    if any(p in MARKS for p in parts):
+        return "structure" if all(p in MARKS or p in PLACES for p in parts) else "suspect"
+    return "content" if whole in CONTENT else None
+
+
 def _told(attributes: str, tag: str, inside: bool) -> int | None:
-    """What role, class, id or style tell of an element: STRUCTURE if it is no part of an article, MAIN or ARTICLE if it holds the text, or nothing."""
+    """What role, class, id or style tell of an element: STRUCTURE if it is no part of an article, MAIN or ARTICLE if it holds the text, SUSPECT if it may be either, or nothing."""
     if not attributes.strip():
         return None
     at: dict[str, str] = {}
@@ -71,23 +91,27 @@ def _told(attributes: str, tag: str, inside: bool) -> int | None:
         return MAIN if role == "main" else ARTICLE
     if tag in HOLDERS:
         return None
-    found = None
-    for name in (at.get("class", "") + " " + at.get("id", "")).split():
-        parts = [p for p in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if p]
-        whole = "-".join(parts)
-        if whole in HEADS and not inside:
-            return STRUCTURE
-        if parts and parts[0] not in ("no", "has", "with", "without") and (parts[0] in MARKS or parts[-1] in MARKS):
-            if tag == "article" and not {"comment", "comments", "reply"} & {parts[0], parts[-1]}:
-                continue
-            return STRUCTURE
-        if whole in CONTENT and tag in ("div", "section", "td"):
-            found = MAIN
-    return found
+    # Ids of headings, and inside a text those of paragraphs and sections, are made of their words.
+    ids = [] if tag in HEADINGS else at.get("id", "").split()
+    said = {_named(n, inside) for n in at.get("class", "").split()}
+    slug = {_named(n, inside) for n in ids}
+    if inside and tag in ("p", "section", "span", "a"):
+        slug = {"suspect" if s == "structure" else s for s in slug}
+    said |= slug
+    if tag == "article":
+        return STRUCTURE if re.search(r"(?i)\b(?:comments?|reply)\b", at.get("class", "") + " " + at.get("id", "")) else None
+    if "structure" in said:
+        return STRUCTURE
+    if "suspect" in said and inside:
+        return SUSPECT
+    return MAIN if "content" in said and tag in ("div", "section", "td") else None
 
 
 def blocks_of(html: str) -> list[tuple[str, int]]:
-    """(text, kind) of each non-empty block in page order; structure is what is dropped whatever else the page has."""
+    """(text, kind) of each non-empty block in page order; structure is what is dropped whatever else the page has.
+
+    A block is suspect (SUSPECT is added to its kind) if all of it is.
+    """
     out: list[tuple[str, int]] = []
     buffer: list[str] = []
     # Open elements with the kind of what they hold, and how many there are of each tag. Inline elements outside structure
@@ -100,7 +124,7 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
     def add(text: str) -> None:
         nonlocal of
         if kind != HIDDEN:
-            of = of if buffer else kind
+            of = kind if not buffer else of - SUSPECT if of >= SUSPECT > kind and text.strip() else of
             buffer.append(text)
 
     def flush() -> None:
@@ -112,7 +136,7 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
 
     def pop_to(n: int) -> None:
         nonlocal kind
-        if any(k != HIDDEN and (t in BLOCKS or t in DROPPED or k != (stack[n - 1][1] if n else DOUBTFUL)) for t, k in stack[n:]):
+        if any(k != HIDDEN and (t in BLOCKS or t in DROPPED or k % SUSPECT != (stack[n - 1][1] if n else DOUBTFUL) % SUSPECT) for t, k in stack[n:]):
             flush()
         for t, _ in stack[n:]:
             opened[t] -= 1
@@ -171,17 +195,19 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
             continue
         now = kind
         if kind not in (STRUCTURE, HIDDEN):
-            inside = kind in (ARTICLE, MAIN)
-            told = STRUCTURE if tag in DROPPED or (tag == "header" and not inside) else _told(attributes, tag, inside)
+            inside = kind % SUSPECT in (ARTICLE, MAIN)
+            told = STRUCTURE if tag in DROPPED or tag in INLINE_DROPPED or (tag == "header" and not inside) else _told(attributes, tag, inside)
             if told == STRUCTURE:
                 now = STRUCTURE if tag in BLOCKS or tag in DROPPED else HIDDEN
             elif tag == "article" or told == ARTICLE:
                 now = ARTICLE
-            elif (tag == "main" or told == MAIN) and kind != ARTICLE:
+            elif (tag == "main" or told == MAIN) and kind % SUSPECT != ARTICLE:
                 now = MAIN
-        if now != kind and now != HIDDEN:
-            flush()
+            elif told == SUSPECT and kind < SUSPECT:
+                now = kind + SUSPECT
         inline = tag not in BLOCKS and tag not in DROPPED
+        if now != kind and now != HIDDEN and not (inline and now % SUSPECT == kind % SUSPECT):
+            flush()
         if inline and (attributes.rstrip().endswith("/") or now == kind and kind not in (STRUCTURE, HIDDEN)):
             continue
         stack.append((tag, now))
@@ -250,27 +276,27 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return sorted(ends + [lo + i for i in one] + [lo + half + i for i in two])
 
 
-EXTRACTED = "page_id long, url string, row_key long, host string, path string, text string, blocks array<string>, places array<int>, lines array<long>"
+EXTRACTED = "page_id long, url string, row_key long, host string, path string, text string, blocks array<string>, places array<int>, judged array<boolean>, lines array<long>"
 
 
 def _extract(pages: DataFrame) -> DataFrame:
-    """text of pages that tell their article; else blocks, their places among the lines, and hashes of all lines."""
+    """text of pages of which nothing is in doubt; else blocks, their places among the lines, which are in doubt, and hashes of all lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, urls, keys, htmls in by_column(batches, "page_id", "url", "row_key", "html"):
             out = []
             for url, html in zip(urls.to_pylist(), htmls.to_pylist()):
                 found = blocks_of(html or "")
-                kinds = {k for _, k in found}
+                kinds = {k % SUSPECT for _, k in found}
                 best = ARTICLE if ARTICLE in kinds else MAIN if MAIN in kinds else DOUBTFUL
-                kept = [(i, t) for i, (t, k) in enumerate(found) if k == best]
+                kept = [(i, t, best == DOUBTFUL or k >= SUSPECT) for i, (t, k) in enumerate(found) if k % SUSPECT == best]
                 lines = [xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in found]
-                if best == DOUBTFUL and kept:
-                    out.append((*split_url(url), None, [t for _, t in kept], [i for i, _ in kept], lines))
+                if any(doubt for _, _, doubt in kept):
+                    out.append((*split_url(url), None, *([x[j] for x in kept] for j in (1, 0, 2)), lines))
                 else:
-                    out.append((*split_url(url), "\n\n".join(t for _, t in kept), None, None, lines))
-            kinds_ = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([ids, urls, keys, *(pa.array(c, t) for c, t in zip(zip(*out), kinds_))], ["page_id", "url", "row_key", "host", "path", "text", "blocks", "places", "lines"])
+                    out.append((*split_url(url), "\n\n".join(t for _, t, _ in kept), None, None, None, lines))
+            kinds_ = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([ids, urls, keys, *(pa.array(c, t) for c, t in zip(zip(*out), kinds_))], ["page_id", "url", "row_key", "host", "path", "text", "blocks", "places", "judged", "lines"])
 
     return pages.mapInArrow(run, EXTRACTED)
 
@@ -303,39 +329,57 @@ def _neighbours(light: DataFrame, parts: int) -> DataFrame:
     w = Window.orderBy("part")  # one row a partition
     near = ends.select("part", F.lag("last").over(w).alias("before"), F.lead("first").over(w).alias("after"))
     ghosts = near.select("part", F.explode(F.array("before", "after")).alias("g")).where(F.col("g").isNotNull()).select("part", "g.*", F.lit(True).alias("ghost"))
-    both = dealt.withColumn("ghost", F.lit(False)).unionByName(ghosts)
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.take(pc.sort_indices(group, [(c, "ascending") for c in order], null_placement="at_start"))  # as Spark has it
-        host, path, key, doubtful, ghost = (group[c].to_pylist() for c in ("host", "path", "line_key", "doubtful", "ghost"))
-        hosts, keys, shared = [], [], []
-        for i in range(len(key)):
-            if ghost[i] or not doubtful[i]:
-                continue
-            beside = [j for j in (i - 1, i + 1) if 0 <= j < len(key) and host[j] == host[i]]
-            if beside:
-                j = max(beside, key=lambda j: (_shared_prefix(path[i], path[j]), -j))
-                hosts.append(host[i])
-                keys.append(key[i])
-                shared.append(common_lines(group["lines"][i].as_py(), group["lines"][j].as_py()))
-        return pa.table({"host": pa.array(hosts, pa.string()), "line_key": pa.array(keys, pa.int64()), "shared": pa.array(shared, pa.list_(pa.int32()))})
-
-    return both.groupBy("part").applyInArrow(run, "host string, line_key long, shared array<int>")
+    both = dealt.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition(parts, "part").sortWithinPartitions("part", *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pages in order; no more than three are held."""
+        held: list[tuple] = []  # part, host, path, line_key, doubtful, ghost, lines
+
+        def judged(i: int) -> tuple | None:
+            part, host, path, key, doubtful, ghost, lines = held[i]
+            beside = [x for j in (i - 1, i + 1) if 0 <= j < len(held) and (x := held[j])[:2] == (part, host)]
+            if ghost or not doubtful or not beside:
+                return None
+            other = max(beside, key=lambda x: _shared_prefix(path, x[2]))  # the one before, of equals
+            return host, key, common_lines(lines.as_py(), other[6].as_py())
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            hosts, keys, shared = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(shared, pa.list_(pa.int32()))], ["host", "line_key", "shared"])
+
+        for parts_, *columns, lines in by_column(batches, "part", "host", "path", "line_key", "doubtful", "ghost", "lines"):
+            rows = []
+            for row_ in zip(parts_.to_pylist(), *(c.to_pylist() for c in columns), lines):
+                held.append(row_)
+                if len(held) > 1:
+                    rows.append(judged(len(held) - 2))
+                    held = held[-2:]
+            if rows := [r for r in rows if r]:
+                yield told(rows)
+        if held and (last := judged(len(held) - 1)):
+            yield told([last])
+
+    return both.mapInArrow(run, "host string, line_key long, shared array<int>")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars: one row for each of pages. Null html is empty; a null url is a host of its own.
+    """page_id, url, text, n_chars: one row for each of pages; other columns of pages do not matter. Null html is empty; a null url is a host of its own.
 
     Repeated rows have one text. A page is compared with the nearest one of its host that has other lines; a page whose host has none, as
-    that of copies only, keeps its doubtful lines.
+    that of copies only, keeps its lines in doubt. So does an article of whose other lines the nearest page has more than half. A page may be
+    of any length: a task holds the pages of a batch, and three of the ordered ones.
     """
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     found = written(_extract(p.withColumn("row_key", F.xxhash64("page_id", "url", "html"))))
     light = found.select("host", "path", "page_id", "row_key", "lines", F.col("text").isNull().alias("doubtful")).dropDuplicates(["row_key"])
     shared = _neighbours(light, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    doubtful = found.where(F.col("text").isNull()).select("page_id", "url", "host", F.xxhash64("lines").alias("line_key"), "blocks", "places")
-    left = doubtful.join(shared, ["host", "line_key"], "left")
-    kept = F.filter(F.arrays_zip("blocks", "places"), lambda x: ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), x["places"]))
+    doubtful = found.where(F.col("text").isNull()).select("page_id", "url", "host", F.xxhash64("lines").alias("line_key"), "blocks", "places", "judged")
+    left = doubtful.join(shared, ["host", "line_key"], "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<int>")))
+    sure = F.filter(F.arrays_zip("places", "judged"), lambda x: ~x["judged"])
+    met = F.size(F.filter(sure, lambda x: F.array_contains(F.col("shared"), x["places"])))
+    left = left.withColumn("copy", (F.size(sure) > 0) & (2 * met > F.size(sure)))
+    gone = lambda x: x["judged"] & ~F.col("copy") & F.array_contains(F.col("shared"), x["places"])
+    kept = F.filter(F.arrays_zip("blocks", "places", "judged"), lambda x: ~gone(x))
     text = F.array_join(F.transform(kept, lambda x: x["blocks"]), "\n\n")
     out = found.where(F.col("text").isNotNull()).select("page_id", "url", "text").unionByName(left.select("page_id", "url", text.alias("text")))
     return out.withColumn("n_chars", F.length("text").cast("long"))

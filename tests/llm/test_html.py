@@ -78,6 +78,75 @@ def test_copies_on_a_host_do_not_take_each_others_lines(spark):
     assert got == {0: "one", 1: "one", 2: "one", 3: "two", 4: "two"} | {10 + i: whole("all alike") for i in range(3)} | {20: whole("none"), 21: whole("none")}
 
 
+def test_an_article_keeps_what_only_sounds_like_structure():
+    for probe in ('<section id="search-and-rescue">{}</section>', '<h2 id="social-impact">{}</h2>', '<p class="ad-hoc">{}</p>', '<p id="related-work">{}</p>', '<p><span class="share-price">{}</span></p>', '<h3 id="comments">{}</h3>', '<section id="disclaimer"><p>{}</p></section>'):
+        page = "<article><p>a</p>" + probe.format("kept text") + "<p>b</p></article>"
+        assert [t for t, k in html.blocks_of(page) if k] == ["a", "kept text", "b"]
+    for probe in ('<div class="ad-slot">x</div>', '<p class="sidebarBox">x</p>', '<div class="related-posts"><p>x</p></div>', '<div id="comments">x</div>', '<div class="cookie-notice">x</div>', '<p class="wide promo">x</p>'):
+        assert [t for t, k in html.blocks_of("<article><p>a</p>" + probe + "<p>b</p></article>") if k] == ["a", "b"]
+    assert text_of("<article><p>c1 <svg><text>no</text></svg>d <button><div>no</div></button>e<math><mi>x</mi></math></p><p>f <select><option>no</select>g") == ["c1 d ex", "f g"]
+    kinds = html.blocks_of('<article><p>one <span class="share-price">two</span></p><p><span class="share-price">three</span></p><p><b class="share-price">four</b> five</p>')
+    assert kinds == [("one two", html.ARTICLE), ("three", html.ARTICLE + html.SUSPECT), ("four five", html.ARTICLE)]
+
+
+def brute(pages):
+    """Texts of pages by comparing each with the nearest of all pages of its host, in the order of paths; a plain model of main_text()."""
+    out, known = {}, {}
+    for i, url, page in pages:
+        host, path = html.split_url(url)
+        found = html.blocks_of(page or "")
+        known.setdefault(host, {}).setdefault(tuple(t for t, _ in found), []).append((path, i))
+    for i, url, page in pages:
+        host, _ = html.split_url(url)
+        found = html.blocks_of(page or "")
+        lines = [t for t, _ in found]
+        best = max((k % 4 for _, k in found), default=1)
+        line_up = sorted((min(v), k) for k, v in known[host].items())
+        at = next(n for n, (_, k) in enumerate(line_up) if list(k) == lines)
+        path = line_up[at][0][0]
+        beside = [line_up[n] for n in (at - 1, at + 1) if 0 <= n < len(line_up)]
+        shared = set()
+        if beside:
+            other = max(beside, key=lambda x: html._shared_prefix(path, x[0][0]))
+            shared = set(html.common_lines([hash(x) for x in lines], [hash(x) for x in other[1]]))
+        kept = [(n, t, best == 1 or k >= 4) for n, (t, k) in enumerate(found) if k % 4 == best]
+        sure = [n for n, _, d in kept if not d]
+        copy = 2 * sum(n in shared for n in sure) > len(sure) > 0
+        out[i] = "\n\n".join(t for n, t, d in kept if not (d and n in shared and not copy))
+    return out
+
+
+def test_differencing_against_brute_force(spark):
+    rng = random.Random(9)
+    pages = []
+    for i in range(240):
+        own = [f"<p>own {i} {j}</p>" for j in range(rng.randint(0, 3))]
+        doubt = [f'<p class="related-work">{rng.choice(["see more", "read on", f"only {i}"])}</p>' for _ in range(rng.randint(0, 2))]
+        text = own + doubt
+        if rng.random() < 0.3:
+            text = [f"<p>own copy {j}</p>" for j in range(4)] + doubt
+        rng.shuffle(text)
+        page = "".join(text)
+        kind = rng.random()
+        page = f"<article>{page}</article>" if kind < 0.5 else f'<div id="content">{page}</div>' if kind < 0.6 else f"<div>Menu</div>{page}<div>Foot {rng.randint(0, 1)}</div>"
+        pages.append((i, rng.choice([f"http://h{rng.randint(0, 2)}.x/{rng.choice('abc')}/{rng.randint(0, 60)}", None]), page))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = brute(pages)
+    for n in ("1", "6"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {r.page_id: r.text for r in html.main_text(df.repartition(5)).collect()}
+        assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert any("see more" not in want[i] and "see more" in p for i, _, p in pages) and any("see more" in t for t in want.values())
+
+
+def test_extra_columns_and_a_long_page(spark):
+    long = "<article>" + "".join(f"<p>paragraph {i} of a long page</p>" for i in range(60000)) + '<p class="ad-hoc">doubt</p></article>'
+    df = spark.createDataFrame([(1, "http://a/1", long, "t", 1, "h"), (1, "http://a/1", long, "t", 1, "h"), (2, "http://a/2", "<p>x", None, None, None)], "page_id long, url string, html string, text string, part int, host string")
+    got = sorted((r.page_id, r.text[-24:], r.n_chars) for r in html.main_text(df).collect())
+    assert got[0] == got[1] and got[0][1].endswith("long page\n\ndoubt") and got[2][:2] == (2, "x")
+
+
 def test_empty_table(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
