@@ -69,7 +69,17 @@ def written(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Written tables that nothing will read again are deleted before the driver ends."""
+    for t in tables:
+        if path := getattr(t, "_written", None):
+            _delete(t.sparkSession, path)
+            _scratch[:] = [s for s in _scratch if s[1] != path]
 
 
 def trim() -> None:

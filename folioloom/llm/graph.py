@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioloom.llm._common import written
+from folioloom.llm._common import forget, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = written(edges.distinct())
     seen = None
     while True:
-        edges = written(_stars(_stars(edges, True), False))
+        before, edges = edges, written(_stars(_stars(edges, True), False))
+        forget(before)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).head()
         if now == seen:
             break

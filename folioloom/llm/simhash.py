@@ -1,12 +1,14 @@
 """SimHash fingerprints of word shingles, and all pairs of them within a few differing bits.
 
-A fingerprint's eight bytes are indexed by position. Two fingerprints that differ in at most d bits
-agree in at least 8 - d positional bytes, so the posting lists are keyed by sets of 8 - d positions with
-their bytes: each pair that can pass the count filter meets in some list, and a list holds no pair that
-cannot. (Lists of single bytes would hold a 256th of all fingerprints each, so all pairs of them would be
-tallied in time quadratic in the input.) With d = 2 the members of a list differ in two bytes only, so a
-list has 65,536 members at most, however many documents there are. Within a list each pair's tally of shared
-positional bytes is counted, pairs with fewer than 8 - d are dropped, and the rest are verified bit by bit.
+A fingerprint's eight bytes are indexed by position. Two fingerprints that differ in at most two bits agree in at least six positional
+bytes, the guaranteed minimum, and of the four pairs of neighbouring positions in at least two. So a posting list is keyed by two such
+pairs with their four bytes: six lists hold each fingerprint, and each pair that can pass the count filter meets in one at least. In a list the
+shared positional bytes of each pair are tallied, four to eight, pairs with fewer than six are dropped, and the rest are verified bit by bit.
+(Lists of single bytes would hold a 256th of all fingerprints each, so tallying their pairs would take time quadratic in the input.)
+
+A list of more than LONG fingerprints is dealt again by two more positions that a passing pair must share, in all six ways. Its
+members then differ in two bytes only, so that a list has 65,536 at most, however many documents there are, and all have the
+minimum; a long one is searched by flipping the bits of those bytes.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioloom.llm._common import as_bytes, bits_of, by_column, hashes, lists, mixed, window_hashes, written
+from folioloom.llm._common import as_bytes, bits_of, by_column, forget, hashes, lists, mixed, window_hashes, written
 from folioloom.llm.graph import components
 
-#: A list with no more members than this is compared member by member; a longer one by flipping bits.
-SMALL_LIST = 128
+#: A list of four positions with more members than this is dealt again; one of six positions with more members than this is searched by flipping bits.
+LONG, SMALL_LIST = 4096, 128
 
 
 def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
@@ -60,6 +62,11 @@ def _masks(shared: int) -> list[int]:
     return [sum(0xFF << (8 * p) for p in keep) for keep in combinations(range(8), shared)]
 
 
+#: Two of the four pairs of neighbouring positions; for each, itself with two of the other four positions.
+PAIRED = [sum(0xFFFF << (16 * p) for p in keep) for keep in combinations(range(4), 2)]
+DEALT = [[m for m in _masks(6) if m & first == first] for first in PAIRED]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -71,14 +78,16 @@ def _flips(mask: int, most: int) -> np.ndarray:
 
 
 def _linked(fps: np.ndarray, mask: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Positions of linked members of one list; fps sorted and distinct."""
-    if len(fps) <= SMALL_LIST:
-        i, j = np.triu_indices(len(fps), 1)
-        x = fps[i] ^ fps[j]
-        tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        keep = (tally >= 8 - most) & (np.bitwise_count(x) <= most)
-        return [(i[keep], j[keep])]
+    """Positions of linked members of one list, whose fingerprints, sorted and distinct, agree in the mask."""
     out = []
+    if len(fps) <= SMALL_LIST or mask.bit_count() < 8 * (8 - most):
+        for i, j in _rows_of_pairs(len(fps)):
+            x = fps[i] ^ fps[j]
+            i, j, x = (v[(x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= 8 - most] for v in (i, j, x))
+            keep = np.bitwise_count(x) <= most
+            if keep.any():
+                out.append((i[keep], j[keep]))
+        return out
     for flip in _flips(mask, most):
         there = np.searchsorted(fps, fps ^ flip)
         there[there == len(fps)] = 0
@@ -107,9 +116,18 @@ def links(distinct: DataFrame, most: int = 2) -> DataFrame:
 
     Of a list's linked pairs a spanning forest is returned, so a dense group costs no more rows than it has members.
     """
-    masks = _masks(8 - most)
-    index = F.array(*[F.struct(F.lit(i).alias("s"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)])
-    postings = distinct.select("fp", F.explode(index).alias("p")).select(F.col("p.s").alias("s"), F.col("p.k").alias("k"), "fp")
+    if not 1 <= most <= 2:
+        raise ValueError("most is 1 or 2: with more differing bits a posting list has no bound")
+    masks = PAIRED + [m for some in DEALT for m in some]
+    key = lambda i, m: F.struct(F.lit(i).alias("s"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k"))
+    listed = distinct.select("fp", F.explode(F.array(*[key(i, m) for i, m in enumerate(PAIRED)])).alias("p")).select("p.s", "p.k", "fp")
+    long = written(listed.groupBy("s", "k").agg(F.count("*").alias("m")).where(F.col("m") > LONG).select("s", "k"))
+    if long.isEmpty():
+        postings = listed
+    else:
+        again = [F.when(F.col("s") == i, F.array(*[key(len(PAIRED) + len(PAIRED) * i + j, m) for j, m in enumerate(some)])) for i, some in enumerate(DEALT)]
+        again = listed.join(long, ["s", "k"], "left_semi").select("fp", F.explode(F.coalesce(*again)).alias("p")).select("p.s", "p.k", "fp")
+        postings = listed.join(long, ["s", "k"], "left_anti").unionByName(again)
     dealt = postings.repartition("s", "k").sortWithinPartitions("s", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +172,6 @@ def near_duplicates(docs: DataFrame, size: int = 3, most: int = 2, id_col: str =
     Equal fingerprints are one class, so copies are never expanded into pairs. Texts without words share fingerprint 0.
     A null doc_id takes part but names a component only if all its documents have none. Repeated rows stay repeated.
     """
-    if not 1 <= most <= 2:
-        raise ValueError("most is 1 or 2: with more differing bits a posting list has no bound")
     fps = written(fingerprints(docs, size, id_col, text_col))
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     comp = components(links(classes.select("fp"), most))
@@ -211,14 +227,23 @@ def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return np.unique(window_hashes(hashes(words), size) if len(words) >= size else hashes([b" ".join(words)]))
 
 
-def prefix(h: np.ndarray, similar: float, frequent: np.ndarray) -> np.ndarray:
-    """The first of h (sorted, distinct), frequent ones last, of which a set of similarity ``similar`` or more shares at least one among its own."""
-    late = np.isin(h, frequent, assume_unique=True)
-    return np.concatenate([h[~late], h[late]])[: len(h) - int(np.ceil(similar * len(h) - 1e-9)) + 1]
+Frequent = tuple[np.ndarray, np.ndarray]
 
 
-def _frequent(d: DataFrame, size: int) -> np.ndarray:
-    """Shingles that HELD_BY or more of a sample of texts hold, the FREQUENT most frequent."""
+def prefix(h: np.ndarray, similar: float, frequent: Frequent) -> np.ndarray:
+    """The first of h (sorted, distinct), rare ones first, of which a set of similarity ``similar`` or more shares at least one among its own.
+
+    frequent: sorted hashes and how often each was seen; others are rarer than all of them.
+    """
+    order = np.zeros(len(h), np.int64)
+    if len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], h), len(frequent[0]) - 1)
+        order = np.where(frequent[0][at] == h, frequent[1][at], 0)
+    return h[np.argsort(order, kind="stable")][: len(h) - int(np.ceil(similar * len(h) - 1e-9)) + 1]
+
+
+def _frequent(d: DataFrame, size: int) -> Frequent:
+    """Shingles that HELD_BY or more of a sample of texts hold, the FREQUENT most frequent, and how many hold each."""
     step = max(1, -(-d.count() // SAMPLE))
     sample = d.where(F.pmod("row_key", F.lit(step)) == 0).select("row_key", "text").dropDuplicates(["row_key"])
 
@@ -228,18 +253,22 @@ def _frequent(d: DataFrame, size: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(bits_of(shingle_hashes(t.lower().split(), size)))], ["h"])
 
     counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= HELD_BY)
-    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
-    return np.sort(top.column("h").to_numpy().astype(np.int64).view(np.uint64))
+    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h = top.column("h").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], top.column("n").to_numpy().astype(np.int64)[order]
 
 
 def _list_pairs(lists: DataFrame, similar: float) -> DataFrame:
-    """a > b, n and p of both, o: pairs of different roots in a list (h, c, root, n, p, pos), and how many lists hold both.
+    """a > b: pairs of different roots that a list (h, c, root, n, pos) shows may be similar.
 
-    All members of a list meet, whose sizes and positions allow the similarity. pos is a shingle's place in the order of its text: so many
-    shingles at most come before it, and so many after. A long list is cut into blocks of about LIST members, and each two blocks meet in
-    a cell of their own, so that no task holds a long list.
+    Sets of sizes x and y of that similarity share m = similar / (1 + similar) * (x + y) shingles or more, so one at least is among the
+    first x - m + 1 of the one and the first y - m + 1 of the other. All members of a list meet, and a pair leaves it if pos, the list's
+    place in the order of each text, is within these bounds, which are tighter than the prefix for all but the smallest partner: copies of one text that
+    are not similar to each other begin with what they do not share. A long list is cut into blocks of about LIST members, and each two
+    blocks meet in a cell of their own, so that no task holds a long list.
     """
-    columns = ["h", "c", "root", "n", "p", "pos"]
+    columns = ["h", "c", "root", "n", "pos"]
     cuts = lists.groupBy("h").agg(F.ceil(F.count("*") / F.lit(LIST)).cast("int").alias("cuts"))
     cut = lists.select(*columns).join(cuts, "h").withColumn("mine", F.pmod(F.xxhash64("c", "h"), F.col("cuts")).cast("int"))
     cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
@@ -247,19 +276,16 @@ def _list_pairs(lists: DataFrame, similar: float) -> DataFrame:
     dealt = cells.select(*columns).repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, root, n, p, pos, lo, hi, mine in _whole_lists(batches, ["h", "lo", "hi"], ["c", "root", "n", "p", "pos", "lo", "hi", "mine"]):
+        for c, root, n, pos, lo, hi, mine in _whole_lists(batches, ["h", "lo", "hi"], ["c", "root", "n", "pos", "lo", "hi", "mine"]):
             for i, j in _rows_of_pairs(len(c)):
-                need = similar / (1 + similar) * (n[i] + n[j]) - 1e-6
-                keep = (root[i] != root[j]) & (c[i] != c[j]) & ((mine[i] != mine[j]) | (lo[0] == hi[0])) & (np.minimum(n[i], n[j]) >= need)
-                keep &= np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
+                shared = np.ceil(similar / (1 + similar) * (n[i] + n[j]) - 1e-6)
+                keep = (root[i] != root[j]) & (c[i] != c[j]) & ((mine[i] != mine[j]) | (lo[0] == hi[0])) & (np.minimum(n[i], n[j]) >= shared)
+                keep &= (pos[i] <= n[i] - shared) & (pos[j] <= n[j] - shared)
                 i, j = i[keep], j[keep]
                 if len(i):
-                    up = c[i] > c[j]
-                    a, b = np.where(up, i, j), np.where(up, j, i)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[a], c[b], n[a], n[b], p[a], p[b])], ["a", "b", "an", "bn", "ap", "bp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(c[i], c[j])), pa.array(np.minimum(c[i], c[j]))], ["a", "b"])
 
-    pairs = dealt.mapInArrow(run, "a long, b long, an long, bn long, ap long, bp long")
-    return pairs.groupBy("a", "b", "an", "bn", "ap", "bp").agg(F.count("*").alias("o"))
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _rows_of_pairs(m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -319,7 +345,7 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE,
        differing bits are dropped. This loses pairs; it is there to join most of a large group at a cost that grows with its members.
     2. Each text is listed under the shingles of its prefix (``prefix``), by which any two similar texts share a list. Lists within one
        group are dropped. In the others a member of each group is compared with one of the first group.
-    3. In the lists that still have members of two groups all pairs of different groups are tallied and verified.
+    3. In the lists that still have members of two groups all pairs of different groups that may be similar (``_list_pairs``) are verified.
 
     Candidates are verified on the whole texts. Texts of the same words are one class. Null text has no words, like an empty one.
     """
@@ -343,6 +369,7 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE,
     found = written(d.mapInArrow(read, "doc_id long, row_key long, c long, f0 long, f1 long, f2 long, f3 long, n long, prefix array<long>"))
     classes = written(found.groupBy("c").agg(F.min("doc_id").alias("least"), *[F.min(f).alias(f) for f in fields], F.min("n").alias("n"), F.first("prefix").alias("prefix")))
     texts_of = written(found.groupBy("c", "row_key").agg(F.min("doc_id").alias("doc_id")))  # copies are one row before anything is joined
+    forget(found)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = _key_positions()
@@ -395,7 +422,9 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE,
                 good = [similarity(u.lower().split(), v.lower().split(), size) >= similar for u, v in zip(as_bytes(ta), as_bytes(tb))]
                 yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        return written(left.mapInArrow(verify, "a long, b long"))
+        out = written(left.mapInArrow(verify, "a long, b long"))
+        forget(candidates, keys, texts)
+        return out
 
     def with_root(rows: DataFrame, links: DataFrame) -> DataFrame:
         comp = components(links)
@@ -403,8 +432,9 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE,
 
     links = verified(candidates)
     rooted = written(with_root(classes.select("c", "n", "prefix"), links))
-    listed = rooted.select("c", "root", "n", F.size("prefix").cast("long").alias("p"), F.posexplode("prefix").alias("pos", "h")).withColumn("pos", F.col("pos").cast("long"))
+    listed = rooted.select("c", "root", "n", F.posexplode("prefix").alias("pos", "h")).withColumn("pos", F.col("pos").cast("long"))
     mixed = written(_mixed(listed))
+    forget(rooted)
 
     one = mixed.groupBy("h", "root").agg(F.min(F.struct("c", "n")).alias("m"))
     first = one.groupBy("h").agg(F.min(F.struct("root", "m")).alias("f"))
@@ -414,13 +444,15 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE,
     links = links.unionByName(verified(written(met.select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b")).distinct())))
 
     rest = written(_mixed(with_root(mixed.drop("root"), links)))
-    # Of the shingles after the prefix of one of the two texts no more than are there can be shared.
-    least_o = similar / (1 + similar) * (F.col("an") + F.col("bn")) - F.greatest(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) - 1e-6
-    links = links.unionByName(verified(written(_list_pairs(rest, similar).where(F.col("o") >= least_o).select("a", "b"))))
+    forget(mixed)
+    links = links.unionByName(verified(written(_list_pairs(rest, similar))))
+    forget(rest)
     rooted = written(with_root(classes.select("c", "least"), links))
     least = rooted.groupBy("root").agg(F.min("least").alias("least"))
     named = rooted.select("c", "root").join(least, "root").select("c", "root", "least")
-    return texts_of.join(named, "c").select("row_key", "root", "least")
+    out = written(texts_of.join(named, "c").select("row_key", "root", "least"))
+    forget(classes, texts_of, rooted)
+    return out
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

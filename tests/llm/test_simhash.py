@@ -64,6 +64,28 @@ def test_long_lists_give_the_links_of_short_ones():
     assert {tuple(sorted((int(a), int(b)))) for x, y in simhash._linked(fps, mask, 2) for a, b in zip(x, y)} == want
 
 
+def test_every_close_pair_meets_in_a_list_and_the_tally_drops_others(spark, monkeypatch):
+    rng = random.Random(11)
+    tail = [sum(rng.getrandbits(1) << b for b in range(32)) for _ in range(120)]
+    hot = {0xABCDEF01 << 32 | t ^ (1 << rng.randrange(32)) for t in tail for _ in range(6)} | {0xABCDEF01 << 32 | t for t in tail}
+    fps = sorted(hot | {rng.getrandbits(64) for _ in range(300)})
+    want = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2}
+    for a, b in want:
+        assert any((a ^ b) & m == 0 for m in simhash.PAIRED)
+        assert all(any((a ^ b) & m == 0 for m in some) for first, some in zip(simhash.PAIRED, simhash.DEALT) if (a ^ b) & first == 0)
+    few = np.array(sorted(hot), np.uint64)
+    mask = simhash.PAIRED[-1]
+    assert all(int(f) & mask == 0xABCDEF01 << 32 for f in few)
+    got = {(int(few[i]), int(few[j])) for x, y in simhash._linked(few, mask, 2) for i, j in zip(x, y)}
+    assert got == {(a, b) for a, b in want if a in hot and b in hot}
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    root = groups(sorted(x for (x,) in signed), lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
+    for long in (4096, 50):  # no list is dealt again; the hot ones are
+        monkeypatch.setattr(simhash, "LONG", long)
+        found = simhash.components(simhash.links(spark.createDataFrame(signed, "fp long"))).collect()
+        assert {r.node: r.root for r in found} == {n: r for n, r in root.items() if Counter(root.values())[r] > 1}
+
+
 def test_empty_table(nothing):
     assert simhash.near_duplicates(nothing).collect() == []
     assert simhash.keep_one(nothing).collect() == []
@@ -142,10 +164,45 @@ def test_pairs_in_long_lists_of_other_texts_are_found(spark):
 
 def test_all_pairs_of_a_list_meet_once(spark):
     n = 2 * simhash.LIST + 40
-    rows = [(h, 10 * i, 10 * (i // 2), 100, 21, 3) for h in (1, 2) for i in range(n if h == 1 else 9)]
-    got = simhash._list_pairs(spark.createDataFrame(rows, "h long, c long, root long, n long, p long, pos long"), 0.8).collect()
-    want = Counter({(10 * i, 10 * j): 1 + (i < 9) for i in range(n) for j in range(i) if i // 2 != j // 2})
-    assert Counter({(r.a, r.b): r.o for r in got}) == want and len(got) == len(want)
+    rows = [(h, 10 * i, 10 * (i // 2), 100, 3) for h in (1, 2) for i in range(n if h == 1 else 9)]
+    got = simhash._list_pairs(spark.createDataFrame(rows, "h long, c long, root long, n long, pos long"), 0.8).collect()
+    want = {(10 * i, 10 * j) for i in range(n) for j in range(i) if i // 2 != j // 2}
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
+def test_pairs_left_by_the_bounds_are_no_more_than_can_be_similar(spark):
+    """Every pair of random sets of similarity 0.8 or more leaves a list; frequent shingles come last in any order."""
+    rng = random.Random(5)
+    order = (np.array(sorted(rng.sample(range(1, 400), 60)), np.uint64), np.array([rng.randint(1, 5) for _ in range(60)]))
+    sets = []
+    for _ in range(40):
+        base = rng.sample(range(1, 400), rng.randint(5, 120))
+        for _ in range(4):
+            sets.append(np.unique(np.array([x for x in base if rng.random() > 0.08] + rng.sample(range(400, 4000), rng.randint(0, 8)), np.uint64)))
+    rows = []
+    for i, x in enumerate(sets):
+        rows += [(int(h), i, i, len(x), pos) for pos, h in enumerate(simhash.prefix(x, 0.8, order))]
+    got = {(r.a, r.b) for r in simhash._list_pairs(spark.createDataFrame(rows, "h long, c long, root long, n long, pos long"), 0.8).collect()}
+    whole = [set(x.tolist()) for x in sets]
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(whole[i] & whole[j]) >= 4 * len(whole[i] | whole[j])}
+    assert len(want) > 50 and want <= got
+
+
+def test_copies_of_one_text_that_are_not_similar_to_each_other(spark):
+    """A text with copies at 0.80 to 0.85 from it, and copies just under that: all pairs decide."""
+    rng = random.Random(12)
+    rows = []
+    for f in range(4):
+        base = [f"v{rng.randrange(3000)}" for _ in range(150)]
+        rows.append((1000 * f, " ".join(base)))
+        for i in range(40):
+            e = list(base)
+            for at in rng.sample(range(0, 150, 5), rng.randint(2, 5)):
+                e[at] = f"n{rng.randrange(10**6)}"
+            rows.append((1000 * f + 1 + i, " ".join(e)))
+    want = similar_ids(rows)
+    assert 20 < len(want) < 140
+    assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
 def test_groups_without_an_id_or_with_the_same_one_each_keep_a_document(spark):
