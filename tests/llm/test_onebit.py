@@ -49,11 +49,43 @@ def test_few_candidates_and_empty(spark):
 
 def test_the_bound_holds():
     rng = np.random.default_rng(2)
-    x = rng.standard_normal((500, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    turn = onebit.rotation(64)
-    assert np.allclose(turn @ turn.T, np.eye(64))
-    codes, scalar = onebit.encode(x, turn)
-    est, bound = onebit.estimate(codes, scalar, x[:50] @ turn.T)
-    off = ~np.eye(50, 500, dtype=bool)
-    assert codes.shape == (500, 8) and (np.abs(est - x[:50] @ x.T) <= bound)[off].mean() > 0.995
+    for d in (64, 100, 7):
+        x = rng.standard_normal((500, d))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        turn = onebit.rotation(d)
+        assert np.allclose(turn @ turn.T, np.eye(d))
+        codes, scalar = onebit.encode(x, turn)
+        turned = x[:50] @ turn.T
+        est, bound = onebit.Rounded(turned).estimate(codes, scalar)
+        plain = turned @ np.where(x @ turn.T > 0, 1, -1).T / np.sqrt(d) / scalar
+        off = ~np.eye(50, 500, dtype=bool)
+        assert codes.shape == (500, -(-d // 64)) and codes.dtype == np.uint64
+        assert (np.abs(est - plain) <= onebit.Rounded(turned).error / scalar + 1e-9).all()  # what rounding the query adds is known
+        assert (np.abs(est - x[:50] @ x.T) <= bound)[off].mean() > 0.99
+
+
+def test_vectors_near_each_other_leave_few_survivors(spark, monkeypatch):
+    """Of clustered vectors those of the query's cluster are fetched; many blocks and cells give what one gives."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 96))
+    rows = [(i, (centres[i % 40] + 0.1 * rng.standard_normal(96)).tolist()) for i in range(2000)]
+    fetched = []
+    cosines = onebit._cosines
+
+    def spy(wanted, *more):
+        fetched.append(sum(len(r.pairs) // 8 for r in wanted.collect()))
+        return cosines(wanted, *more)
+
+    monkeypatch.setattr(onebit, "_cosines", spy)
+    monkeypatch.setattr(onebit, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(onebit, "CELL_ROWS", 300)
+    got, want = check(rows, spark)
+    assert got == want and fetched[0] == 40 * 4 * 5 and fetched[1] < 0.1 * 40 * 2000
+
+
+def test_repeated_rows_count_once(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(300)]
+    got, want = check(rows, spark)
+    again, _ = check(rows + [r for r in rows for _ in range(3)], spark)
+    assert got == want == again
