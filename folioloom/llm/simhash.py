@@ -183,11 +183,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, most: int = 2, id_col: str =
 
 # Near copies by the similarity of their texts. Documents that share 0.8 of their five-word shingles differ in many more than
 # two bits of a fingerprint. A fingerprint four times as wide, of the set of words, finds most of them; a prefix filter on the shingles
-# themselves then finds every pair that is left between two groups.
+# themselves then finds every pair that is left between two groups, so the number of KEYS decides how much is left to it, not what is found.
 
 #: Bytes of a wide fingerprint; byte positions in a key of the index, and keys of a document; shared bytes and differing
 #: bits a candidate must reach; words of a shingle and the least Jaccard similarity.
-WIDE, KEY_BYTES, KEYS, LEAST_BYTES, MOST_BITS, SHINGLE, SIMILAR = 32, 5, 80, 6, 40, 5, 0.8
+WIDE, KEY_BYTES, KEYS, LEAST_BYTES, MOST_BITS, SHINGLE, SIMILAR = 32, 5, 24, 6, 40, 5, 0.8
 #: Texts in which frequent shingles are looked for, how many must hold one, and how many shingles there are at most. They come
 #: last in the prefix filter's order; any choice of them loses no pair.
 SAMPLE, HELD_BY, FREQUENT = 50_000, 3, 100_000

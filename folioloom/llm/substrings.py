@@ -8,10 +8,10 @@ repeats nothing, so only repeated edges matter. They are found in two steps, so
 2. The edges of the other windows are joined by hash. Each edge gets its number of occurrences, its earliest source
    coordinate (document, word), and its successor and predecessor if it has only one.
 
-Compaction: edge e is followed by s without a branch if s is e's only successor and e is s's only predecessor; joins on
-the successor tell. Then s occurs right after e wherever e occurs, so a nonbranching path is a run of adjacent earliest
-coordinates, and islands of such runs in a document are the maximal paths (unitigs). A path is known by its first edge:
-one join of the first edges with the occurrences gives all places where the whole path repeats. Each place is verified
+Compaction: edge e is followed by s without a branch if s is e's only successor and e is s's only predecessor; a join of the
+edges with themselves tells. Then s occurs right after e wherever e occurs, so a nonbranching path is a run of adjacent earliest
+coordinates: edges that nothing leads into so begin the maximal paths (unitigs), edges that lead into nothing end them, and a join pairs the
+two. A path is known by its first edge: one join of the first edges with the occurrences gives all places where the whole path repeats. Each place is verified
 against the source coordinates by a 128-bit digest of its words; words of later places are removed.
 
 Documents of equal text are one here: its rows but the earliest document's repeat every window.
@@ -108,21 +108,30 @@ def _edge_rows(rows: DataFrame, k: int, a: int) -> DataFrame:
 
 
 def _paths(edges: DataFrame, distinct_ids: bool) -> DataFrame:
-    """edge, length, doc, place: each maximal nonbranching path of repeated edges by its first edge, with its earliest place."""
-    flat = edges.select("doc", F.explode(F.arrays_zip("edge", "place", "n", "before0", "before1", "after0", "after1")).alias("e")).select("doc", "e.*")
-    if distinct_ids:  # all primitive, so that it is aggregated in place
-        first = [F.min("doc").alias("doc"), F.min_by("place", "doc").alias("place")]
+    """edge, length, doc, t, place: each maximal nonbranching path of repeated edges by its first edge, with its earliest place (in text t).
+
+    Two joins compact. The graph's edges are joined with themselves where one follows the other at its earliest place and neither branches:
+    an edge that no other leads into so begins a path, one that leads into no other ends it. The n-th beginning of a text and its n-th end are the
+    same path's, so the path is their join; its length is the distance.
+    """
+    flat = edges.select("doc", "text_key", F.explode(F.arrays_zip("edge", "place", "n", "before0", "before1", "after0", "after1")).alias("e")).select("doc", "text_key", "e.*")
+    if distinct_ids:  # all primitive, so that it is aggregated in place; a document has one text
+        first = [F.min("doc").alias("doc"), F.min_by("text_key", "doc").alias("t"), F.min_by("place", "doc").alias("place")]
     else:
-        first = [F.min(F.struct("doc", "place")).alias("first")]
+        first = [F.min(F.struct("doc", "place", F.col("text_key").alias("t"))).alias("first")]
     only = [F.when((F.min(f"{x}0") == F.max(f"{x}1")) & (F.min(f"{x}0") != 0), F.min(f"{x}0")).alias(x) for x in ("before", "after")]
     known = flat.groupBy("edge").agg(F.sum("n").alias("n"), *first, *only).where(F.col("n") > 1)
     if not distinct_ids:
-        known = known.select("edge", "first.doc", "first.place", "before", "after")
-    by_place = Window.partitionBy("doc").orderBy("place", "edge")  # no more rows than a document has words
-    earlier = F.lag(F.struct("edge", "place", "after")).over(by_place)
-    joined = (earlier["place"] == F.col("place") - 1) & (earlier["edge"] == F.col("before")) & (earlier["after"] == F.col("edge"))
-    runs = known.withColumn("head", ~F.coalesce(joined, F.lit(False))).withColumn("path", F.sum(F.col("head").cast("int")).over(by_place))
-    return runs.groupBy("doc", "path").agg(F.count("*").alias("length"), F.min("place").alias("place"), F.min_by("edge", "place").alias("edge"))
+        known = known.select("edge", "first.doc", "first.t", "first.place", "before", "after")
+    known = written(known.select("edge", "doc", "t", "place", "before", "after"))
+    into = known.where(F.col("before").isNotNull()).select("t", "place", F.col("edge").alias("e"), F.col("before").alias("b"))
+    out = known.where(F.col("after").isNotNull()).select("t", (F.col("place") + 1).alias("place"), F.col("edge").alias("b"), F.col("after").alias("e"))
+    joined = written(into.join(out, ["t", "place", "b", "e"]).select("t", "place", "e", "b"))
+    heads = known.join(joined.select("t", "place", F.col("e").alias("edge")), ["t", "place", "edge"], "left_anti").select("t", "doc", "place", "edge")
+    tails = known.join(joined.select("t", (F.col("place") - 1).alias("place"), F.col("b").alias("edge")), ["t", "place", "edge"], "left_anti").select("t", F.col("place").alias("last"), F.col("edge").alias("l_edge"))
+    nth = lambda *order: F.row_number().over(Window.partitionBy("t").orderBy(*order))  # noqa: E731  the paths of one text
+    heads, tails = heads.withColumn("path", nth("place", "edge")), tails.withColumn("path", nth("last", "l_edge"))
+    return heads.join(tails, ["t", "path"]).select("edge", "doc", "t", "place", (F.col("last") - F.col("place") + 1).cast("long").alias("length"))
 
 
 def _places(edges: DataFrame, paths: DataFrame) -> DataFrame:
@@ -130,8 +139,8 @@ def _places(edges: DataFrame, paths: DataFrame) -> DataFrame:
     first = edges.select("text_key", "doc", F.explode(F.arrays_zip("edge", "place")).alias("e")).select("text_key", "doc", "e.edge", "e.place")
     rest = F.arrays_zip(F.col("more_edge").alias("edge"), F.col("more_place").alias("place"))
     more = edges.select("text_key", "doc", F.explode(rest).alias("e")).select("text_key", "doc", "e.edge", "e.place")
-    heads = paths.select("edge", "length", F.col("doc").alias("s_doc"), F.col("place").alias("s_place"))
-    source = (F.col("doc") == F.col("s_doc")) & (F.col("place") == F.col("s_place"))
+    heads = paths.select("edge", "length", F.col("doc").alias("s_doc"), F.col("t").alias("s_text"), F.col("place").alias("s_place"))
+    source = (F.col("doc") == F.col("s_doc")) & (F.col("text_key") == F.col("s_text")) & (F.col("place") == F.col("s_place"))
     return first.unionByName(more).join(heads, "edge").select(F.col("edge").alias("path"), "text_key", "place", "length", source.alias("source"))
 
 
@@ -144,7 +153,7 @@ def _removed(n: int, starts: tuple[int, ...], sizes: tuple[int, ...]) -> np.ndar
     return np.cumsum(step)[:n] > 0
 
 
-RESULT = "doc_id long, text_key long, n_words long, n_removed long, kept string, kept_sha256 string, removed array<struct<start:int,words:int>>, path array<long>, digest array<binary>, source array<boolean>"
+RESULT = "doc_id long, text_key long, n_words long, n_removed long, kept string, kept_sha256 string, removed array<struct<start:int,words:int>>, path array<long>, place array<int>, digest array<binary>, source array<boolean>"
 
 
 def _cut(rows: DataFrame, k: int, with_text: bool) -> DataFrame:
@@ -170,10 +179,10 @@ def _cut(rows: DataFrame, k: int, with_text: bool) -> DataFrame:
                     kept = [w for w, o in zip(words, off.tolist()) if not o]
                     gone = [{"start": int(a), "words": int(b - a)} for a, b in np.flatnonzero(np.diff(np.concatenate([[0], off.view(np.int8), [0]]))).reshape(-1, 2)]
                 text = b" ".join(kept)
-                out.append((len(words), len(words) - len(kept), text.decode() if with_text else None, hashlib.sha256(text).hexdigest(), gone, [s["path"] for s in spans], digests, [s["source"] for s in spans]))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())])), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.bool_())]
+                out.append((len(words), len(words) - len(kept), text.decode() if with_text else None, hashlib.sha256(text).hexdigest(), gone, [s["path"] for s in spans], [s["place"] for s in spans], digests, [s["source"] for s in spans]))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())])), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.bool_())]
             columns = [pa.array(c, kind) for c, kind in zip(zip(*out), kinds)]
-            yield pa.RecordBatch.from_arrays([ids, keys, *columns], ["doc_id", "text_key", "n_words", "n_removed", "kept", "kept_sha256", "removed", "path", "digest", "source"])
+            yield pa.RecordBatch.from_arrays([ids, keys, *columns], ["doc_id", "text_key", "n_words", "n_removed", "kept", "kept_sha256", "removed", "path", "place", "digest", "source"])
 
     return rows.mapInArrow(run, RESULT)
 
@@ -214,8 +223,8 @@ def dedup(docs: DataFrame, k: int = WINDOW, a: int = ANCHOR, with_text: bool = F
         return _cut(rows.select("doc_id", "text_key", "text", "places", (F.col("doc") != F.col("first_doc")).alias("copy")), k, with_text)
 
     out = written(cut(shown))
-    told = out.select("text_key", F.explode(F.arrays_zip("path", "digest", "source")).alias("x")).select("text_key", "x.*")
-    # A path's places have one digest, or its hash is shared by different words: those texts are cut again, edge for edge.
+    told = out.select("text_key", F.explode(F.arrays_zip("path", "place", "digest", "source")).alias("x")).select("text_key", "x.*")
+    # A path's places have one digest, or its hash is shared by different words: those texts are cut again.
     false = told.groupBy("path").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where(F.col("d0") != F.col("d1")).select("path")
     false = written(false)
     if not false.isEmpty():
@@ -224,10 +233,13 @@ def dedup(docs: DataFrame, k: int = WINDOW, a: int = ANCHOR, with_text: bool = F
 
 
 def _recut(out: DataFrame, shown: DataFrame, told: DataFrame, false: DataFrame, cut) -> DataFrame:
-    """Texts with a place of a falsely joined path, cut without those places that differ from the source's words."""
-    t = told.join(false, "path")
-    real = t.where("source").select("path", F.col("digest").alias("real"))
-    wrong = t.join(real, "path").where(F.col("digest") != F.col("real")).select("text_key", F.col("path").alias("w_path")).distinct()
-    bad = written(wrong.groupBy("text_key").agg(F.collect_set("w_path").alias("w")))
-    again = shown.join(bad, shown["f_key"] == bad["text_key"]).select("f_key", "first_doc", F.filter("places", lambda p: p["source"] | ~F.array_contains("w", p["path"])).alias("places"))
+    """Texts with a place of a falsely joined path, cut so that each sequence of words under its hash has a source of its own: its earliest place."""
+    places = told.join(false, "path").join(shown.select(F.col("f_key").alias("text_key"), "first_doc"), "text_key")
+    earliest = places.groupBy("path", "digest").agg(F.min(F.struct("first_doc", "text_key", "place")).alias("s"))
+    sources = earliest.select("path", F.col("s.text_key").alias("text_key"), F.col("s.place").alias("place"), F.lit(True).alias("real"))
+    marked = places.select("path", "text_key", "place").join(sources, ["path", "text_key", "place"], "left")
+    bad = written(marked.groupBy("text_key").agg(F.collect_set("path").alias("w"), F.collect_list(F.when(F.col("real"), F.struct("path", "place"))).alias("own")))
+    own = lambda p: F.exists("own", lambda o: (o["path"] == p["path"]) & (o["place"] == p["place"]))
+    told_again = F.transform("places", lambda p: F.struct(p["path"].alias("path"), p["place"].alias("place"), p["length"].alias("length"), F.when(F.array_contains("w", p["path"]), own(p)).otherwise(p["source"]).alias("source")))
+    again = shown.join(bad, shown["f_key"] == bad["text_key"]).select("f_key", "first_doc", told_again.alias("places"))
     return out.join(bad, "text_key", "left_anti").unionByName(cut(again))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,35 +30,53 @@ REJECT = 0.5
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
+def _buckets(word: str) -> list[int]:
+    """The hashed features of a word: itself and its beginnings."""
+    h = xxhash.xxh64_intdigest
+    return [h(f) % DIMENSIONS for f in (word, *(word[:k] + "*" for k in (4, 5, 6) if len(word) > k))]
+
+
 def features(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Hashed features with their counts, and the number of words."""
     words = Counter(_TOKEN.findall(text.lower()))
-    found: Counter[str] = Counter()
+    found: Counter[int] = Counter()
     for w, n in words.items():
-        found[w] += n
-        for k in (4, 5, 6):
-            if len(w) > k:
-                found[w[:k] + "*"] += n
-    h = xxhash.xxh64_intdigest
-    at = np.fromiter((h(f) % DIMENSIONS for f in found), np.int64, len(found))
-    return at, np.fromiter(found.values(), np.float64, len(found)), sum(words.values())
+        for b in _buckets(w):
+            found[b] += n
+    return np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.float64, len(found)), sum(words.values())
 
 
 def _value(counts: np.ndarray) -> np.ndarray:
     return np.log2(1 + counts)
 
 
+#: Words whose weighted features a worker remembers; it forgets all of them when there are more.
+REMEMBERED = 200_000
+
+
 @dataclass
 class Model:
     """weights by hash bucket, zero for most; thresholds ascending, one less than the grades."""
 
     weights: np.ndarray
     thresholds: np.ndarray
+    known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False, compare=False)
+
+    def _weighted(self, word: str) -> tuple[int, ...]:
+        """The buckets of a word that have a weight: none for most words."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            found = self.known[word] = tuple(b for b in _buckets(word) if self.weights[b])
+        return found
 
     def probabilities(self, text: str) -> np.ndarray:
-        at, counts, _ = features(text)
-        w = self.weights[at]
-        z = float(w @ _value(counts)) if len(at) else 0.0
+        found: dict[int, int] = {}
+        for w, n in Counter(_TOKEN.findall(text.lower())).items():
+            for b in self._weighted(w):
+                found[b] = found.get(b, 0) + n
+        z = float(sum(float(self.weights[b]) * np.log2(1 + n) for b, n in sorted(found.items())))
         upto = np.concatenate([1 / (1 + np.exp(-(self.thresholds - z).clip(-40, 40))), [1.0]])
         return np.diff(upto, prepend=0.0)
 
@@ -139,11 +157,15 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray) -> M
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> Model:
-    """A model from at most ``most`` labelled documents. Rows with a null id, label or text are not used."""
+    """A model from at most ``most`` labelled documents, one row each. Rows with a null id, label or text are not used.
+
+    Of several rows of one id that with the least text is taken, so that repeated rows add nothing to what the driver gets.
+    """
     some = labels.select(F.col(id_col).cast("long").alias("l_id"), F.col(label_col).cast("int").alias("grade")).where(F.col("l_id").isNotNull() & F.col("grade").isNotNull())
     some = some.groupBy("l_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("l_id"), "l_id").limit(most)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     rows = d.join(F.broadcast(some), d["doc_id"] == some["l_id"]).select("doc_id", "grade", "text")  # at most ``most`` rows are broadcast
+    rows = rows.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, grades, texts in by_column(batches, "doc_id", "grade", "text"):
@@ -175,7 +197,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", reject: float = REJECT) -> DataFrame:
-    """docs without those whose expected severity is ``reject`` or more; all columns as they are."""
+    """docs without those whose expected severity is ``reject`` or more; all columns as they are, whatever their names.
+
+    Each row is judged by its own whole text: rows that share an id, or have none, are apart, repeated rows go or stay together. Null and
+    empty texts have no features, so what the model says of them is its thresholds' (clean, if it was fitted on any clean document).
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

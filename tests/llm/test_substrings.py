@@ -82,10 +82,12 @@ def test_every_window_of_equal_words_has_one_anchor():
 
 
 def test_a_path_joined_by_a_false_hash_is_cut_again(spark):
-    # Two places of a path with different words: the later one is not removed.
+    # Places of a path with two sequences of words: the first of either stays, and later ones of either go.
     text = " ".join(f"w{i}" for i in range(30))
-    shown = spark.createDataFrame([(7, 1, [(5, 0, 1, True)]), (8, 2, [(5, 0, 1, False)])], "f_key long, first_doc long, places array<struct<path:long,place:int,length:int,source:boolean>>")
-    d = spark.createDataFrame([(1, 7, text), (2, 8, text.replace("w3 ", "v3 "))], "doc_id long, text_key long, text string")
+    other = text.replace("w3 ", "v3 ")
+    kind = "f_key long, first_doc long, places array<struct<path:long,place:int,length:int,source:boolean>>"
+    shown = spark.createDataFrame([(k, k - 6, [(5, 0, 1, k == 7)]) for k in (7, 8, 9, 10)], kind)
+    d = spark.createDataFrame([(1, 7, text), (2, 8, other), (3, 9, other + " x"), (4, 10, text + " y")], "doc_id long, text_key long, text string")
     from pyspark.sql import functions as F
 
     def cut(s):
@@ -93,7 +95,39 @@ def test_a_path_joined_by_a_false_hash_is_cut_again(spark):
         return substrings._cut(rows.select("doc_id", "text_key", "text", "places", F.lit(False).alias("copy")), 20, False)
 
     out = cut(shown)
-    assert {r.doc_id: r.n_removed for r in out.collect()} == {1: 0, 2: 20}
-    told = out.select("text_key", F.explode(F.arrays_zip("path", "digest", "source")).alias("x")).select("text_key", "x.*")
+    assert {r.doc_id: r.n_removed for r in out.collect()} == {1: 0, 2: 20, 3: 20, 4: 20}
+    told = out.select("text_key", F.explode(F.arrays_zip("path", "place", "digest", "source")).alias("x")).select("text_key", "x.*")
     false = spark.createDataFrame([(5,)], "path long")
-    assert {r.doc_id: r.n_removed for r in substrings._recut(out, shown, told, false, cut).collect()} == {1: 0, 2: 0}
+    assert {r.doc_id: r.n_removed for r in substrings._recut(out, shown, told, false, cut).collect()} == {1: 0, 2: 0, 3: 20, 4: 20}
+
+
+def test_paths_are_maximal_and_nonbranching(spark):
+    """Unitigs of a text by walking its graph of windows in one place."""
+    rng = random.Random(4)
+    base = [[rng.choice("abcd") for _ in range(30)] for _ in range(4)]
+    texts = [[x for _ in range(3) for x in rng.choice(base)[rng.randint(0, 9) :]] for _ in range(12)]
+    k = 4
+    rows = [(i, i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(*r, None) for r in rows], "text_key long, doc long, text string, repeated array<long>")
+    every = substrings.hashes  # all windows' anchors are taken as repeated
+    runs = [np.unique(substrings.anchors(every([w.encode() for w in t]), k, 2)[1]).view(np.int64).tolist() for t in texts]
+    df = spark.createDataFrame([(*r, x) for r, x in zip(rows, runs)], "text_key long, doc long, text string, repeated array<long>")
+    got = {(r.doc, r.place): r.length for r in substrings._paths(substrings._edge_rows(df, k, 2), True).collect()}
+    first, after, before, n = {}, {}, {}, Counter()
+    for i, t in enumerate(texts):
+        w = [tuple(t[p : p + k]) for p in range(len(t) - k + 1)]
+        for p, e in enumerate(w):
+            first.setdefault(e, (i, p))
+            n[e] += 1
+            after.setdefault(e, set()).add(w[p + 1] if p + 1 < len(w) else None)
+            before.setdefault(e, set()).add(w[p - 1] if p else None)
+    follows = lambda e: next(iter(after[e])) if len(after[e]) == 1 and None not in after[e] else None
+    leads = lambda e: next(iter(before[e])) if len(before[e]) == 1 and None not in before[e] else None
+    joined = {e: s for e in first if n[e] > 1 and (s := follows(e)) and leads(s) == e and first[s] == (first[e][0], first[e][1] + 1) and n[s] > 1}
+    want = {}
+    for e in (e for e in first if n[e] > 1 and e not in set(joined.values())):
+        length, x = 1, e
+        while x in joined:
+            x, length = joined[x], length + 1
+        want[first[e]] = length
+    assert got == want and max(want.values()) > 3
