@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioloom.llm._common import as_bytes, bits_of, by_column, hashes, lists, mixed, window_hashes, written
+from folioloom.llm._common import as_bytes, bits_of, by_column, forget, hashes, lists, mixed, window_hashes, written
 
 #: Words of a window and of an anchor: fixed values of the query, and a choice.
 WINDOW, ANCHOR = 20, 8
@@ -131,7 +131,9 @@ def _paths(edges: DataFrame, distinct_ids: bool) -> DataFrame:
     tails = known.join(joined.select("t", (F.col("place") - 1).alias("place"), F.col("b").alias("edge")), ["t", "place", "edge"], "left_anti").select("t", F.col("place").alias("last"), F.col("edge").alias("l_edge"))
     nth = lambda *order: F.row_number().over(Window.partitionBy("t").orderBy(*order))  # noqa: E731  the paths of one text
     heads, tails = heads.withColumn("path", nth("place", "edge")), tails.withColumn("path", nth("last", "l_edge"))
-    return heads.join(tails, ["t", "path"]).select("edge", "doc", "t", "place", (F.col("last") - F.col("place") + 1).cast("long").alias("length"))
+    paths = written(heads.join(tails, ["t", "path"]).select("edge", "doc", "t", "place", (F.col("last") - F.col("place") + 1).cast("long").alias("length")))
+    forget(known, joined)
+    return paths
 
 
 def _places(edges: DataFrame, paths: DataFrame) -> DataFrame:
@@ -202,7 +204,7 @@ def dedup(docs: DataFrame, k: int = WINDOW, a: int = ANCHOR, with_text: bool = F
     d = d.select("doc_id", F.coalesce("doc_id", F.lit(largest)).alias("doc"), F.xxhash64("text").alias("text_key"), "text")
 
     found = written(_anchor_rows(d.select("text_key", "doc", "text"), k, a))
-    first = found.groupBy("text_key").agg(F.min("doc").alias("first_doc"))
+    first = written(found.groupBy("text_key").agg(F.min("doc").alias("first_doc")))
     ids = found.groupBy("doc").agg(F.min("text_key").alias("t0"), F.max("text_key").alias("t1")).where(F.col("t0") != F.col("t1"))
     distinct_ids = ids.isEmpty()
     flat = found.select("text_key", F.explode(F.arrays_zip("hs", "twice")).alias("x")).select("text_key", F.col("x.hs").alias("h"), F.col("x.twice").alias("twice"))
@@ -210,13 +212,18 @@ def dedup(docs: DataFrame, k: int = WINDOW, a: int = ANCHOR, with_text: bool = F
     many = many.where(F.col("twice") | (F.col("t0") != F.col("t1"))).select("h")
     repeated = flat.select("text_key", "h").join(many, "h").groupBy("text_key").agg(F.collect_set("h").alias("repeated"))
     repeated = written(repeated.join(first, "text_key").select("text_key", F.col("first_doc").alias("doc"), "repeated"))
+    forget(found)
 
     edges = written(_edge_rows(d.join(repeated, ["text_key", "doc"]).select("text_key", "doc", "text", "repeated"), k, a))
-    places = _places(edges, written(_paths(edges, distinct_ids)))
+    forget(repeated)
+    paths = _paths(edges, distinct_ids)
+    places = _places(edges, paths)
     place = F.struct("path", "place", F.col("length").cast("int").alias("length"), "source")
     # All places of a text: no more than it has words.
     of = written(places.groupBy("text_key").agg(F.collect_list(place).alias("places")))
+    forget(edges, paths)
     shown = written(first.join(of, "text_key", "left").select(F.col("text_key").alias("f_key"), "first_doc", "places"))
+    forget(first, of)
 
     def cut(shown: DataFrame) -> DataFrame:
         rows = d.join(shown, d["text_key"] == shown["f_key"])
