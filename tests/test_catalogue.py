@@ -59,3 +59,14 @@ def test_the_whole_run_reads_all_documents_with_the_default_options(spark, monke
         catalogue.knowledge_run(spark, SF)
     texts = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").where("trim(text) <> ''").collect()}
     assert seen == {"docs": texts, "options": Options(), "corpora": {"benchmark", "conversations"}}
+
+
+def test_lines_do_not_depend_on_how_the_words_are_planned(spark):
+    """Words that come out of a join by the columns' keys, which may become a broadcast, give the lines of written ones."""
+    from folioloom import catalogue
+    from folioloom.operators import layout
+    from folioloom.sources.store import written
+
+    split = layout.split_columns(catalogue._words(spark, "/root/testdata/sf0.01"))
+    lazy, eager = (layout.group_lines(w).drop("ws") for w in (split, written(split)))
+    assert lazy.count() == eager.count() and lazy.exceptAll(eager).isEmpty()
