@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioloom.llm._common import as_bytes, bits_of, by_column, forget, hashes, lists, mixed, window_hashes, written
+from folioloom.llm._common import as_bytes, bits_of, by_column, forget, hashes, lists, mixed, trim, window_hashes, written
 from folioloom.llm.graph import components
 
 #: A list of four positions with more members than this is dealt again; one of six positions with more members than this is searched by flipping bits.
@@ -355,15 +355,18 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, size: int = SHINGLE,
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh64_intdigest
         for ids, keys, texts in by_column(batches, "doc_id", "row_key", "text"):
-            words = [t.lower().split() for t in as_bytes(texts)]
-            same = np.fromiter((h(b" ".join(w)) for w in words), np.uint64, len(words))
-            fps = np.stack([wide_fingerprint(w) for w in words]).reshape(len(words), WIDE)
-            longs = np.ascontiguousarray(fps).view(np.int64)
-            sets = [shingle_hashes(w, size) for w in words]
-            n = pa.array([len(s) for s in sets], pa.int64())
-            firsts = [bits_of(prefix(s, similar, frequent)) for s in sets]
+            same, fps, n, firsts = [], [], [], []
+            for t in texts.cast(pa.binary()):  # one text's words at a time
+                words = (t.as_py() or b"").lower().split()
+                hs = shingle_hashes(words, size)
+                same.append(h(b" ".join(words)))
+                fps.append(wide_fingerprint(words))
+                n.append(len(hs))
+                firsts.append(bits_of(prefix(hs, similar, frequent)))
+            longs = np.ascontiguousarray(np.stack(fps)).view(np.int64)
             listed = lists([len(f) for f in firsts], pa.array(np.concatenate(firsts)))
-            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(bits_of(same)), *(pa.array(longs[:, i].copy()) for i in range(4)), n, listed], ["doc_id", "row_key", "c", "f0", "f1", "f2", "f3", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(bits_of(np.array(same, np.uint64))), *(pa.array(longs[:, i].copy()) for i in range(4)), pa.array(n, pa.int64()), listed], ["doc_id", "row_key", "c", "f0", "f1", "f2", "f3", "n", "prefix"])
+            trim()
 
     fields = [f"f{i}" for i in range(4)]
     found = written(d.mapInArrow(read, "doc_id long, row_key long, c long, f0 long, f1 long, f2 long, f3 long, n long, prefix array<long>"))
