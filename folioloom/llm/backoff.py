@@ -3,148 +3,164 @@
 S(w | context) = f(context w) / f(context) if the n-gram occurs, else ALPHA * S(w | shorter context); the shortest is
 f(w) / N. A document's own n-grams do not count for it: f is the corpus count less the document's.
 
-Documents are dealt into blocks. A block's distinct n-grams are exploded by hash into the partitions of the count table, a
-packed run of sorted hashes and counts for each pair of block and partition. A partition sums the counts of equal n-grams
-and joins the sums back to the runs they came from, in the order sent, so that only counts return. A block then has
-the corpus count of each of its n-grams and sums its documents' log scores. An n-gram in every document is one row
-a block, so no partition has more of it than there are blocks.
+n-grams are exploded, one row for each distinct one of a document, and counted into tables partitioned by their hash. A
+count also gets the counts of the n-gram's context, of its suffix, and of the suffix's context, by joins of the counts with themselves.
+The counts are joined to the exploded n-grams, and what each gives is summed for each document:
+
+An n-gram occurs elsewhere only if its suffix does, so the log score of a word is that of its shortest n-gram plus, for each
+longer one that occurs, the difference from the one a word shorter. Each difference is a function of one row of the join.
+
+Both explosions are done in PASSES, each over one range of hashes, so that a fraction of the n-grams is in shuffle files at a time.
+Counting combines before it shuffles; the join leaves an n-gram that a large part of the documents have to the splitting of skewed partitions
+at run time. Different n-grams of one 64-bit hash count as one.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioloom.llm._common import BASE, as_bytes, hashes, mixed, trim, written
-
-#: Longest n-gram, weight of a shorter context, bytes of text in a block, and bytes for each partition of the count table.
-ORDER, ALPHA, BLOCK_BYTES, PART_BYTES = 2, 0.4, 2 << 20, 4 << 20
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers with their first bytes together, then the second ones, and so on: small ones compress to little."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+from folioloom.llm._common import BASE, as_bytes, bits_of, by_column, forget, hashes, mixed, written
 
+#: Longest n-gram, weight of a shorter context, ranges of hashes, and rows in an Arrow batch of exploded n-grams.
+ORDER, ALPHA, PASSES, BATCH = 2, 0.4, 3, 1 << 17
 
-def _numbers(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+_NONE = np.zeros(0, np.uint64)
+_COUNTED = "gram long, m int, ctx long, suf long, mid long"
+_JOINED = "doc_id long, text_hash long, gram long, size int, m int, top int, own_ctx int, own_suf int, own_mid int"
 
 
-def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of a block's words: each one's document, its place in it, and the hash of the m-gram that ends with it (m = 1..)."""
-    each = [hashes(t.split()) for t in texts]  # words themselves are held for one document at a time
-    lengths = np.array([len(w) for w in each], np.int64)
-    doc = np.repeat(np.arange(len(each)), lengths)
-    place = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    words = np.concatenate(each)
+def _grams(text: bytes, order: int) -> list[np.ndarray]:
+    """For m = 1 .. order, the hash of the m-gram that ends at each word from the m-th on."""
+    words = hashes(text.split())
     out, run = [], np.zeros(len(words), np.uint64)
     for m in range(1, order + 1):
-        # The polynomial of the last m words: what is before a document's start is never used.
-        run = run + (np.concatenate([np.zeros(m - 1, np.uint64), words[: len(words) - m + 1]]) if len(words) >= m else np.zeros(len(words), np.uint64)) * np.uint64(pow(BASE, m - 1, 1 << 64))
+        if m > len(words):
+            out.append(_NONE)
+            continue
+        run = run[m > 1 :] + words[: len(words) - m + 1] * np.uint64(pow(BASE, m - 1, 1 << 64))
         out.append(mixed(run + np.uint64(m)))
-    return doc, place, out
-
-
-def _distinct(place: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct n-grams of a block and their counts."""
-    every = np.concatenate([g[place >= m] for m, g in enumerate(grams)])
-    return np.unique(every, return_counts=True)
-
-
-def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return out
+
+
+def _exploded(order: int, part: int, parts: int, counting: bool):
+    """A function of Arrow batches of doc_id, text_hash, text: rows of the n-grams whose hash is in one range."""
+
+    def rows(text: bytes) -> Iterator[list[np.ndarray]]:
+        grams = _grams(text, order)
+        own = []
+        for g in grams[: order if counting else order + 1]:
+            _, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
+            own.append(count[inverse])
+        for m, g in enumerate(grams, 1):
+            here = np.flatnonzero((g >> np.uint64(40)) % np.uint64(parts) == part)
+            if not len(here):
+                continue
+            key, at = np.unique(g[here], return_index=True)
+            at = here[at]
+            count = own[m - 1][at]
+            none = np.zeros(len(at), np.uint64)
+            # The m-gram at i: its context is the (m-1)-gram at i, its suffix the one at i + 1, their common middle at i + 1.
+            if counting:
+                ctx, suf = (grams[m - 2][at], grams[m - 2][at + 1]) if m > 1 else (none, none)
+                yield [key, count, ctx, suf, grams[m - 3][at + 1] if m > 2 else none]
+            else:
+                top = count if m == order else (at == 0).astype(np.int64)
+                ctx, suf = (own[m - 2][at], own[m - 2][at + 1]) if m > 1 else (none, none)
+                yield [key, np.full(len(at), m), count, top, ctx, suf, own[m - 3][at + 1] if m > 2 else none]
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = (_COUNTED if counting else _JOINED).split(", ")
+        names, kinds = zip(*((f.split()[0], pa.int64() if f.endswith("long") else pa.int32()) for f in schema))
+
+        def batch(held: list[list[np.ndarray]], ids: list, repeats: list[int]) -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            out = [pa.array(bits_of(c) if c.dtype == np.uint64 else c, pa.int64()).cast(k) for c, k in zip(columns, kinds[len(kinds) - len(columns) :])]
+            if not counting:
+                where = pa.array(np.repeat(np.arange(len(ids)), repeats))
+                out = [pa.array([i[j] for i in ids], pa.int64()).take(where) for j in (0, 1)] + out
+            return pa.RecordBatch.from_arrays(out, names=names)
+
+        held, ids, repeats, n = [], [], [], 0
+        for doc_ids, text_hashes, texts in by_column(batches, "doc_id", "text_hash", "text"):
+            for doc_id, text_hash, text in zip(doc_ids.to_pylist(), text_hashes.to_pylist(), as_bytes(texts)):
+                for row in rows(text):
+                    held.append(row)
+                    ids.append((doc_id, text_hash))
+                    repeats.append(len(row[0]))
+                    n += len(row[0])
+                if n >= BATCH:
+                    yield batch(held, ids, repeats)
+                    held, ids, repeats, n = [], [], [], 0
+        if n:
+            yield batch(held, ids, repeats)
+
+    return explode
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for doc_ids, text_hashes, texts in by_column(batches, "doc_id", "text_hash", "text"):
+        yield pa.RecordBatch.from_arrays([doc_ids, text_hashes, pa.array([len(t.split()) for t in as_bytes(texts)], pa.int64())], names=["doc_id", "text_hash", "n_words"])
+
+
+def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES) -> DataFrame:
     """doc_id, n_words, n_backoff, log_score, mean_log_score: one row for each of docs, over its whole text.
 
     n_backoff is how many words had to do with a shorter context. A word that no other document has counts as 1 / (N + 1),
-    N being the other documents' words. Without words log_score is 0 and mean_log_score null. Null text has no words.
+    N being the other documents' words. Without words log_score is 0 and mean_log_score null. Null text has no words. Repeated rows
+    are other documents to each other, and each has its row. Other columns of docs are left out.
     """
-    spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size = d.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(n, -(-size // BLOCK_BYTES))
-    bits = max(6, int(np.ceil(np.log2(max(2 * n, size // PART_BYTES, 1)))))
-    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-
-    def order_of(group: pa.Table) -> tuple[pa.Table, list[bytes]]:
-        """A block's documents in an order that does not depend on how they came."""
-        group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        return group, as_bytes(group["text"].combine_chunks())
-
-    def send(group: pa.Table) -> pa.Table:
-        group, texts = order_of(group)
-        doc, place, grams = _grams(texts, order)
-        own, counts = _distinct(place, grams)
-        part = (own >> np.uint64(64 - bits)).astype(np.int64)
-        ends = np.searchsorted(part, np.arange(1 << bits), "right")
-        starts = np.concatenate([[0], ends[:-1]])
-        full = np.flatnonzero(ends > starts)
-        runs = [slice(a, b) for a, b in zip(starts[full], ends[full])]
-        words = np.zeros(len(full), np.int64)
-        words[:1] = len(doc)  # a block's words are told once
-        trim()
-        return pa.table(
-            {
-                "part": pa.array(full, pa.int32()),
-                "block": pa.array([group["block"][0].as_py()] * len(full), pa.int64()),
-                "grams": pa.array([_planes(np.diff(own[r], prepend=np.uint64(0))) for r in runs], pa.binary()),
-                "counts": pa.array([_planes(counts[r].astype(np.uint32)) for r in runs], pa.binary()),
-                "words": pa.array(words),
-            }
-        )
-
-    sent = d.groupBy("block").applyInArrow(send, "part int, block long, grams binary, counts binary, words long")
-
-    def total(group: pa.Table) -> pa.Table:
-        own = [np.cumsum(_numbers(x, np.uint64), dtype=np.uint64) for x in group["grams"].to_pylist()]
-        counts = np.concatenate([_numbers(x, np.uint32) for x in group["counts"].to_pylist()])
-        every = np.concatenate(own)
-        order_ = np.argsort(every, kind="stable")
-        ranked = every[order_]
-        new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        sums = np.add.reduceat(counts[order_].astype(np.uint64), new)
-        back = np.empty(len(every), np.uint64)
-        back[order_] = np.repeat(sums, np.diff(np.concatenate([new, [len(every)]])))
-        pieces = np.split(back, np.cumsum([len(x) for x in own])[:-1])
-        trim()
-        totals = pa.array([zlib.compress(_planes(x), 1) for x in pieces], pa.binary())
-        return pa.table({"block": group["block"], "part": group["part"], "totals": totals, "words": group["words"]})
-
-    totals = written(sent.groupBy("part").applyInArrow(total, "block long, part int, totals binary, words long"))
-    all_words = totals.agg(F.sum("words")).head()[0] or 0
-
-    def judge(group: pa.Table, told: pa.Table) -> pa.Table:
-        group, texts = order_of(group)
-        doc, place, grams = _grams(texts, order)
-        own, _ = _distinct(place, grams)
-        told = told.sort_by("part")
-        corpus = np.concatenate([_numbers(zlib.decompress(x), np.uint64) for x in told["totals"].to_pylist()] or [np.empty(0, np.uint64)]).astype(np.float64)
-        n_words = np.bincount(doc, minlength=len(texts))
-        others = all_words - n_words[doc]
-        left = []  # counts of the m-gram that ends at each word in other documents
-        for m, g in enumerate(grams):
-            at = np.searchsorted(own, g)
-            at[place < m] = len(own)  # no n-gram of this length ends here: a number that none has
-            _, inverse, mine = np.unique(doc * (len(own) + 1) + at, return_inverse=True, return_counts=True)
-            f = np.append(corpus, 0.0)[at] - mine[inverse]
-            f[place < m] = 0
-            left.append(f)
-        score = np.where(left[0] > 0, left[0] / np.maximum(others, 1), 1 / (others + 1.0)) if len(doc) else np.empty(0)
-        short = np.zeros(len(doc), bool)
-        for m in range(1, order):
-            context = np.concatenate([[0.0], left[m - 1][:-1]]) if len(doc) else np.empty(0)
-            able = place >= m
-            seen = able & (left[m] > 0)
-            score = np.where(seen, left[m] / np.maximum(context, 1), np.where(able, alpha * score, score))
-            short = np.where(seen, False, short | able)
-        log = np.bincount(doc, np.log(score), len(texts)).astype(float)
-        mean = pa.array(log / np.maximum(n_words, 1), mask=n_words == 0)
-        trim()
-        return pa.table({"doc_id": group["doc_id"], "n_words": pa.array(n_words), "n_backoff": pa.array(np.bincount(doc, short, len(texts)).astype(np.int64)), "log_score": pa.array(log), "mean_log_score": mean})
-
-    left = d.groupBy("block").cogroup(totals.groupBy("block"))
-    return left.applyInArrow(judge, "doc_id long, n_words long, n_backoff long, log_score double, mean_log_score double")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    sizes = written(d.mapInArrow(_sizes, "doc_id long, text_hash long, n_words long").groupBy("doc_id", "text_hash").agg(F.min("n_words").alias("n_words"), F.count("*").alias("copies")))
+    n = sizes.agg(F.sum(F.col("n_words") * F.col("copies"))).head()[0] or 0
+
+    def counted(part: int) -> DataFrame:
+        """The n-grams of a range of hashes that more than one document has: no other can occur elsewhere."""
+        each = d.mapInArrow(_exploded(order, part, passes, True), _COUNTED).groupBy("gram")
+        c = each.agg(F.sum("m").alias("f"), F.count("*").alias("docs"), *[F.min(x).alias(x) for x in ("ctx", "suf", "mid")])
+        return written(c.where("docs > 1").drop("docs"))
+
+    ranges = [counted(p) for p in range(passes)]
+    f = reduce(DataFrame.union, ranges)
+    told = f
+    for name in ("ctx", "suf", "mid"):  # zero is no n-gram's hash but by chance, and what it then finds is not read
+        told = told.join(f.select(F.col("gram").alias(name), F.col("f").alias(f"f_{name}")), name, "left").drop(name)
+    told = written(told)
+    forget(*ranges)
+
+    def left(count: str, own: str) -> F.Column:
+        return F.log(F.col(count) - F.col(own))
+
+    longer = left("f", "m") - left("f_ctx", "own_ctx") - left("f_suf", "own_suf") - F.lit(math.log(alpha))
+    gain = F.when(F.col("size") == 1, left("f", "m")).when(F.col("size") == 2, longer).otherwise(longer + left("f_mid", "own_mid"))
+
+    def summed(part: int) -> DataFrame:
+        each = d.mapInArrow(_exploded(order, part, passes, False), _JOINED)
+        found = each.join(told, "gram").where(F.col("f") > F.col("m"))
+        sums = {"gain": F.col("m") * gain, "known": F.when(F.col("size") == 1, F.col("m")), "pairs": F.when(F.col("size") == 2, F.col("m")), "top": F.when(F.col("size") > 1, F.col("top"))}
+        return written(found.groupBy("doc_id", "text_hash").agg(*[F.sum(v).alias(k) for k, v in sums.items()]))
+
+    parts = reduce(DataFrame.union, [summed(p) for p in range(passes)])
+    forget(told)
+    # Sums are over all copies of a row; a copy has its share of them.
+    all_ = sizes.withColumns({k: F.lit(None).cast(t) for k, t in parts.dtypes[2:]}).unionByName(parts.withColumns({"n_words": F.lit(None).cast("long"), "copies": F.lit(None).cast("long")}))
+    per = all_.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k, _ in parts.dtypes[2:]])
+    per = per.withColumns({k: F.col(k) / F.col("copies") for k, _ in parts.dtypes[2:]}).withColumn("others", F.lit(n) - F.col("n_words"))
+    able = reduce(lambda a, b: a + b, [F.greatest(F.col("n_words") - m, F.lit(0)) for m in range(1, order)], F.lit(0))
+    log = (
+        F.col("gain")
+        + able * math.log(alpha)
+        + (F.col("pairs") - F.col("known")) * F.log(F.greatest(F.col("others"), F.lit(1)))
+        - (F.col("n_words") - F.col("known")) * F.log(F.col("others") + 1)
+    )
+    backed = (F.greatest(F.col("n_words") - 1, F.lit(0)) if order > 1 else F.lit(0)) - F.col("top")
+    out = per.withColumn("log_score", log).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
+    return out.select("doc_id", "n_words", F.round(backed).cast("long").alias("n_backoff"), "log_score", mean.alias("mean_log_score"))

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioloom.llm import backoff
 
@@ -50,8 +51,11 @@ def test_empty_table_and_no_words(spark, nothing):
     assert (r.n_words, r.log_score, r.mean_log_score) == (0, 0.0, None)
 
 
-def test_numbers_survive_packing():
-    import numpy as np
-
-    x = np.array([0, 1, 255, 256, 2**63], np.uint64)
-    assert (backoff._numbers(backoff._planes(x), np.uint64) == x).all()
+def test_passes_and_repeated_rows(spark):
+    rows = [(1, "a b c a b"), (1, "a b c a b"), (None, "a b d"), (2, None), (3, "c a b d d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gram", F.lit(1))
+    want = brute(rows, 3)
+    for passes in (1, 4):
+        got = sorted((str(r.doc_id), r.n_words, r.n_backoff, round(r.log_score, 6)) for r in backoff.scores(df, 3, passes=passes).collect())
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert all(abs(g[3] - w[3]) < 1e-5 for g, w in zip(got, want))
