@@ -23,22 +23,39 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioloom.llm._common import BASE, as_bytes, bits_of, by_column, forget, hashes, mixed, written
+from folioloom.llm._common import BASE, as_bytes, bits_of, by_column, forget, mixed, written
 
-#: Longest n-gram, weight of a shorter context, ranges of hashes, and rows in an Arrow batch of exploded n-grams.
-ORDER, ALPHA, PASSES, BATCH = 2, 0.4, 3, 1 << 17
+#: Longest n-gram, weight of a shorter context, ranges of hashes, rows in an Arrow batch of exploded n-grams, and words a worker remembers.
+ORDER, ALPHA, PASSES, BATCH, REMEMBERED = 2, 0.4, 4, 1 << 17, 1 << 18
 
 _NONE = np.zeros(0, np.uint64)
-_COUNTED = "gram long, m int, ctx long, suf long, mid long"
-_JOINED = "doc_id long, text_hash long, gram long, size int, m int, top int, own_ctx int, own_suf int, own_mid int"
 
 
-def _grams(text: bytes, order: int) -> list[np.ndarray]:
+def _schema(order: int, counting: bool) -> str:
+    """Columns of exploded n-grams. What only trigrams and longer ones need is left out where there are none."""
+    if counting:
+        return "gram long, m int, ctx long, suf long" + (", mid long" if order > 2 else "")
+    return "doc_id long, text_hash long, gram long, m int, own_ctx int, own_suf int" + (", own_mid int, top int" if order > 2 else "")
+
+
+class _Hashes(dict):
+    """XXH64 of words, a bounded number remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+def _grams(text: bytes, order: int, known: _Hashes) -> list[np.ndarray]:
     """For m = 1 .. order, the hash of the m-gram that ends at each word from the m-th on."""
-    words = hashes(text.split())
+    words = text.split()
+    words = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     out, run = [], np.zeros(len(words), np.uint64)
     for m in range(1, order + 1):
         if m > len(words):
@@ -52,10 +69,10 @@ def _grams(text: bytes, order: int) -> list[np.ndarray]:
 def _exploded(order: int, part: int, parts: int, counting: bool):
     """A function of Arrow batches of doc_id, text_hash, text: rows of the n-grams whose hash is in one range."""
 
-    def rows(text: bytes) -> Iterator[list[np.ndarray]]:
-        grams = _grams(text, order)
+    def rows(text: bytes, known: _Hashes) -> Iterator[list[np.ndarray]]:
+        grams = _grams(text, order, known)
         own = []
-        for g in grams[: order if counting else order + 1]:
+        for g in grams:
             _, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
             own.append(count[inverse])
         for m, g in enumerate(grams, 1):
@@ -69,14 +86,14 @@ def _exploded(order: int, part: int, parts: int, counting: bool):
             # The m-gram at i: its context is the (m-1)-gram at i, its suffix the one at i + 1, their common middle at i + 1.
             if counting:
                 ctx, suf = (grams[m - 2][at], grams[m - 2][at + 1]) if m > 1 else (none, none)
-                yield [key, count, ctx, suf, grams[m - 3][at + 1] if m > 2 else none]
+                yield [key, count, ctx, suf] + ([grams[m - 3][at + 1] if m > 2 else none] if order > 2 else [])
             else:
                 top = count if m == order else (at == 0).astype(np.int64)
                 ctx, suf = (own[m - 2][at], own[m - 2][at + 1]) if m > 1 else (none, none)
-                yield [key, np.full(len(at), m), count, top, ctx, suf, own[m - 3][at + 1] if m > 2 else none]
+                yield [key, count, ctx, suf] + ([own[m - 3][at + 1] if m > 2 else none, top] if order > 2 else [])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = (_COUNTED if counting else _JOINED).split(", ")
+        schema = _schema(order, counting).split(", ")
         names, kinds = zip(*((f.split()[0], pa.int64() if f.endswith("long") else pa.int32()) for f in schema))
 
         def batch(held: list[list[np.ndarray]], ids: list, repeats: list[int]) -> pa.RecordBatch:
@@ -87,10 +104,11 @@ def _exploded(order: int, part: int, parts: int, counting: bool):
                 out = [pa.array([i[j] for i in ids], pa.int64()).take(where) for j in (0, 1)] + out
             return pa.RecordBatch.from_arrays(out, names=names)
 
+        known = _Hashes()
         held, ids, repeats, n = [], [], [], 0
         for doc_ids, text_hashes, texts in by_column(batches, "doc_id", "text_hash", "text"):
             for doc_id, text_hash, text in zip(doc_ids.to_pylist(), text_hashes.to_pylist(), as_bytes(texts)):
-                for row in rows(text):
+                for row in rows(text, known):
                     held.append(row)
                     ids.append((doc_id, text_hash))
                     repeats.append(len(row[0]))
@@ -121,16 +139,18 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: st
     sizes = written(d.mapInArrow(_sizes, "doc_id long, text_hash long, n_words long").groupBy("doc_id", "text_hash").agg(F.min("n_words").alias("n_words"), F.count("*").alias("copies")))
     n = sizes.agg(F.sum(F.col("n_words") * F.col("copies"))).head()[0] or 0
 
+    wider = ["ctx", "suf", "mid"][: 3 if order > 2 else 2]
+
     def counted(part: int) -> DataFrame:
         """The n-grams of a range of hashes that more than one document has: no other can occur elsewhere."""
-        each = d.mapInArrow(_exploded(order, part, passes, True), _COUNTED).groupBy("gram")
-        c = each.agg(F.sum("m").alias("f"), F.count("*").alias("docs"), *[F.min(x).alias(x) for x in ("ctx", "suf", "mid")])
+        each = d.mapInArrow(_exploded(order, part, passes, True), _schema(order, True)).groupBy("gram")
+        c = each.agg(F.sum("m").alias("f"), F.count("*").alias("docs"), *[F.min(x).alias(x) for x in wider])
         return written(c.where("docs > 1").drop("docs"))
 
     ranges = [counted(p) for p in range(passes)]
     f = reduce(DataFrame.union, ranges)
     told = f
-    for name in ("ctx", "suf", "mid"):  # zero is no n-gram's hash but by chance, and what it then finds is not read
+    for name in wider:  # zero, a word's context, is no n-gram's hash but by chance
         told = told.join(f.select(F.col("gram").alias(name), F.col("f").alias(f"f_{name}")), name, "left").drop(name)
     told = written(told)
     forget(*ranges)
@@ -139,12 +159,16 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: st
         return F.log(F.col(count) - F.col(own))
 
     longer = left("f", "m") - left("f_ctx", "own_ctx") - left("f_suf", "own_suf") - F.lit(math.log(alpha))
-    gain = F.when(F.col("size") == 1, left("f", "m")).when(F.col("size") == 2, longer).otherwise(longer + left("f_mid", "own_mid"))
+    one = F.col("f_ctx").isNull()
+    two = ~one & (F.col("f_mid").isNull() if order > 2 else F.lit(True))
+    gain = F.when(one, left("f", "m")).when(two, longer)
+    gain = gain.otherwise(longer + left("f_mid", "own_mid")) if order > 2 else gain
+    top = F.col("top" if order > 2 else "m")
 
     def summed(part: int) -> DataFrame:
-        each = d.mapInArrow(_exploded(order, part, passes, False), _JOINED)
+        each = d.mapInArrow(_exploded(order, part, passes, False), _schema(order, False))
         found = each.join(told, "gram").where(F.col("f") > F.col("m"))
-        sums = {"gain": F.col("m") * gain, "known": F.when(F.col("size") == 1, F.col("m")), "pairs": F.when(F.col("size") == 2, F.col("m")), "top": F.when(F.col("size") > 1, F.col("top"))}
+        sums = {"gain": F.col("m") * gain, "known": F.when(one, F.col("m")), "pairs": F.when(two, F.col("m")), "top": F.when(~one, top)}
         return written(found.groupBy("doc_id", "text_hash").agg(*[F.sum(v).alias(k) for k, v in sums.items()]))
 
     parts = reduce(DataFrame.union, [summed(p) for p in range(passes)])
