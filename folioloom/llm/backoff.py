@@ -23,14 +23,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioloom.llm._common import BASE, as_bytes, bits_of, by_column, forget, mixed, written
+from folioloom.llm._common import BASE, as_bytes, bits_of, by_column, forget, hashes, mixed, written
 
-#: Longest n-gram, weight of a shorter context, ranges of hashes, rows in an Arrow batch of exploded n-grams, and words a worker remembers.
-ORDER, ALPHA, PASSES, BATCH, REMEMBERED = 2, 0.4, 4, 1 << 17, 1 << 18
+#: Longest n-gram, weight of a shorter context, ranges of hashes, and rows in an Arrow batch of exploded n-grams.
+ORDER, ALPHA, PASSES, BATCH = 2, 0.4, 4, 1 << 17
 
 _NONE = np.zeros(0, np.uint64)
 
@@ -42,20 +41,9 @@ def _schema(order: int, counting: bool) -> str:
     return "doc_id long, text_hash long, gram long, m int, own_ctx int, own_suf int" + (", own_mid int, top int" if order > 2 else "")
 
 
-class _Hashes(dict):
-    """XXH64 of words, a bounded number remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-def _grams(text: bytes, order: int, known: _Hashes) -> list[np.ndarray]:
+def _grams(text: bytes, order: int) -> list[np.ndarray]:
     """For m = 1 .. order, the hash of the m-gram that ends at each word from the m-th on."""
-    words = text.split()
-    words = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    words = hashes(text.split())
     out, run = [], np.zeros(len(words), np.uint64)
     for m in range(1, order + 1):
         if m > len(words):
@@ -69,20 +57,19 @@ def _grams(text: bytes, order: int, known: _Hashes) -> list[np.ndarray]:
 def _exploded(order: int, part: int, parts: int, counting: bool):
     """A function of Arrow batches of doc_id, text_hash, text: rows of the n-grams whose hash is in one range."""
 
-    def rows(text: bytes, known: _Hashes) -> Iterator[list[np.ndarray]]:
-        grams = _grams(text, order, known)
-        own = []
-        for g in grams:
+    def rows(text: bytes) -> Iterator[list[np.ndarray]]:
+        grams = _grams(text, order)
+        own = []  # how often the text has the m-gram at each place, of those that are a context or a suffix
+        for g in grams[: 0 if counting else order - 1]:
             _, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
             own.append(count[inverse])
         for m, g in enumerate(grams, 1):
             here = np.flatnonzero((g >> np.uint64(40)) % np.uint64(parts) == part)
             if not len(here):
                 continue
-            key, at = np.unique(g[here], return_index=True)
+            key, at, count = np.unique(g[here], return_index=True, return_counts=True)
             at = here[at]
-            count = own[m - 1][at]
-            none = np.zeros(len(at), np.uint64)
+            none = np.zeros(len(at), np.uint64 if counting else np.int64)
             # The m-gram at i: its context is the (m-1)-gram at i, its suffix the one at i + 1, their common middle at i + 1.
             if counting:
                 ctx, suf = (grams[m - 2][at], grams[m - 2][at + 1]) if m > 1 else (none, none)
@@ -104,11 +91,10 @@ def _exploded(order: int, part: int, parts: int, counting: bool):
                 out = [pa.array([i[j] for i in ids], pa.int64()).take(where) for j in (0, 1)] + out
             return pa.RecordBatch.from_arrays(out, names=names)
 
-        known = _Hashes()
         held, ids, repeats, n = [], [], [], 0
         for doc_ids, text_hashes, texts in by_column(batches, "doc_id", "text_hash", "text"):
             for doc_id, text_hash, text in zip(doc_ids.to_pylist(), text_hashes.to_pylist(), as_bytes(texts)):
-                for row in rows(text, known):
+                for row in rows(text):
                     held.append(row)
                     ids.append((doc_id, text_hash))
                     repeats.append(len(row[0]))
