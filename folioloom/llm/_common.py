@@ -98,6 +98,15 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: Bytes as they are read by lower_words: A-Z in lower case, letters, digits and all of other scripts as they are, the rest blank.
+_LOWER = bytes(c if c >= 0x80 or 0x30 <= c < 0x3A or 0x61 <= c < 0x7B else c + 32 if 0x41 <= c < 0x5B else 32 for c in range(256))
+
+
+def lower_words(text: bytes) -> list[bytes]:
+    """Runs of ASCII letters and digits and of anything beyond ASCII, only A-Z in lower case."""
+    return text.translate(_LOWER).split()
+
+
 def by_column(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[pa.Array]]:
     for b in batches:
         if b.num_rows:

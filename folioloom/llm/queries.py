@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm import backoff, decontaminate, html, lines, mixing, onebit, secrets, simhash, substrings, toxicity
+from folioloom.llm import backoff, decontaminate, html, importance, lines, mixing, onebit, secrets, simhash, substrings, toxicity, wand
 from folioloom.llm._common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,44 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_secret_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+#: Words of an op11 or op12 text, in SQL: A-Z in lower case; letters, digits and what is beyond ASCII.
+_LOWER_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+
+
+@query(
+    "op11_importance_resampling",
+    f"""WITH dw AS (SELECT doc_id, coalesce({_LOWER_WORDS}, []) AS w FROM documents), bw AS (SELECT {_LOWER_WORDS} AS w FROM benchmark),
+     table_ AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+     v AS (SELECT DISTINCT unnest(w) AS x FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)),
+     utf AS (SELECT x, list_transform(range(1, octet_length(encode(x)) + 1), lambda i: ('0x' || substr(hex(encode(x)), 2 * i - 1, 2))::BIGINT) AS b FROM v),
+     c AS (SELECT x, xor(list_reduce(list_concat([4294967295], b), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS k FROM utf, table_),
+     f AS (SELECT doc_id, k FROM (SELECT doc_id, unnest(w) AS x FROM dw) JOIN c USING (x)), g AS (SELECT k FROM (SELECT unnest(w) AS x FROM bw) JOIN c USING (x)),
+     s AS (SELECT k, count(*) AS s FROM f GROUP BY k), t AS (SELECT k, count(*) AS t FROM g GROUP BY k),
+     gain AS (SELECT k, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM g) + 10000))))::BIGINT AS gain FROM s FULL JOIN t USING (k)),
+     d AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight FROM f JOIN gain USING (k) GROUP BY doc_id),
+     r AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM dw LEFT JOIN d USING (doc_id)),
+     k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r WHERE n_features >= 20)
+SELECT r.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM k) THEN rank END AS rank FROM r LEFT JOIN k USING (doc_id)""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query(
+    "op12_ranked_search",
+    f"""WITH w AS (SELECT doc_id, unnest({_LOWER_WORDS}) AS t FROM documents), i AS (SELECT item_id, unnest({_LOWER_WORDS}) AS t FROM benchmark),
+     s AS (SELECT count(DISTINCT doc_id) AS big_n, count(*) AS big_l FROM w),
+     m AS (SELECT doc_id, 75 + (25 * count(*) * any_value(big_n)) // any_value(big_l) AS m FROM w, s GROUP BY doc_id),
+     tf AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+     q AS (SELECT item_id, t, count(*) AS c FROM i GROUP BY ALL),
+     x AS (SELECT item_id, t, c * floor(1000 * ln((2 * big_n + 2) / (2 * df + 1)))::BIGINT AS w FROM q JOIN df USING (t), s),
+     r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM x JOIN tf USING (t) JOIN m USING (doc_id) GROUP BY ALL),
+     k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
