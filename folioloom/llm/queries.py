@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm import backoff, decontaminate, html, importance, lines, mixing, onebit, secrets, simhash, substrings, toxicity, wand
+from folioloom.llm import backoff, decontaminate, html, importance, lines, mixing, onebit, secrets, simhash, substrings, suffixes, toxicity, wand
 from folioloom.llm._common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,19 @@ SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20""",
 )
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wand.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op13_suffix_array_dedup",
+    """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     p AS (SELECT doc_id, unnest(range(0, octet_length(encode(h)) // 2 - 399)) AS p, unnest(list_transform(range(0, octet_length(encode(h)) // 2 - 399), lambda i: md5(substr(h, 2 * i + 1, 800)))) AS k FROM d WHERE octet_length(encode(h)) >= 800),
+     m AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1),
+     s AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM p JOIN m USING (k)),
+     r AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM s),
+     g AS (SELECT doc_id, run, min(p) AS a, max(p) + 400 AS b FROM r GROUP BY ALL),
+     b AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list(struct_pack(a := a, b := b) ORDER BY a) AS g FROM g GROUP BY doc_id)
+SELECT doc_id, octet_length(encode(h)) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN g IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(g) + 2), lambda i: substr(h, CASE WHEN i = 1 THEN 1 ELSE 2 * g[i - 1].b + 1 END, CASE WHEN i > len(g) THEN 1000000000 ELSE 2 * (g[i].a - CASE WHEN i = 1 THEN 0 ELSE g[i - 1].b END) END)), '') END)) AS kept_sha256 FROM d LEFT JOIN b USING (doc_id)""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -33,7 +33,7 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
 
 
 def test_each_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert {"pipeline", *QUERIES} <= entry.queries().keys()
 
 
