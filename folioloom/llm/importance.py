@@ -126,4 +126,5 @@ def resample(
     for held, table in zip(counts, (bucket_counts(docs, n, buckets, text_col), bucket_counts(target, n, buckets, target_col))):
         for r in table.collect():  # a row a bucket, whatever the number of documents
             held[r["bucket"]] = r["n"]
-    return draw(weigh(docs, gains(*counts), n, seed, id_col, text_col), percent, least_words)
+    # Written, since ranges are chosen by a look at the rows before they are dealt.
+    return draw(written(weigh(docs, gains(*counts), n, seed, id_col, text_col)), percent, least_words)
