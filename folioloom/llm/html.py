@@ -1,10 +1,11 @@
 """Main text of web pages: structure first, then differencing of what is in doubt with the page of the nearest URL.
 
 What the page tells goes first: menus, footers, forms, scripts and the like by element or role, adverts, sidebars, comments and notices by
-classes and ids that are made of such words only. An article (or a main element) tells which blocks are the text. What is left in
+classes and ids that are made of such words only. An article (or a main element) tells which blocks are the text; one inside a form or a notice
+does so if the page has no other. What is left in
 doubt is compared with the nearest page: pages of a host are ordered by URL path, a page is paired with the neighbour that shares the longer path
 prefix, their lines are aligned by longest common subsequence, and shared lines in doubt are deleted. In doubt are, on a page
-that tells no article, all its lines; in an article those under a class or id that has such a word among others ("related-work").
+that tells no article, all its lines; in an article those under a class or id that has such a word among others ("related-work"), or one that texts use as well ("discussion").
 
 Differencing alone cannot give the article: adverts and footers differ from page to page, and copies of an article on one
 host share all their lines. So an article's other lines are never deleted, and a page that shares most of them tells nothing.
@@ -49,6 +50,11 @@ PLACES = set(
 # Whole classes or ids of a page's head, and of what holds its text where no element says so.
 HEADS = set("header site-header page-header top-header global-header main-header header-top".split())
 CONTENT = set("content main-content page-content article article-body article-content article-text post post-body post-content entry entry-content story story-body main-text body-text body-content".split())
+# Elements, roles, and words of classes and ids of things that some pages wrap around their whole article.
+WRAPPERS = set("form fieldset dialog".split())
+WRAPPER_MARKS = set("form alert alerts alertdialog notice notices modal overlay popup popups widget widgets dialog status paywall".split())
+# Words that inside an article are as often its own as not; the second are so of paragraphs only.
+WEAK, WEAK_LINES = set("discussion toc disclaimer promotion subscription consent".split()), set("reply replies comment".split())
 #: Classes of these are not judged: they hold everything.
 HOLDERS = {"html", "body", "main"}
 
@@ -59,49 +65,57 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _URL = re.compile(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)([^?#]*)")
 
-STRUCTURE, DOUBTFUL, MAIN, ARTICLE = range(4)
+#: WRAPPED: structure that an article may still be in; RESCUED: such an article, which is one if the page has no other.
+STRUCTURE, DOUBTFUL, MAIN, ARTICLE, WRAPPED, RESCUED = range(6)
 #: Added to a kind: in doubt, though inside what holds the text.
-SUSPECT = 4
+SUSPECT = 8
 #: Inside an inline element that is no part of the article: its text is left out and the block goes on.
 HIDDEN = -1
 
 
-def _named(name: str, inside: bool) -> str | None:
-    """What a class or id says: 'structure', 'content', 'suspect' or nothing."""
+def _named(name: str, inside: bool, line: bool = False) -> str | None:
+    """What a class or id, of a paragraph if ``line``, says: 'structure', 'wrapper', 'content', 'suspect' or nothing."""
     parts = [p for p in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if p]
     whole = "-".join(parts)
     if whole in HEADS and not inside:
         return "structure"
-    if any(p in MARKS for p in parts):
-        return "structure" if all(p in MARKS or p in PLACES for p in parts) else "suspect"
+    marks = {p for p in parts if p in MARKS}
+    if marks:
+        if not all(p in MARKS or p in PLACES for p in parts) or inside and marks <= (WEAK | WEAK_LINES if line else WEAK):
+            return "suspect"
+        return "wrapper" if marks <= WRAPPER_MARKS else "structure"
     return "content" if whole in CONTENT else None
 
 
 def _told(attributes: str, tag: str, inside: bool) -> int | None:
-    """What role, class, id or style tell of an element: STRUCTURE if it is no part of an article, MAIN or ARTICLE if it holds the text, SUSPECT if it may be either, or nothing."""
+    """What role, class, id or style tell of an element: STRUCTURE or WRAPPED if it is no part of an article, MAIN or ARTICLE if it holds the text, SUSPECT if it may be either, or nothing."""
     if not attributes.strip():
         return None
     at: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attributes):
         at.setdefault((m[1] or m[5]).lower(), unescape(m[2] or m[3] or m[4] or ""))
     role = at.get("role", "").lower().strip()
-    if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(at.get("style", "")) or role in ROLES:
+    if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(at.get("style", "")):
         return STRUCTURE
+    if role in ROLES:
+        return WRAPPED if role in WRAPPER_MARKS else STRUCTURE
     if role in ("main", "article"):
         return MAIN if role == "main" else ARTICLE
     if tag in HOLDERS:
         return None
     # Ids of headings, and inside a text those of paragraphs and sections, are made of their words.
     ids = [] if tag in HEADINGS else at.get("id", "").split()
-    said = {_named(n, inside) for n in at.get("class", "").split()}
+    said = {_named(n, inside, tag in ("p", "span", "blockquote")) for n in at.get("class", "").split()}
     slug = {_named(n, inside) for n in ids}
     if inside and tag in ("p", "section", "span", "a"):
-        slug = {"suspect" if s == "structure" else s for s in slug}
+        slug = {"suspect" if s in ("structure", "wrapper") else s for s in slug}
     said |= slug
     if tag == "article":
         return STRUCTURE if re.search(r"(?i)\b(?:comments?|reply)\b", at.get("class", "") + " " + at.get("id", "")) else None
     if "structure" in said:
         return STRUCTURE
+    if "wrapper" in said:
+        return WRAPPED
     if "suspect" in said and inside:
         return SUSPECT
     return MAIN if "content" in said and tag in ("div", "section", "td") else None
@@ -131,7 +145,7 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                out.append((text, of))
+                out.append((text, STRUCTURE if of == WRAPPED else of))
             buffer.clear()
 
     def pop_to(n: int) -> None:
@@ -195,13 +209,17 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
             continue
         now = kind
         if kind not in (STRUCTURE, HIDDEN):
-            inside = kind % SUSPECT in (ARTICLE, MAIN)
+            inside = kind % SUSPECT in (ARTICLE, MAIN, RESCUED)
             told = STRUCTURE if tag in DROPPED or tag in INLINE_DROPPED or (tag == "header" and not inside) else _told(attributes, tag, inside)
-            if told == STRUCTURE:
-                now = STRUCTURE if tag in BLOCKS or tag in DROPPED else HIDDEN
+            if told == STRUCTURE and tag in WRAPPERS:
+                told = WRAPPED
+            if told in (STRUCTURE, WRAPPED):
+                now = told if tag in BLOCKS or tag in DROPPED else HIDDEN
+            elif kind == WRAPPED:
+                now = RESCUED if tag in ("article", "main") or told in (ARTICLE, MAIN) else WRAPPED
             elif tag == "article" or told == ARTICLE:
-                now = ARTICLE
-            elif (tag == "main" or told == MAIN) and kind % SUSPECT != ARTICLE:
+                now = RESCUED if kind % SUSPECT == RESCUED else ARTICLE
+            elif (tag == "main" or told == MAIN) and kind % SUSPECT not in (ARTICLE, RESCUED):
                 now = MAIN
             elif told == SUSPECT and kind < SUSPECT:
                 now = kind + SUSPECT
@@ -288,7 +306,7 @@ def _extract(pages: DataFrame) -> DataFrame:
             for url, html in zip(urls.to_pylist(), htmls.to_pylist()):
                 found = blocks_of(html or "")
                 kinds = {k % SUSPECT for _, k in found}
-                best = ARTICLE if ARTICLE in kinds else MAIN if MAIN in kinds else DOUBTFUL
+                best = next((k for k in (ARTICLE, RESCUED, MAIN) if k in kinds), DOUBTFUL)
                 kept = [(i, t, best == DOUBTFUL or k >= SUSPECT) for i, (t, k) in enumerate(found) if k % SUSPECT == best]
                 lines = [xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in found]
                 if any(doubt for _, _, doubt in kept):
@@ -366,7 +384,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """page_id, url, text, n_chars: one row for each of pages; other columns of pages do not matter. Null html is empty; a null url is a host of its own.
 
     Repeated rows have one text. A page is compared with the nearest one of its host that has other lines; a page whose host has none, as
-    that of copies only, keeps its lines in doubt. So does an article of whose other lines the nearest page has more than half. A page may be
+    that of copies only, keeps its lines in doubt. An empty table gives no rows. So does an article of whose other lines the nearest page has more than half. A page may be
     of any length: a task holds the pages of a batch, and three of the ordered ones.
     """
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

@@ -154,3 +154,27 @@ def test_empty_table(spark):
 def test_urls():
     assert html.split_url("HTTPS://user@A.B/c/d/?x#y") == ("a.b", "/c/d")
     assert html.split_url("//a/b") == ("a", "/b") and html.split_url(None) == ("", "") and html.split_url("x/y?z") == ("", "x/y")
+
+
+def test_an_article_inside_a_form_or_a_notice(spark):
+    pages = {
+        1: "<body><form action=x><input><label>Name</label><article><h1>Title</h1><p>Text of it.</p><form><label>Mail</label></form></article></form></body>",
+        2: '<body><div class="alert"><p>Beware</p><article><p>Text of it.</p></article></div></body>',
+        3: '<body><main><form><p>Choose</p><section><article><p>Text of it.</p></article></section></form></main></body>',
+        4: '<body><article><p>Text of it.</p></article><div class="notice"><article><p>Teaser</p></article></div><form><article>Teaser</article></form></body>',
+        5: '<body><div role="alert"><main><p>Text of it.</p></main></div><nav><article>Menu</article></nav><div class="related"><article>Teaser</article></div></body>',
+    }
+    rows = [(i, f"http://h{i}.org/a", h) for i, h in pages.items()]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Title\n\nText of it.", **dict.fromkeys(range(2, 6), "Text of it.")}
+
+
+def test_words_that_texts_use_as_well_are_left_to_differencing(spark):
+    def page(own, marked):
+        lines = "".join(f"<p>{own} {i}</p>" for i in range(3))
+        return f'<body><article>{lines}<div class="discussion"><p>{marked}</p></div><p class="reply">{own} answers.</p><ul class="toc"><li>{marked} list</li></ul><div class="comments"><p>Reader</p></div></article></body>'
+
+    rows = [(1, "http://h.org/a/1", page("One", "Shared")), (2, "http://h.org/a/2", page("Two", "Shared")), (3, "http://g.org/x", page("Three", "Alone"))]
+    got = {r.page_id: r.text.split("\n\n") for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == ["One 0", "One 1", "One 2", "One answers."] and got[2] == ["Two 0", "Two 1", "Two 2", "Two answers."]
+    assert got[3] == ["Three 0", "Three 1", "Three 2", "Alone", "Three answers.", "Alone list"]
