@@ -13,14 +13,15 @@ prefixes come out of both. For each r at which suffixes of a group part, those t
 longest l of each is that of a neighbour.
 
 A group is an anchor's different contexts. One with more than ``hot`` is dealt by ranges of where a string begins before the anchor: strings of a range share
-a core, by whose hash the contexts are grouped anew. A core that is still shared by more than ``hot`` has its few strings counted one by one,
-by digests, combined before they are shuffled.
+a core, by whose hash the contexts are grouped anew. A core that is still shared by more than ``hot`` has its range parted again, until a range is one
+string, which is counted: counts are combined before they are shuffled, so nothing of the group need meet in one place.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from folioloom.llm._common import BASE, bits_of, by_column, forget, lists, mixed, written
 
-#: Bytes of a repeated string: fixed value of the query. Bytes of a gram; most contexts of a group; ranges of beginnings into which a larger one is dealt.
-LENGTH, GRAM, HOT, RANGES = 400, 32, 4096, 8
+#: Bytes of a repeated string: fixed value of the query. Bytes of a gram; most contexts of a group; parts into which a range of beginnings is dealt.
+LENGTH, GRAM, HOT, FAN = 400, 32, 4096, 4
 #: Bytes to which multikey quicksort goes; contexts sorted in one block; bytes whose anchors are looked for at a time.
 SHALLOW, BLOCK, PIECE = 32, 8192, 1 << 17
 
@@ -285,56 +286,47 @@ def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, ctx long, before binary, after binary")
 
 
-def _ranges(length: int, gram: int, ranges: int) -> list[tuple[int, int]]:
-    """Ranges of how far before the anchor a string begins, ends included."""
-    step = -(-(length - gram + 1) // ranges)
-    return [(a, min(a + step, length - gram + 1) - 1) for a in range(0, length - gram + 1, step)]
+def _parts(a: int, b: int) -> list[tuple[int, int]]:
+    """The range a..b, ends included, in FAN parts or as many as it has numbers."""
+    step = -(-(b - a + 1) // FAN)
+    return [(x, min(x + step - 1, b)) for x in range(a, b + 1, step)]
 
 
-def _dealt(contexts: DataFrame, length: int, gram: int, ranges: int, hot: int) -> DataFrame:
+def _dealt(contexts: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
     """anchor, ctx, l, r of the contexts of groups that are too large."""
-    cuts = _ranges(length, gram, ranges)
 
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for anchors_, ctx, before, after in by_column(batches, "anchor", "ctx", "before", "after"):
-            owner, part, core = [], [], []
-            for i, (x, y) in enumerate(zip(before.to_pylist(), after.to_pylist())):
-                for k, (a, b) in enumerate(cuts):
+        for anchors_, ctx, before, after, lows, highs in by_column(batches, "anchor", "ctx", "before", "after", "a", "b"):
+            owner, low, high, digests = [], [], [], []
+            for i, (x, y, lo, hi) in enumerate(zip(before.to_pylist(), after.to_pylist(), lows.to_pylist(), highs.to_pylist())):
+                for a, b in _parts(lo, hi):
                     if len(x) >= a and len(y) >= length - b:
                         owner.append(i)
-                        part.append(k)
-                        core.append(xxhash.xxh3_64_intdigest(x[len(x) - a :] + y[: length - b], k))
-            take = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([anchors_.take(take), ctx.take(take), pa.array(part, pa.int32()), pa.array(bits_of(np.array(core, np.uint64)))], ["anchor", "ctx", "part", "core"])
-
-    dealt = written(contexts.mapInArrow(cores, "anchor long, ctx long, part int, core long"))
-    sizes = written(dealt.groupBy("anchor", "part", "core").agg(F.count("*").alias("m")).where("m > 1"))
-    held = written(dealt.join(sizes, ["anchor", "part", "core"]))
-    forget(dealt, sizes)
-    few = held.where(F.col("m") <= hot).select("anchor", "ctx", F.xxhash64("part", "core").alias("g2"))
-    sorted_ = _sorted_extents(contexts.join(few, ["anchor", "ctx"]).select(F.col("anchor").alias("g1"), "g2", "anchor", "ctx", "before", "after"), length)
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for anchors_, ctx, before, after, parts in by_column(batches, "anchor", "ctx", "before", "after", "parts"):
-            owner, at, digests = [], [], []
-            for i, (x, y, ks) in enumerate(zip(before.to_pylist(), after.to_pylist(), parts.to_pylist())):
-                for k in ks:
-                    for d in range(cuts[k][0], cuts[k][1] + 1):
-                        if len(x) >= d and len(y) >= length - d:
-                            owner.append(i)
-                            at.append(d)
-                            digests.append(xxhash.xxh3_128_digest(x[len(x) - d :] + y[: length - d]))
+                        low.append(a)
+                        high.append(b)
+                        digests.append(xxhash.xxh3_128_digest(x[len(x) - a :] + y[: length - b]))
             h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             take = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([anchors_.take(take), ctx.take(take), pa.array(at, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["anchor", "ctx", "d", "h1", "h2"])
-
-    many = held.where(F.col("m") > hot).groupBy("anchor", "ctx").agg(F.collect_list("part").alias("parts"))  # the ranges at most
-    single = written(contexts.join(many, ["anchor", "ctx"]).mapInArrow(strings, "anchor long, ctx long, d int, h1 long, h2 long"))
-    twice = single.groupBy("anchor", "d", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    again = single.join(twice, ["anchor", "d", "h1", "h2"]).groupBy("anchor", "ctx").agg(F.max("d").cast("int").alias("l"), (F.lit(length) - F.min("d")).cast("int").alias("r"))
-    out = written(sorted_.unionByName(again))
-    forget(held, single)
-    return out
+            yield pa.RecordBatch.from_arrays([anchors_.take(take), ctx.take(take), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["anchor", "ctx", "a", "b", "h1", "h2"])
+
+    key = ["anchor", "a", "b", "h1", "h2"]
+    open_ = contexts.select("anchor", "ctx", F.lit(0).alias("a"), F.lit(length - gram).alias("b"))
+    found = []
+    while True:  # as often as the ranges can be parted
+        dealt = written(contexts.join(open_, ["anchor", "ctx"]).mapInArrow(cores, "anchor long, ctx long, a int, b int, h1 long, h2 long"))
+        sizes = written(dealt.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1"))
+        held = written(dealt.join(sizes, key))
+        forget(dealt, sizes)
+        one, many = F.col("a") == F.col("b"), F.col("m") > hot
+        # Strings of one beginning and one hash are the same.
+        same = held.where(one).select("anchor", "ctx", F.col("a").alias("l"), (F.lit(length) - F.col("a")).alias("r"))
+        few = held.where(~one & ~many).select("anchor", "ctx", F.xxhash64("a", "b", "h1", "h2").alias("g2"))
+        few = _sorted_extents(contexts.join(few, ["anchor", "ctx"]).select(F.col("anchor").alias("g1"), "g2", "anchor", "ctx", "before", "after"), length)
+        found.append(written(same.unionByName(few)))
+        open_ = written(held.where(~one & many).select("anchor", "ctx", "a", "b"))
+        forget(held)
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, found)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, removed array<struct<start:long,bytes:long>>"
@@ -369,7 +361,7 @@ def _cut(rows: DataFrame, length: int, gram: int, with_text: bool) -> DataFrame:
     return rows.mapInArrow(run, RESULT)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, ranges: int = RANGES) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (spans of bytes), kept (the bytes left, if asked): one row for each of docs.
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else, in the same text or another; so the first of several goes
@@ -387,9 +379,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
     found = written(_occurrences(d.select("t1", "t2", "text"), length, gram))
     twins = written(found.groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select("t1", "t2"))
     flat = found.select("t1", "t2", F.explode(F.arrays_zip("anchor", "ctx", "place")).alias("x")).select("t1", "t2", "x.*")
-    known = flat.groupBy("anchor").agg(F.count("*").alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("n > 1")
+    known = written(flat.groupBy("anchor").agg(F.count("*").alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("n > 1"))  # so that Spark can split a hot anchor's side of the join
     repeated = written(flat.join(known, "anchor").select("t1", "t2", "anchor", "ctx", "place", (F.col("c0") != F.col("c1")).alias("differ")))
-    forget(found)
+    forget(found, known)
 
     # Of an anchor's different contexts, each with one place that has it.
     each = written(repeated.where("differ").groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "place")).alias("at")))
@@ -402,9 +394,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
         shared = written(_sorted_extents(contexts.select(F.col("anchor").alias("g1"), F.lit(0).cast("long").alias("g2"), "*"), length))
     else:
         usual = contexts.join(large, "anchor", "left_anti").select(F.col("anchor").alias("g1"), F.lit(0).cast("long").alias("g2"), "*")
-        dealt = _dealt(written(contexts.join(large, "anchor", "left_semi")), length, gram, ranges, hot)
+        dealt = _dealt(written(contexts.join(large, "anchor", "left_semi")), length, gram, hot)
         shared = written(_sorted_extents(usual, length).unionByName(dealt))
-        forget(dealt)
     forget(contexts, large)
 
     extent = shared.groupBy("anchor", "ctx").agg(F.max("l").alias("l"), F.max("r").alias("r"))

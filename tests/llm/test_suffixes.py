@@ -38,7 +38,7 @@ def test_small_alphabets(spark, letters):
     rows = [(i, "".join(rng.choice(letters) for _ in range(rng.randint(0, 90)))) for i in range(60)] + [(70, letters[0] * 200), (71, "b" * 21)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     for length, gram, hot in ((12, 3, 4096), (12, 3, 2), (9, 9, 5), (14, 1, 3)):
-        assert result(suffixes.dedup(df, length, gram, hot=hot, ranges=3)) == brute(rows, length)
+        assert result(suffixes.dedup(df, length, gram, hot=hot)) == brute(rows, length)
 
 
 def test_passage_in_many_documents_and_repeats_of_a_row(spark):
