@@ -1,10 +1,11 @@
 """Line dedup: which lines of each document to keep, as compressed bitmaps.
 
 Each document's distinct line keys become hashes; (hash, document, positions) rows are range-partitioned by hash and
-document and sorted by hash, then document from the largest down, then position. One pass streams over a partition:
+document and sorted by hash, then document from the largest down, then row. Repeats of a row fall together on the way. One pass streams over a partition:
 the first document of a run of equal hashes keeps its lines, and once a fifth distinct document has come, all others'
 lines go. The range bounds hold the document too, so a hash in a third of all documents is spread over many
-partitions; runs that touch a partition's edge are settled from one count a partition and run, joined back.
+partitions; runs that touch a partition's edge are settled from one count a partition and run, joined back. So is a run in which
+very many rows come before its fifth document, as rows without an id do, which are one document.
 """
 
 from __future__ import annotations
@@ -34,12 +35,19 @@ def _code_points(utf8: bytes) -> int:
 
 
 def _occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
-    """h1, h2 (128 bits of a key), doc_id, row_key, at (positions of its lines): one row for each document and key."""
+    """h1, h2 (128 bits of a key), doc_id, row_key, at (positions of its lines): one row for each document and key.
+
+    Repeats of a row in one batch are one; others are left to the pass over sorted rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, row_keys, texts in by_column(batches, "doc_id", "row_key", "text"):
             keys, owner, counts, at = [], [], [], []
-            for i, text in enumerate(as_bytes(texts)):
+            seen = set()
+            for i, (row, text) in enumerate(zip(zip(ids.to_pylist(), row_keys.to_pylist()), as_bytes(texts))):
+                if row in seen:
+                    continue
+                seen.add(row)
                 found: dict[bytes, list[int]] = {}
                 for n, line in enumerate(text.split(b"\n")):
                     if len(line) >= least_chars:
@@ -63,15 +71,17 @@ def _occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
 
 JUDGED = "kind int, h1 long, h2 long, doc_id long, row_key long, at array<int>, n_docs long"
 DROP, OPEN, COUNT = 0, 1, 2
+#: Rows of a run that may wait for its fifth document.
+MOST_WAITING = 10_000
 
 
 def _judge(sorted_rows: DataFrame, least_docs: int) -> DataFrame:
     """One pass over sorted partitions. DROP: lines to drop. Of a partition's first and last hash, COUNT: its documents
-    here and the largest; OPEN: rows that depend on other partitions."""
+    here and the largest; OPEN: rows that depend on other partitions. A run with too many rows to wait is told in the same way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        key = top = last = None
+        key = top = last = before = None
         at_edge, settled, n_docs, waiting = True, False, 0, []
 
         def end(last_run: bool) -> None:
@@ -88,6 +98,9 @@ def _judge(sorted_rows: DataFrame, least_docs: int) -> DataFrame:
 
         for columns in by_column(batches, "h1", "h2", "doc_id", "row_key", "at"):
             for h1, h2, doc, row, at in zip(*(c.to_pylist() for c in columns)):
+                if (h1, h2, doc, row) == before:  # a repeat of a row
+                    continue
+                before = (h1, h2, doc, row)
                 if (h1, h2) != key:
                     end(False)
                     at_edge, settled, n_docs, waiting = key is None, False, 1, []
@@ -105,7 +118,11 @@ def _judge(sorted_rows: DataFrame, least_docs: int) -> DataFrame:
                         settled = True
                         out.extend((DROP, h1, h2, d, r, p, None) for d, r, p in waiting if d != top)
                         waiting = []
-            if out:
+                    elif len(waiting) > MOST_WAITING:
+                        at_edge = True
+                        out.extend((OPEN, h1, h2, d, r, p, None) for d, r, p in waiting)
+                        waiting = []
+            if len(out) >= MOST_WAITING:
                 yield batch()
                 out.clear()
         end(True)
@@ -147,15 +164,17 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, id
     ordered = rows.repartitionByRange(n, "h1", "h2", doc_down).sortWithinPartitions("h1", "h2", doc_down, "row_key")
     judged = written(_judge(ordered, least_docs))
     totals = judged.where(F.col("kind") == COUNT).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n"), F.max("doc_id").alias("top")).where(F.col("n") >= least_docs)
-    # Two rows a partition at most: their number is bounded by the partitions, not by the documents.
-    late = judged.where(F.col("kind") == OPEN).join(F.broadcast(totals), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("top")))
+    totals = written(totals)
+    # Two rows a partition, and one for each run of very many rows of few documents, where there are such.
+    few = totals.count() <= 2 * n
+    late = judged.where(F.col("kind") == OPEN).join(F.broadcast(totals) if few else totals, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("top")))
     drops = judged.where(F.col("kind") == DROP).select("doc_id", "row_key", "at").unionByName(late.select("doc_id", "row_key", "at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, keys, at in by_column(batches, "doc_id", "row_key", "at"):
             yield pa.RecordBatch.from_arrays([ids, keys, pa.array([pack(x) for x in at.to_pylist()], pa.binary())], ["doc_id", "row_key", "keep"])
 
-    each = drops.groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("at")).alias("at"))  # no more than a document's lines
+    each = drops.groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("at")).alias("at"))  # no more than a text's lines
     return each.mapInArrow(run, "doc_id long, row_key long, keep binary")
 
 
@@ -192,6 +211,10 @@ def _with_kept(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str,
 
 
 def dedup_digest(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 for each of docs."""
+    """doc_id, n_lines, n_dropped, kept_sha256 for each of docs.
+
+    A null or empty text is one empty line. Rows without an id are one document, smaller than all others; repeated rows lose the same
+    lines. A very long text is read whole. An empty table gives no rows. Other columns of docs are left out, whatever their names.
+    """
     out = _with_kept(docs, keep_bitmaps(docs, least_chars, least_docs, id_col, text_col), id_col, text_col, digest=True)
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "kept_sha256")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioloom.llm._common import WORD, written
@@ -21,6 +21,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 #: Documents in a chunk of the tree, and chunks that meet in one of the next level.
 CHUNK, FAN_IN = 128, 64
+#: Repeats of a row that are numbered at a time.
+REPEATS = 1 << 16
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -74,7 +76,7 @@ def pivot(keys: list, sizes: list[int], p: list[float], seed: int, last: bool) -
     return p
 
 
-SCHEMA = "doc_id long, size long, source string, source_size long, target double, place long, whole long, p double, h long, chunk long"
+SCHEMA = "doc_id long, size long, source string, source_size long, target double, place long, whole long, p double, h long, row long, chunk long"
 
 
 def _level(rows: DataFrame, seed: int, last: bool) -> DataFrame:
@@ -89,20 +91,29 @@ def _level(rows: DataFrame, seed: int, last: bool) -> DataFrame:
     return rows.groupBy("place", "chunk").applyInArrow(settle, SCHEMA)
 
 
+def _row(doc_id: Column, text: Column, seed: int) -> Column:
+    return F.xxhash64(doc_id.cast("long"), text.cast("string"), F.lit(seed))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken, source: one row for each of docs.
+    """doc_id, size, source_size, target, copies, taken, source, row (a hash of id and text): one row for each of docs.
 
     Null text has no words. A document without words takes none. Repeated rows are documents of their own, of which equal
-    ones are interchangeable. The same rows give the same copies in any partitioning: coins are hashes of ids and texts.
+    ones are interchangeable. An empty table gives no rows; a very long text is one document. Other columns are left out, whatever their names. The same rows give the same copies in any partitioning: coins are hashes of ids and texts.
     """
     words = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.col(source_col).cast("string").alias("source"),
         # The text too, so that documents without an id, or with one id, are dealt over all chunks.
-        F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.lit(seed)).alias("h"),
+        _row(F.col(id_col), F.col(text_col), seed).alias("h"),
     )
-    words = written(words)
+    # Equal rows are counted, and told apart by a number, so that they are dealt over all chunks too. Numbers are made in two steps: no row holds many.
+    counted = words.groupBy("doc_id", "size", "source", "h").agg(F.count("*").alias("n"))
+    tens = counted.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / REPEATS))))
+    each = tens.withColumn("nth", F.explode(F.sequence(F.lit(0), F.least(F.col("n") - F.col("part") * REPEATS, F.lit(REPEATS)) - 1)))
+    nth = F.col("part") * REPEATS + F.col("nth")
+    words = written(each.select("doc_id", "size", "source", F.col("h").alias("row"), F.when(nth == 0, F.col("h")).otherwise(F.xxhash64("h", nth)).alias("h")))
     goals = targets(words, weights, most)
     places = goals.select(F.col("source").alias("s"), "source_size", "target", F.xxhash64(F.coalesce("source", F.lit("\x00null"))).alias("place"))
     n = words.count()
@@ -114,7 +125,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
         .withColumn("whole", F.floor("rate").cast("long"))
         .withColumn("p", F.col("rate") - F.col("whole"))
         .withColumn("chunk", F.pmod("h", F.lit(chunks)))
-        .select("doc_id", "size", "source", "source_size", "target", "place", "whole", "p", "h", "chunk")
+        .select("doc_id", "size", "source", "source_size", "target", "place", "whole", "p", "h", "row", "chunk")
     )
     settled = rows.where(~((F.col("p") > 0) & (F.col("p") < 1)))
     open_rows = rows.where((F.col("p") > 0) & (F.col("p") < 1))
@@ -127,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
         chunks = -(-chunks // FAN_IN)
         open_rows = open_rows.withColumn("chunk", F.pmod("chunk", F.lit(chunks)))
     copies = (F.col("whole") + F.col("p")).cast("long")
-    return settled.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), "source")
+    return settled.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), "source", "row")
 
 
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -139,14 +150,14 @@ def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     own = [F.col(f"row.`{c}`") for c in (id_col, source_col)]
     size = F.coalesce(F.regexp_count(F.col(f"row.`{text_col}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = rows.select("row", own[0].cast("long").alias("r_id"), own[1].cast("string").alias("r_source"), size.alias("r_size"))
+    rows = rows.select("row", own[0].cast("long").alias("r_id"), own[1].cast("string").alias("r_source"), size.alias("r_size"), _row(own[0], F.col(f"row.`{text_col}`"), seed).alias("r_row"))
     taken = mix(docs, weights, most, seed, id_col, text_col, source_col)
-    # Rows of one id, source and size: repeats, or texts that share an id. The numbers pair them off.
-    nth = Window.partitionBy("r_id", "r_source", "r_size").orderBy(F.xxhash64(F.col(f"row.`{text_col}`").cast("string")))
-    drawn = Window.partitionBy("doc_id", "source", "size").orderBy("copies")
+    # Rows of one id, source and text are repeats: the numbers pair them off. Sorted, never held.
+    nth = Window.partitionBy("r_id", "r_source", "r_size", "r_row").orderBy("r_row")
+    drawn = Window.partitionBy("doc_id", "source", "size", "row").orderBy("copies")
     rows = rows.withColumn("nth", F.row_number().over(nth))
-    taken = taken.withColumn("t_nth", F.row_number().over(drawn))
-    same = rows["r_id"].eqNullSafe(taken["doc_id"]) & rows["r_source"].eqNullSafe(taken["source"]) & (rows["r_size"] == taken["size"]) & (rows["nth"] == taken["t_nth"])
+    taken = taken.withColumn("t_nth", F.row_number().over(drawn)).withColumnRenamed("row", "t_row")
+    same = (rows["r_row"] == taken["t_row"]) & rows["r_id"].eqNullSafe(taken["doc_id"]) & rows["r_source"].eqNullSafe(taken["source"]) & (rows["r_size"] == taken["size"]) & (rows["nth"] == taken["t_nth"])
     both = rows.join(taken.where(F.col("copies") > 0), same)
     kept = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("mix_copy", "mix_size", "mix_target")]  # an earlier mix's go
     return both.select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("mix_copy"), F.col("size").alias("mix_size"), F.col("target").alias("mix_target"))

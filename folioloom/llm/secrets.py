@@ -35,7 +35,7 @@ CLASSES = (
 # Whole candidates that are random, or say that they are examples, and no secret; each must match from end to end.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),  # UUID
-    re.compile(r"(?i)(?:[a-z0-9]+[-_])*(?:your|my|example|sample|dummy|placeholder|changeme|x{4,})(?:[-_][a-z0-9]+)*"),  # words of which one says so
+    re.compile(r"(?:{0}[-_])*(?i:your|my|example|sample|dummy|placeholder|changeme|x{{4,}})(?:[-_]{0})*".format(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})")),  # words and short numbers of which one says so
     re.compile(r"EXAMPLE(?:KEY)?[A-Za-z0-9+/=]*|[A-Za-z0-9+/=]*EXAMPLE(?:KEY)?"),  # keys of documentation
     re.compile(r"[A-Za-z]+"),  # a word, however long
     re.compile(r"[0-9_=+/-]+"),  # a number or a rule
@@ -109,7 +109,8 @@ def _told(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans: one row for each of docs, in one pass without a shuffle.
 
-    Null text is empty. Spans are counted in code points, end exclusive. Entropy spans are added beside the base ones.
+    Null text is empty. Spans are counted in code points, end exclusive. Entropy spans are added beside the base ones. Repeated rows have a row each, a very
+    long text is read whole, an empty table gives no rows, and other columns are left out, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -194,7 +194,8 @@ def dedup(docs: DataFrame, k: int = WINDOW, a: int = ANCHOR, with_text: bool = F
 
     A word goes if a window of k words over it starts earlier too: in a smaller doc_id, or before in the same one. A null id is
     larger than all others; null text has no words. Rows of one id are one document: exact repeats of a row are not earlier
-    than it, and lose the same words. A text of fewer than k words loses none.
+    than it, and lose the same words. A text of fewer than k words loses none, a very long one is read whole. An empty table gives no
+    rows. Other columns of docs are left out, whatever their names.
     """
     if not 1 <= a <= k:
         raise ValueError("an anchor has 1 to k words")
@@ -207,6 +208,7 @@ def dedup(docs: DataFrame, k: int = WINDOW, a: int = ANCHOR, with_text: bool = F
     first = written(found.groupBy("text_key").agg(F.min("doc").alias("first_doc")))
     ids = found.groupBy("doc").agg(F.min("text_key").alias("t0"), F.max("text_key").alias("t1")).where(F.col("t0") != F.col("t1"))
     distinct_ids = ids.isEmpty()
+    repeats = written(found.groupBy("text_key", "doc").agg(F.count("*").alias("n")).where("n > 1"))
     flat = found.select("text_key", F.explode(F.arrays_zip("hs", "twice")).alias("x")).select("text_key", F.col("x.hs").alias("h"), F.col("x.twice").alias("twice"))
     many = flat.groupBy("h").agg(F.min("text_key").alias("t0"), F.max("text_key").alias("t1"), F.max("twice").alias("twice"))
     many = many.where(F.col("twice") | (F.col("t0") != F.col("t1"))).select("h")
@@ -214,12 +216,14 @@ def dedup(docs: DataFrame, k: int = WINDOW, a: int = ANCHOR, with_text: bool = F
     repeated = written(repeated.join(first, "text_key").select("text_key", F.col("first_doc").alias("doc"), "repeated"))
     forget(found)
 
-    edges = written(_edge_rows(d.join(repeated, ["text_key", "doc"]).select("text_key", "doc", "text", "repeated"), k, a))
-    forget(repeated)
+    # A repeated row has its text's edges already. They meet before they are shuffled.
+    once = d if repeats.isEmpty() else d.groupBy("text_key", "doc").agg(F.first("text").alias("text"))
+    edges = written(_edge_rows(once.join(repeated, ["text_key", "doc"]).select("text_key", "doc", "text", "repeated"), k, a))
+    forget(repeated, repeats)
     paths = _paths(edges, distinct_ids)
     places = _places(edges, paths)
     place = F.struct("path", "place", F.col("length").cast("int").alias("length"), "source")
-    # All places of a text: no more than it has words.
+    # All places of a text, from one row of it: no more than it has words.
     of = written(places.groupBy("text_key").agg(F.collect_list(place).alias("places")))
     forget(edges, paths)
     shown = written(first.join(of, "text_key", "left").select(F.col("text_key").alias("f_key"), "first_doc", "places"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioloom.llm._common import by_column
+from folioloom.llm._common import by_column, trim
 
 #: Labelled documents used at most, those with the least hash of their id: bounds what the driver collects.
 MOST_LABELLED = 6000
@@ -177,11 +177,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     at, counts = (got[c].combine_chunks() if got.num_rows else None for c in ("at", "counts"))
     order = sorted(range(got.num_rows), key=lambda i: (ids[i], n[i])) if (ids := got["doc_id"].to_pylist()) and (n := got["n"].to_pylist()) else []
     found = [(at[i].values.to_numpy(), counts[i].values.to_numpy(), n[i]) for i in order]  # views of what was collected
-    return fit(found, got["grade"].to_numpy()[order] if order else np.array([], int))
+    model = fit(found, got["grade"].to_numpy()[order] if order else np.array([], int))
+    del got, at, counts, found
+    trim()  # what the driver held for fitting
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, expected_severity, grade (the likeliest), probabilities: one row for each of docs. Null text is empty."""
+    """doc_id, expected_severity, grade (the likeliest), probabilities: one row for each of docs.
+
+    A null or empty text has no features. Repeated rows have a row each, a very long text is read whole, an empty table gives no
+    rows, and other columns are left out, whatever their names.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

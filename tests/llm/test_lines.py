@@ -64,3 +64,14 @@ def test_bitmaps_round_trip():
         keep = lines.unpack(lines.pack(dropped), 300)
         assert [i for i, k in enumerate(keep) if not k] == dropped
     assert lines.unpack(None, 3).all()
+
+
+def test_ten_thousand_repeats_of_a_row_and_rows_without_an_id(spark, monkeypatch):
+    shared = "this line is in very many of the rows here, " * 2
+    rows = [(None, f"{shared}\nown line of a row without an id, number {i % 700}, which is long")  for i in range(3000)]
+    rows += [(7, shared + "\nand more of it")] * 10_000 + [(d, shared) for d in range(20, 23)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert result(lines.dedup_digest(df)) == brute(rows)
+    assert lines.keep_bitmaps(df).count() == 703  # one for each different row, but the largest document's
+    monkeypatch.setattr(lines, "MOST_WAITING", 50)
+    assert result(lines.dedup_digest(df)) == brute(rows)

@@ -98,3 +98,19 @@ def test_documents_without_an_id_are_dealt_over_chunks(spark, monkeypatch):
     out = mixing.mix(df).collect()
     assert len(out) == 600 and seen[0] < 40
     assert sorted(map(str, out)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+
+
+def test_ten_thousand_repeats_of_a_row_are_dealt_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATS", 1000)
+    held = []
+    level = mixing._level
+    monkeypatch.setattr(mixing, "_level", lambda rows, *a, **k: held.append(rows.groupBy("place", "chunk").count().agg({"count": "max"}).head()[0]) or level(rows, *a, **k))
+    rows = [(5, "a b c d", "s0")] * 10_000 + [(i, "a b c", f"s{i % 3}") for i in range(100, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and max(held) < 4 * mixing.CHUNK
+    for s in {r.source for r in got}:
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 4
+    mixed = mixing.apply_mix(df)
+    assert mixed.count() == sum(r.copies for r in got)

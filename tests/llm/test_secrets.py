@@ -75,3 +75,18 @@ def test_what_is_allowed_is_allowed_from_end_to_end():
 def test_empty_table_and_long_text(nothing, nasty):
     assert secrets.scan(nothing).collect() == []
     assert secrets.scan(nasty).count() == nasty.count()
+
+
+def test_an_allowed_word_does_not_free_a_random_tail():
+    rng = random.Random(9)
+    found = 0
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for word in ("my", "your", "example", "YOUR"):
+        for mark in "_-":
+            for _ in range(20):
+                tail = "".join(rng.choice(letters) for _ in range(40))
+                assert not secrets.allowed(word + mark + tail)
+                found += bool(secrets.added_spans(f"x {word}{mark}{tail} y"))
+    assert found >= 155  # of 160; some tails repeat too many characters
+    for text in ("your_api_key_goes_here_2024", "my-example-Token-12-of-34", "EXAMPLE_xxxxxxxx_key_1"):
+        assert secrets.allowed(text)

@@ -131,3 +131,14 @@ def test_paths_are_maximal_and_nonbranching(spark):
             x, length = joined[x], length + 1
         want[first[e]] = length
     assert got == want and max(want.values()) > 3
+
+
+def test_ten_thousand_repeats_of_a_row(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    words = [f"v{rng.randint(0, 400)}" for _ in range(1040)]
+    rows = [(None, " ".join(words))] * 10_000 + [(3, " ".join(["a", *words[100:300], "b", *words[500:600]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = substrings.dedup(df).groupBy("doc_id", "n_words", "n_removed").agg(F.count("*").alias("n")).collect()
+    assert {tuple(r) for r in got} == {(None, 1040, 300, 10_000), (3, 302, 0, 1)}
