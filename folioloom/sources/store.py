@@ -45,13 +45,33 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Spark's setting by which an execution's shuffle files are removed at its end.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read back: lineage is cut. Deleted when the driver ends."""
+    """df as a table in the shared folder, read back: lineage is cut. Its shuffle files go at once, the table with ``forget`` or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioloom-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Written tables that nothing will read again are deleted before the driver ends."""
+    for t in tables:
+        if path := getattr(t, "_written", None):
+            fs, at = _path(t.sparkSession, path)
+            fs.delete(at, True)
+            _scratch[:] = [s for s in _scratch if s[1] != path]
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str, default: DataFrame | None = None) -> DataFrame:
