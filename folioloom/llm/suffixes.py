@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from folioloom.llm._common import BASE, bits_of, by_column, forget, lists, mixed, written
 
 #: Bytes of a repeated string: fixed value of the query. Bytes of a gram; most contexts of a group; parts into which a range of beginnings is dealt.
-LENGTH, GRAM, HOT, FAN = 400, 32, 4096, 4
+LENGTH, GRAM, HOT, FAN = 400, 32, 32768, 4
 #: Bytes to which multikey quicksort goes; contexts sorted in one block; bytes whose anchors are looked for at a time.
 SHALLOW, BLOCK, PIECE = 32, 8192, 1 << 17
 
