@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import json
 import sys
+import time
 from collections.abc import Callable
+from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.operators import blocks, checkpoint, index, resolve, validate
+from folioloom.functions.text import is_furniture
+from folioloom.operators import blocks, checkpoint, resolve, validate
+from folioloom.operators.index import Stored
+from folioloom.operators.layout import blocks_from_words
+from folioloom.operators.retrieval import Encoder, hashed_ngrams
 from folioloom.plans import judges, knowledge
-from folioloom.plans.model import HttpModel, Model, Stub
-from folioloom.plans.run import Options, command_line, options_of, run_stages, unknown
+from folioloom.plans.model import Counters, HttpModel, Model, Stub
+from folioloom.plans.prompts import Category, categories_of
+from folioloom.plans.run import Options, command_line, elapsed, options_of, run_stages, unknown
 from folioloom.sources import documents, store
+from folioloom.streaming.snippets import extract_stream, stream_snippets
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -24,75 +33,148 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+SNIPPETS = "source_pdf string, paragraph_index int, page int, text string"
+#: Snippets of a file of them, which is a batch: what is lost at most when a run breaks off.
+BATCH = 64
+
+
 def _snippets(spark: SparkSession, folder: str, options: Options) -> DataFrame:
-    """Snippets of a folder's text files; of its PDFs by their words' coordinates, where there is a program that tells them."""
+    """Snippets of a folder's PDFs, by their words' coordinates where a program tells them, and of its text files."""
     raw = spark.read.format("binaryFile").load(store.literal(folder)).select(F.element_at(F.split("path", "/"), -1).alias("doc"), "content")
     text = raw.where(F.lower("doc").endswith(".txt")).select("doc", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    found = blocks.body_only(blocks.blocks_from_text(documents.text_pages(text)))
+    found = blocks.body_only(blocks.blocks_from_text(documents.text_pages(text), is_furniture))
     pdf = raw.where(F.lower("doc").endswith(".pdf")).select(F.col("doc").alias("path"), "content")
+    geometry = found.limit(0)
     if not pdf.isEmpty():
-        from folioloom.operators.layout import blocks_from_words
-
-        found = found.unionByName(blocks.body_only(blocks_from_words(documents.words_of_markup(documents.pdf_markup(pdf)))))
+        geometry = store.written(blocks.body_only(blocks_from_words(documents.words_of_markup(documents.pdf_markup(pdf)), is_furniture(F.col("text")))))
+    found = blocks.paragraphs(geometry, found)
     return blocks.snippets(found, options.unit == "sentence").withColumnRenamed("doc", "source_pdf")
 
 
-def stage_functions(spark: SparkSession, options: Options, papers: str, out: str, corpora: str | None, model: Callable[[], Model]) -> dict[str, Callable[[], bool]]:
-    """Each stage by its name: it reads what the one before it wrote, and is true once its own table is there."""
-    at = f"{out.rstrip('/')}/{options.folder()}"
-    free = not options.use_classes
-    by_seq = Window.orderBy("source_pdf", "paragraph_index", "class_no", "place")
-
-    def extract() -> bool:
-        log = None if options.restart else _read(spark, f"{at}/log")
-        done = checkpoint.progress(log, options.content_hash()) if log is not None else None
-        fresh = done is None or not done.valid
-        classes = spark.createDataFrame([(i, c, "", "") for i, c in enumerate(validate.CLASSES)], "n int, name string, definition string, narrative string")
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, at = store._path(spark, path)
+    return fs.exists(at)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    fs, at = store._path(spark, path)
+    fs.delete(at, True)
+
+
+class Run:
+    """A run's folder, its tables, and the stages that fill them. Each stage is true once its table is there."""
+
+    def __init__(self, spark: SparkSession, options: Options, papers: str, out: str, corpora: str | None, classes: list[Category], model: Callable[[], Model], encoder: Encoder = hashed_ngrams):
+        self.spark, self.options, self.papers, self.corpora, self.classes, self.model, self.encoder = spark, options, papers, corpora, classes, model, encoder
+        self.out = out.rstrip("/")
+        self.at = f"{self.out}/{options.folder()}"
+        self.summary: dict[str, int] = {}
+
+    def rows(self, name: str) -> DataFrame | None:
+        """A table that is there and has rows."""
+        found = _read(self.spark, f"{self.at}/{name}")
+        return None if found is None or found.isEmpty() else found
+
+    def raw(self) -> DataFrame | None:
+        """Extracted rows of finished snippets."""
+        rows, log = _read(self.spark, f"{self.at}/raw"), _read(self.spark, f"{self.at}/log")
+        return None if rows is None or log is None else checkpoint.keep_finished(rows, log.select(*checkpoint.KEY).distinct())
+
+    def extract(self) -> bool:
+        """Batches of snippets, answered and logged one after the other. A run that broke off goes on behind its last whole batch; a finished one is used as it is."""
+        signature = self.options.content_hash(*(repr(c) for c in self.classes))
+        begun = _exists(self.spark, f"{self.at}/signature.json") and json.loads("".join(r.value for r in self.spark.read.text(store.literal(f"{self.at}/signature.json")).collect()))
+        if self.options.restart or begun != signature:
+            for part in ("raw", "log", "snippets", "stream", "counts", "finished.json", "signature.json"):
+                _forget(self.spark, f"{self.at}/{part}")
+        if _exists(self.spark, f"{self.at}/finished.json"):
+            return True
+        if not _exists(self.spark, f"{self.at}/signature.json"):
+            found = store.numbered(_snippets(self.spark, self.papers, self.options), "source_pdf", "paragraph_index", name="n")
+            found = store.written(found)
+            if found.isEmpty():
+                print(f"nothing to read in {self.papers}", file=sys.stderr)
+                return False
+            parts = -(-found.count() // BATCH)
+            found.repartitionByRange(parts, "n").drop("n").write.mode("overwrite").parquet(f"{self.at}/snippets")
+            store.write_json(self.spark, f"{self.at}/signature.json", signature)  # only now is there something to go on with
         known = None
-        if options.use_rag and corpora:
-            nothing = spark.createDataFrame([], "corpus string, source_file string, chunk_index int, text string, vector array<float>")
-            files = documents.corpus_files(spark, corpora)
-            known = store.written(index.refresh(nothing, files, index.manifest(files).limit(0))[0])
-        todo = store.written(_snippets(spark, papers, options))
-        found = knowledge.extract(todo, classes, model, options, known, None if fresh else done.done)
-        found.write.mode("overwrite" if fresh else "append").parquet(f"{at}/raw")
-        told = todo.select(F.lit(options.content_hash()).alias("signature"), "source_pdf", "paragraph_index", F.lit(None).cast("string").alias("event"))
-        told.write.mode("overwrite").parquet(f"{at}/log")  # only after the rows
+        if self.options.use_rag and self.corpora:
+            index = Stored(self.spark, f"{self.out}/index", f"{self.encoder.__module__}.{self.encoder.__qualname__}", self.encoder)
+            self.summary |= {f"index files {k}": v for k, v in index.refresh(documents.corpus_files(self.spark, self.corpora)).items() if k != "rebuilt"}
+            known = index.read()
+        classes = self.spark.createDataFrame([(i, c.name, c.definition, c.narrative) for i, c in enumerate(self.classes)], "n int, name string, definition string, narrative string")
+        counters = Counters()
+
+        def work(batch: DataFrame) -> DataFrame:
+            nonlocal counters
+            counters = Counters()
+            return knowledge.extract(batch, classes, self.model, self.options, known, None, self.encoder, counters)
+
+        def after(number: int) -> None:
+            store.write_json(self.spark, f"{self.at}/counts/batch={number}.json", counters.totals())
+
+        stream = extract_stream(stream_snippets(self.spark, f"{self.at}/snippets", SNIPPETS, 1), work, f"{self.at}/raw", f"{self.at}/log", f"{self.at}/stream", after)
+        stream.awaitTermination()
+        store.write_json(self.spark, f"{self.at}/finished.json", {"finished": True})
         return True
 
-    def rows(name: str) -> DataFrame | None:
-        return _read(spark, f"{at}/{name}")
-
-    def merge() -> bool:
-        raw = rows("raw")
-        if raw is None:
+    def merge(self) -> bool:
+        raw = self.raw()
+        good = None if raw is None else raw.where(F.col("reject_reason").isNull())
+        if good is None or good.isEmpty():
             return False
-        # Numbers of relations, not of documents; the order of arrival decides who leads.
-        good = raw.where(F.col("reject_reason").isNull()).withColumn("seq", F.row_number().over(by_seq).cast("long"))
-        resolve.merge_by_name(good.select("seq", *validate.REQUIRED, "source_pdf"), True, judges.merge_judge(model, True, free)).drop("n_folded").write.mode("overwrite").parquet(f"{at}/merged")
+        # The order of arrival decides who leads.
+        good = store.numbered(good.select(*validate.REQUIRED, "source_pdf", "paragraph_index", "class_no", "place"), "source_pdf", "paragraph_index", "class_no", "place")
+        judge = judges.merge_judge(self.model, True, not self.options.use_classes)
+        self._write(resolve.merge_by_name(good.select("seq", *validate.REQUIRED, "source_pdf"), True, judge), "merged", "merged by name")
         return True
 
-    def cluster() -> bool:
-        if (merged := rows("merged")) is None:
+    def cluster(self) -> bool:
+        if (merged := self.rows("merged")) is None:
             return False
-        store.write_clusters(knowledge.cluster(merged, options.threshold), f"{at}/clusters")
+        store.write_clusters(knowledge.cluster(merged, self.options.threshold, self.encoder), f"{self.at}/clusters")
         return True
 
-    def disambiguate() -> bool:
-        if rows("clusters") is None:
+    def disambiguate(self) -> bool:
+        if self.rows("clusters") is None:
             return False
-        several = store.read_clusters(spark, store.literal(f"{at}/clusters"))
-        many = resolve.reduce_steps(several, judges.same_judge(model, free), f"{at}/state", options.threshold)
-        many.unionByName(store.read_isolated(spark, store.literal(f"{at}/clusters"))).drop("vector", "size").write.mode("overwrite").parquet(f"{at}/reduced")
+        several = store.read_clusters(self.spark, store.literal(f"{self.at}/clusters"))
+        many = resolve.reduce_steps(several, judges.same_judge(self.model, not self.options.use_classes), f"{self.at}/state", self.options.threshold)
+        both = many.unionByName(store.read_isolated(self.spark, store.literal(f"{self.at}/clusters"))).drop("vector", "size")
+        both.write.mode("overwrite").parquet(f"{self.at}/reduced")
         return True
 
-    def merge_global() -> bool:
-        if (reduced := rows("reduced")) is None:
+    def merge_global(self) -> bool:
+        if (reduced := self.rows("reduced")) is None:
             return False
-        resolve.merge_by_name(reduced, False, judges.merge_judge(model, False, free)).drop("n_folded").write.mode("overwrite").parquet(f"{at}/relations")
+        self._write(resolve.merge_by_name(reduced, False, judges.merge_judge(self.model, False, not self.options.use_classes)), "relations", "merged over all")
         return True
 
-    return {"extract": extract, "merge": merge, "cluster": cluster, "disambiguate": disambiguate, "merge_global": merge_global}
+    def _write(self, merged: DataFrame, name: str, what: str) -> None:
+        """A merged table; how many rows it has and how many others were folded into them are counted as they pass."""
+        seen = Counters()
+        seen.watch(merged, **{what: F.count(F.lit(1)), f"{what}, folded": F.sum(F.col("n_folded") - 1)}).drop("n_folded").write.mode("overwrite").parquet(f"{self.at}/{name}")
+        self.summary |= seen.totals()
+
+    def snapshot(self) -> None:
+        """All tables of the run beside the options, under its name."""
+        tables = {n: df for n in ("merged", "reduced", "relations", "clusters") if (df := _read(self.spark, f"{self.at}/{n}")) is not None}
+        if (raw := self.raw()) is not None:
+            tables["raw"] = raw
+        if tables:
+            store.snapshot(tables, f"{self.out}/snapshots", self.options.signature(), time.time(), asdict(self.options))
+
+    def counts(self) -> dict[str, int]:
+        """What the run has counted: of its extraction, batch by batch, whenever it ran, and of the stages of this call."""
+        out: dict[str, int] = {}
+        if _exists(self.spark, f"{self.at}/counts"):
+            each = self.spark.read.option("multiLine", True).schema("requests long, truncated long, failed long, unreadable long, relations long, rejected long").json(store.literal(f"{self.at}/counts"))
+            out = {k: v or 0 for k, v in each.agg(*[F.sum(c).alias(c) for c in each.columns]).head().asDict().items()}
+        return out | self.summary
+
+    def stages(self) -> dict[str, Callable[[], bool]]:
+        return {"extract": self.extract, "merge": self.merge, "cluster": self.cluster, "disambiguate": self.disambiguate, "merge_global": self.merge_global}
 
 
 def main(argv: list[str] | None = None, model: Callable[[], Model] | None = None) -> int:
@@ -105,8 +187,15 @@ def main(argv: list[str] | None = None, model: Callable[[], Model] | None = None
     spark = SparkSession.builder.appName("folioloom").getOrCreate()
     name, url = options.model, told.url
     model = model or ((lambda: HttpModel(url, name)) if url else (lambda: Stub(lambda prompt: '{"relations": []}')))
-    steps = stage_functions(spark, options, told.papers, told.out, told.corpora, model)
-    return 0 if run_stages(list(options.stages), steps) else 1
+    classes = [Category(c, "", "", "") for c in validate.CLASSES]
+    if told.classes:
+        classes = categories_of(spark.read.text(store.literal(told.classes), wholetext=True).head().value)
+    began = time.time()
+    run = Run(spark, options, told.papers, told.out, told.corpora, classes, model)
+    done = run_stages(list(options.stages), run.stages(), run.snapshot)
+    for what, n in {**run.counts(), "elapsed": elapsed(time.time() - began)}.items():
+        print(f"{what}: {n}")
+    return 0 if done else 1
 
 
 if __name__ == "__main__":

@@ -94,6 +94,15 @@ def paragraphs_of(c: Column, least: int = 80) -> Column:
     return F.filter(parts, lambda p: F.length(p) >= least)
 
 
+# What page furniture holds, or begins with.
+FURNITURE_TITLES = ["journal of south american earth sciences"]
+FURNITURE_PREFIXES = ["contents lists available", "journal homepage:"]
+
+
+def is_furniture(c: Column) -> Column:
+    return is_header_or_footer(F.lower(c), FURNITURE_TITLES, FURNITURE_PREFIXES)
+
+
 def is_header_or_footer(c: Column, titles: list[str], prefixes: list[str]) -> Column:
     """A line of digits only, or one that holds a title or starts with a prefix; both lists are the caller's."""
     line = strip(c)

@@ -8,6 +8,7 @@ import os
 import re
 import tempfile
 import uuid
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,20 @@ def forget(*tables: DataFrame) -> None:
             _scratch[:] = [s for s in _scratch if s[1] != path]
 
 
+def numbered(df: DataFrame, *order: str, name: str = "seq") -> DataFrame:
+    """df with the place of each row in the order of some columns, from 1, without a task that sorts all.
+
+    Rows are range-partitioned and numbered within their range; the rows of the ranges before are added. One row a range meets in one place.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
+    before = [0, *accumulate(r["n"] for r in sizes)]
+    starts = df.sparkSession.createDataFrame([(r["p"], b) for r, b in zip(sizes, before)], "_part long, _before long")
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + place + 1).drop("_at", "_part", "_before")
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str, default: DataFrame | None = None) -> DataFrame:
     """A JSON document or array; ``default`` where the path cannot be read."""
     try:
@@ -155,10 +170,3 @@ def write_json(spark: SparkSession, path: str, value) -> None:
         if not fs.rename(part, at):
             raise OSError(f"cannot write {path}")
 
-
-def write_json_atomic(path: str, value) -> None:
-    """A small local document, whole or not at all."""
-    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
-    with open(tmp, "w", encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, indent=2)
-    os.replace(tmp, path)
