@@ -521,4 +521,4 @@ def _passages(spark, sf_dir):
     return written(retrieval.encode(b.unionByName(c), "text"))
 
 
-from folioloom import catalogue_parts  # noqa: E402, F401  adds its queries to these
+from folioloom import catalogue_parts, catalogue_runs  # noqa: E402, F401  they add their queries to these
