@@ -36,14 +36,14 @@ def corpus_files(spark, sf_dir):
     return found.select("corpus", F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line <> ''")
 
 
-@query("word_markup", f"WITH {WORDS} SELECT doc, page, word_no % 100000 AS word_no, x_min, x_max, y_min, text FROM words WHERE word_no < 200000")
+@query("word_markup", f"WITH {WORDS} SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY word_no) - 1 AS word_no, x_min, x_max, y_min, text FROM words")
 def word_markup(spark, sf_dir):
-    w = _words(spark, sf_dir).where("word_no < 200000")  # the first line of each document
+    w = _words(spark, sf_dir)
     said = F.format_string('<word xMin="%s" yMin="%s" xMax="%s" yMax="%s">%s</word>', "x_min", "y_min", "x_max", "y_max", F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")))
     pages = w.groupBy("doc", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", said.alias("s")))), lambda x: x["s"]), "").alias("s"))
     xml = pages.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "s"))), lambda x: F.concat(F.lit("<page>"), x["s"], F.lit('<word xMin="1">broken</word></page>'))), "\n").alias("xml"))
     got = documents.words_of_markup(xml.select(F.col("doc").cast("string").alias("doc"), "xml"))
-    return got.select(F.col("doc").cast("long").alias("doc"), "page", (F.col("word_no") + 1 + 400 * (F.col("page") - 1)).alias("word_no"), "x_min", "x_max", "y_min", "text")
+    return got.select(F.col("doc").cast("long").alias("doc"), "page", "word_no", "x_min", "x_max", "y_min", "text")
 
 
 JSONL = "conv_id long, turn long, role string, text string"
@@ -276,13 +276,23 @@ def resume_decisions(spark, sf_dir):
 # --- prompts, models, answers ----------------------------------------------------------------
 
 
-@query("prompt_sections", f"WITH {CLASS_ROWS} SELECT n, name, 'What ' || name || ' are' AS definition, 'e' || n || ' and more' AS example, 'How' AS narrative, 'Is ' || name || ' it?' AS question FROM k")
+@query("prompt_sections", "SELECT item_id, 'c' || item_id AS name, trim(replace(text, chr(10), ' ')) AS definition, 'e' || item_id || ' and more' AS example, 'How' AS narrative, 'Is c' || item_id || ' it?' AS question FROM benchmark")
 def prompt_sections(spark, sf_dir):
-    text = "ignored\n@@@ classes @@@\n" + "\n".join(f"$$ {c} $$\n[definition] What {c} are\n[example] e{i}\nand more\n[narrative] How" for i, c in enumerate(validate.CLASSES)) + "\n@@@ ask @@@\nIs $name it{{#more}}, or $other{{/more}}?"
-    sections = prompts.split_sections(text)
-    found = prompts.parse_categories(sections["classes"])
-    rows = [(i, c.name, c.definition, c.example, c.narrative, prompts.render(sections["ask"], {"name": c.name})) for i, c in enumerate(found)]
-    return spark.createDataFrame(rows, "n int, name string, definition string, example string, narrative string, question string")
+    """A prompt file made of each item: its sections, the class in one of them, and the other one rendered."""
+    text = "ignored\n@@@ relation_categories @@@\n$$ c{0} $$\n[definition] {1}\n[example] e{0}\nand more\n[narrative] How\n@@@ ask @@@\nIs $name it{{{{#more}}}}, or $other{{{{/more}}}}?"
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for i, t in zip(b["item_id"], b["text"]):
+                said = text.format(i, t.replace("\n", " "))
+                c = prompts.categories_of(said)[0]
+                rows.append((i, c.name, c.definition, c.example, c.narrative, prompts.render(prompts.split_sections(said)["ask"], {"name": c.name})))
+            yield pd.DataFrame(rows, columns=["item_id", "name", "definition", "example", "narrative", "question"])
+
+    return table(spark, sf_dir, "benchmark").select("item_id", "text").mapInPandas(run, "item_id long, name string, definition string, example string, narrative string, question string")
 
 
 @query("request_totals", "SELECT 'both' AS options, (SELECT count(*) FROM conversations) * 12 AS n UNION ALL SELECT 'classes', (SELECT count(*) FROM conversations) * 11 UNION ALL SELECT 'reading', (SELECT count(*) FROM conversations) * 2 UNION ALL SELECT 'open', (SELECT count(*) FROM conversations)")
@@ -377,13 +387,17 @@ def same_meanings(spark, sf_dir):
     return table(spark, sf_dir, "conversations").mapInPandas(run, "conv_id long, turn long, description string")
 
 
-RUNS = [("m", "paragraph", True, True, True, "m"), ("m", "sentence", False, True, True, "m[sentences+norag]"), ("a/b", "paragraph", True, False, False, "a/b[openclasses+noreading]")]
+@query("run_names", """WITH m AS (SELECT doc_id, coalesce(source, 'none') AS model, list_filter([CASE WHEN doc_id % 2 = 1 THEN 'sentences' END, CASE WHEN doc_id % 3 = 0 THEN 'norag' END, CASE WHEN doc_id % 5 = 0 THEN 'openclasses' END, CASE WHEN doc_id % 7 = 0 THEN 'noreading' END], lambda x: x IS NOT NULL) AS marks FROM documents)
+ SELECT doc_id, model || CASE WHEN len(marks) > 0 THEN '[' || array_to_string(marks, '+') || ']' ELSE '' END AS signature FROM m""")
+def run_names(spark, sf_dir):
+    """The name of a run for each document: of a model named after its source, with options by its number."""
 
+    def run(batches):
+        for b in batches:
+            told = [Options(m, "sentence" if d % 2 else "paragraph", d % 3 != 0, d % 5 != 0, d % 7 != 0).signature() for d, m in zip(b["doc_id"], b["model"])]
+            yield b.assign(signature=told)[["doc_id", "signature"]]
 
-@query("run_names", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{u}', {r}, {c}, {n}, '{s}')" for m, u, r, c, n, s in RUNS) + ") t(model, unit, use_rag, use_classes, use_reading, signature)")
-def run_names(spark, sf_dir):
-    rows = [(m, u, r, c, n, Options(m, u, r, c, n).signature()) for m, u, r, c, n, _ in RUNS]
-    return spark.createDataFrame(rows, "model string, unit string, use_rag boolean, use_classes boolean, use_reading boolean, signature string")
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("model")).mapInPandas(run, "doc_id long, signature string")
 
 
 @query("duplicate_keys", "SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL HAVING count(*) > 1")
@@ -440,14 +454,15 @@ def merge_names(spark, sf_dir):
     return resolve.merge_by_name(_relations(spark, sf_dir), True, _merge_all)
 
 
-PAIRS = "pairs AS (SELECT DISTINCT lower(x.p_name) AS a, lower(y.p_name) AS b FROM part x JOIN part y ON x.p_partkey % 10 = 0 AND y.p_partkey < 100)"
+#: Fixed SQL: each part's name with the next part's, with its plural, and with what is left of it without its beginning.
+PAIRS = "pairs AS (SELECT lower(x.p_name) AS a, lower(y.p_name) AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1 UNION SELECT lower(p_name), lower(p_name) || 's' FROM part UNION SELECT lower(p_name), lower(p_name)[4:] FROM part)"
 
 
 @query("similar_names", f"WITH RECURSIVE {PAIRS}, {_ratio('pairs')} SELECT a, b, a = b OR r >= 0.85 AS close, a = b OR contains(a, b) OR contains(b, a) OR r >= 0.75 AS same_entity, replace(a, ' ', '_') = replace(b, ' ', '_') OR r >= 0.6 AS predicate FROM ratio")
 def similar_names_(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    a, b = (p.where(c).select(F.lower("p_name").alias(x)).distinct() for c, x in (("p_partkey % 10 = 0", "a"), ("p_partkey < 100", "b")))
-    both = a.crossJoin(F.broadcast(b))  # under a hundred names
+    p = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("a"))
+    beside = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b")), "p_partkey").select("a", "b")
+    both = beside.unionByName(p.select("a", F.concat("a", F.lit("s")).alias("b"))).unionByName(p.select("a", F.expr("substring(a, 4)").alias("b"))).distinct()
     x, y = F.col("a"), F.col("b")
     return both.select("a", "b", similar_names(x, y).alias("close"), same_entity(x, y).alias("same_entity"), predicate_matches(x, F.replace(y, F.lit(" "), F.lit("_"))).alias("predicate"))
 
