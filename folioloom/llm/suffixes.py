@@ -13,8 +13,8 @@ prefixes come out of both. For each r at which suffixes of a group part, those t
 longest l of each is that of a neighbour.
 
 A group is an anchor's different contexts. One with more than ``hot`` is dealt by ranges of where a string begins before the anchor: strings of a range share
-a core, by whose hash the contexts are grouped anew. A core that is still shared by more than ``hot`` has its range parted again, until a range is one
-string, which is counted: counts are combined before they are shuffled, so nothing of the group need meet in one place.
+a core, by whose hash the contexts are grouped anew; what surrounds all of them is the range's hull, and those that share it are done. A core that is still shared by
+more than ``hot`` has its range parted again, until a range is one string. Counts are combined before they are shuffled, so nothing of the group need meet in one place.
 """
 
 from __future__ import annotations
@@ -292,39 +292,51 @@ def _parts(a: int, b: int) -> list[tuple[int, int]]:
     return [(x, min(x + step - 1, b)) for x in range(a, b + 1, step)]
 
 
+CORES = "anchor long, ctx long, a int, b int, h1 long, h2 long, u1 long, u2 long"
+
+
 def _dealt(contexts: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
-    """anchor, ctx, l, r of the contexts of groups that are too large."""
+    """anchor, ctx, l, r of the contexts of groups that are too large.
+
+    Strings that begin in a range a..b share a core and lie in a hull. Contexts that share a hull repeat all strings of the range: they are done with it,
+    and one of them goes on for the others to be compared with. Those that share a core only go on, in a range parted anew if they are many.
+    """
 
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for anchors_, ctx, before, after, lows, highs in by_column(batches, "anchor", "ctx", "before", "after", "a", "b"):
-            owner, low, high, digests = [], [], [], []
+            owner, low, high, inner, outer, there = [], [], [], [], [], []
             for i, (x, y, lo, hi) in enumerate(zip(before.to_pylist(), after.to_pylist(), lows.to_pylist(), highs.to_pylist())):
                 for a, b in _parts(lo, hi):
                     if len(x) >= a and len(y) >= length - b:
                         owner.append(i)
                         low.append(a)
                         high.append(b)
-                        digests.append(xxhash.xxh3_128_digest(x[len(x) - a :] + y[: length - b]))
-            h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            take = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([anchors_.take(take), ctx.take(take), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["anchor", "ctx", "a", "b", "h1", "h2"])
-
-    key = ["anchor", "a", "b", "h1", "h2"]
+                        inner.append(xxhash.xxh3_128_digest(x[len(x) - a :] + y[: length - b]))
+                        there.append(len(x) >= b and len(y) >= length - a)
+                        outer.append(xxhash.xxh3_128_digest(x[len(x) - b :] + y[: length - a]) if there[-1] else bytes(16))
+            h, u = (np.frombuffer(b"".join(x), np.int64).reshape(-1, 2) for x in (inner, outer))
+            take, none = pa.array(owner, pa.int64()), ~np.array(there, bool)
+            columns = [anchors_.take(take), ctx.take(take), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(u[:, k], mask=none) for k in (0, 1))], [c.split()[0] for c in CORES.split(", ")])
+
+    key, hull = ["anchor", "a", "b", "h1", "h2"], ["anchor", "a", "b", "u1", "u2"]
     open_ = contexts.select("anchor", "ctx", F.lit(0).alias("a"), F.lit(length - gram).alias("b"))
     found = []
     while True:  # as often as the ranges can be parted
-        dealt = written(contexts.join(open_, ["anchor", "ctx"]).mapInArrow(cores, "anchor long, ctx long, a int, b int, h1 long, h2 long"))
-        sizes = written(dealt.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1"))
-        held = written(dealt.join(sizes, key))
-        forget(dealt, sizes)
-        one, many = F.col("a") == F.col("b"), F.col("m") > hot
-        # Strings of one beginning and one hash are the same.
-        same = held.where(one).select("anchor", "ctx", F.col("a").alias("l"), (F.lit(length) - F.col("a")).alias("r"))
-        few = held.where(~one & ~many).select("anchor", "ctx", F.xxhash64("a", "b", "h1", "h2").alias("g2"))
+        dealt = written(contexts.join(open_, ["anchor", "ctx"]).mapInArrow(cores, CORES))
+        classes = written(dealt.where(F.col("u1").isNotNull()).groupBy(*hull).agg(F.count("*").alias("n"), F.min("ctx").alias("first")).where("n > 1").drop("n"))
+        marked = written(dealt.join(classes, hull, "left"))
+        forget(dealt, classes)
+        whole = F.col("first").isNotNull()
+        goes_on = marked.where(~whole | (F.col("ctx") == F.col("first")))
+        sizes = written(goes_on.groupBy(*key).agg(F.count("*").alias("m"), F.count_if(~whole).alias("left")).where("m > 1 AND left > 0").drop("left"))
+        held = written(goes_on.select("ctx", *key).join(sizes, key))
+        many = F.col("m") > hot
+        few = held.where(~many).select("anchor", "ctx", F.xxhash64("a", "b", "h1", "h2").alias("g2"))
         few = _sorted_extents(contexts.join(few, ["anchor", "ctx"]).select(F.col("anchor").alias("g1"), "g2", "anchor", "ctx", "before", "after"), length)
-        found.append(written(same.unionByName(few)))
-        open_ = written(held.where(~one & many).select("anchor", "ctx", "a", "b"))
-        forget(held)
+        found.append(written(marked.where(whole).select("anchor", "ctx", F.col("b").alias("l"), (F.lit(length) - F.col("a")).alias("r")).unionByName(few)))
+        open_ = written(held.where(many).select("anchor", "ctx", "a", "b"))
+        forget(marked, sizes, held)
         if open_.isEmpty():
             return reduce(DataFrame.unionByName, found)
 
