@@ -118,7 +118,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: st
 
     n_backoff is how many words had to do with a shorter context. A word that no other document has counts as 1 / (N + 1),
     N being the other documents' words. Without words log_score is 0 and mean_log_score null. Null text has no words. Repeated rows
-    are other documents to each other, and each has its row. Other columns of docs are left out.
+    are other documents to each other, and each has its row. A very long text is exploded whole, an empty table gives no rows. Other columns of docs are left out.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))

@@ -98,7 +98,8 @@ def contaminated(
 
     item_id is the least id of the items with the same words, n_items how many they are. An item of fewer than k words is searched as
     one shingle, its whole word sequence; one without words, or null, is found nowhere, as is anything in a null text. Rows of one doc_id
-    (or of none) count by the row that holds most; repeated rows count once.
+    (or of none) count by the row that holds most; repeated rows count once. A very long text is searched whole, an empty table on either side gives no
+    rows, and other columns are left out, whatever their names.
     """
     out = _found(docs, items, k, share, id_col, text_col, item_col, item_text_col)
     out = out.groupBy("doc_id", "item_id").agg(F.max("n").alias("n"), F.max("n_items").alias("n_items"), F.max("q").cast("long").alias("n_shingles"))

@@ -170,7 +170,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, most: int = 2, id_col: str =
     """doc_id, fp, component_id: each document with the least doc_id it reaches through links of at most ``most`` bits.
 
     Equal fingerprints are one class, so copies are never expanded into pairs. Texts without words share fingerprint 0.
-    A null doc_id takes part but names a component only if all its documents have none. Repeated rows stay repeated.
+    A null doc_id takes part but names a component only if all its documents have none. Repeated rows stay repeated. A very long text is read
+    whole, an empty table gives no rows, and other columns are left out, whatever their names.
     """
     fps = written(fingerprints(docs, size, id_col, text_col))
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
