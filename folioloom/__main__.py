@@ -169,7 +169,7 @@ class Run:
         """What the run has counted: of its extraction, batch by batch, whenever it ran, and of the stages of this call."""
         out: dict[str, int] = {}
         if _exists(self.spark, f"{self.at}/counts"):
-            each = self.spark.read.option("multiLine", True).schema("requests long, truncated long, failed long, unreadable long, relations long, rejected long").json(store.literal(f"{self.at}/counts"))
+            each = self.spark.read.option("multiLine", True).schema("requests long, truncated long, failed long, unreadable long, lenient long, relations long, rejected long").json(store.literal(f"{self.at}/counts"))
             out = {k: v or 0 for k, v in each.agg(*[F.sum(c).alias(c) for c in each.columns]).head().asDict().items()}
         return out | self.summary
 

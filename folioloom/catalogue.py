@@ -481,6 +481,19 @@ def _stub() -> model.Stub:
 @query("json_relations", """SELECT conv_id, turn, CASE turn % 10 WHEN 2 THEN 'empty' WHEN 3 THEN 'unreadable' WHEN 5 THEN 'empty' WHEN 7 THEN 'unreadable' WHEN 9 THEN 'unreadable' ELSE 'read' END AS status,
  CASE turn % 10 WHEN 0 THEN [text] WHEN 1 THEN [text] WHEN 4 THEN [text, NULL] WHEN 6 THEN [role] WHEN 8 THEN [text] ELSE [] END::VARCHAR[] AS descriptions FROM conversations""")
 def json_relations(spark, sf_dir):
+    out = answers.parse_answers(_answers(spark, sf_dir))
+    return out.select("conv_id", "turn", F.col("parsed.status").alias("status"), F.transform("parsed.relations", lambda r: r["description"]).alias("descriptions"))
+
+
+@query("strict_answers", """SELECT (turn % 10)::INTEGER AS shape, turn % 10 IN (0, 2, 4, 5) AS strict, count(*) AS n, sum(CASE turn % 10 WHEN 4 THEN 2 ELSE (turn % 10 IN (0, 1, 6, 8))::INTEGER END)::BIGINT AS relations FROM conversations GROUP BY ALL""")
+def strict_answers(spark, sf_dir):
+    """Answers by shape and by whether they were read in the JVM, with their relations."""
+    out = answers.parse_answers(_answers(spark, sf_dir), strict_col="strict")
+    return out.groupBy((F.col("turn") % 10).cast("int").alias("shape"), "strict").agg(F.count("*").alias("n"), F.sum(F.size("parsed.relations")).cast("long").alias("relations"))
+
+
+def _answers(spark, sf_dir):
+    """Turns of conversations with answers of ten shapes."""
     c, k = table(spark, sf_dir, "conversations"), F.col("turn") % 10
     whole = F.to_json(F.struct(F.lit("part of").alias("name"), F.col("text").alias("description"), F.col("role").alias("definition"), F.lit("x").alias("relation_type"), F.lit("u").alias("usage_example")))
     part = F.to_json(F.struct(F.lit("part of").alias("name"), F.col("role").alias("description")))
@@ -498,8 +511,7 @@ def json_relations(spark, sf_dir):
         F.lit('{"relations": null, "name": "n"}'),
     ]
     text = F.coalesce(*[F.when(k == i, s) for i, s in enumerate(shapes)])
-    out = answers.parse_answers(c.withColumn("answer", text))
-    return out.select("conv_id", "turn", F.col("parsed.status").alias("status"), F.transform("parsed.relations", lambda r: r["description"]).alias("descriptions"))
+    return c.withColumn("answer", text)
 
 
 @query("knowledge_run")
