@@ -18,7 +18,7 @@ from folioloom.operators.layout import blocks_from_words
 from folioloom.operators.retrieval import Encoder, hashed_ngrams
 from folioloom.plans import judges, knowledge
 from folioloom.plans.model import Counters, HttpModel, Model, Stub
-from folioloom.plans.prompts import Category, categories_of
+from folioloom.plans.prompts import CATALOGUE, OURS, Category, Templates, all_sections, categories_of, parse_categories
 from folioloom.plans.run import Options, command_line, elapsed, options_of, run_stages, unknown
 from folioloom.sources import documents, store
 from folioloom.streaming.snippets import extract_stream, stream_snippets
@@ -64,8 +64,8 @@ def _forget(spark: SparkSession, path: str) -> None:
 class Run:
     """A run's folder, its tables, and the stages that fill them. Each stage is true once its table is there."""
 
-    def __init__(self, spark: SparkSession, options: Options, papers: str, out: str, corpora: str | None, classes: list[Category], model: Callable[[], Model], encoder: Encoder = hashed_ngrams):
-        self.spark, self.options, self.papers, self.corpora, self.classes, self.model, self.encoder = spark, options, papers, corpora, classes, model, encoder
+    def __init__(self, spark: SparkSession, options: Options, papers: str, out: str, corpora: str | None, classes: list[Category], model: Callable[[], Model], encoder: Encoder = hashed_ngrams, templates: Templates = OURS):
+        self.spark, self.options, self.papers, self.corpora, self.classes, self.model, self.encoder, self.templates = spark, options, papers, corpora, classes, model, encoder, templates
         self.out = out.rstrip("/")
         self.at = f"{self.out}/{options.folder()}"
         self.summary: dict[str, int] = {}
@@ -82,7 +82,7 @@ class Run:
 
     def extract(self) -> bool:
         """Batches of snippets, answered and logged one after the other. A run that broke off goes on behind its last whole batch; a finished one is used as it is."""
-        signature = self.options.content_hash(*(repr(c) for c in self.classes))
+        signature = self.options.content_hash(*(repr(c) for c in self.classes), repr(self.templates))
         begun = _exists(self.spark, f"{self.at}/signature.json") and json.loads("".join(r.value for r in self.spark.read.text(store.literal(f"{self.at}/signature.json")).collect()))
         if self.options.restart or begun != signature:
             for part in ("raw", "log", "snippets", "stream", "counts", "finished.json", "signature.json"):
@@ -109,7 +109,7 @@ class Run:
         def work(batch: DataFrame) -> DataFrame:
             nonlocal counters
             counters = Counters()
-            return knowledge.extract(batch, classes, self.model, self.options, known, None, self.encoder, counters)
+            return knowledge.extract(batch, classes, self.model, self.options, known, None, self.encoder, counters, self.templates)
 
         def after(number: int) -> None:
             store.write_json(self.spark, f"{self.at}/counts/batch={number}.json", counters.totals())
@@ -126,7 +126,7 @@ class Run:
             return False
         # The order of arrival decides who leads.
         good = store.numbered(good.select(*validate.REQUIRED, "source_pdf", "paragraph_index", "class_no", "place"), "source_pdf", "paragraph_index", "class_no", "place")
-        judge = judges.merge_judge(self.model, True, not self.options.use_classes)
+        judge = judges.merge_judge(self.model, True, not self.options.use_classes, templates=self.templates)
         self._write(resolve.merge_by_name(good.select("seq", *validate.REQUIRED, "source_pdf"), True, judge), "merged", "merged by name")
         return True
 
@@ -140,7 +140,7 @@ class Run:
         if self.rows("clusters") is None:
             return False
         several = store.read_clusters(self.spark, store.literal(f"{self.at}/clusters"))
-        many = resolve.reduce_steps(several, judges.same_judge(self.model, not self.options.use_classes), f"{self.at}/state", self.options.threshold)
+        many = resolve.reduce_steps(several, judges.same_judge(self.model, not self.options.use_classes, templates=self.templates), f"{self.at}/state", self.options.threshold)
         both = many.unionByName(store.read_isolated(self.spark, store.literal(f"{self.at}/clusters"))).drop("vector", "size")
         both.write.mode("overwrite").parquet(f"{self.at}/reduced")
         return True
@@ -148,7 +148,7 @@ class Run:
     def merge_global(self) -> bool:
         if (reduced := self.rows("reduced")) is None:
             return False
-        self._write(resolve.merge_by_name(reduced, False, judges.merge_judge(self.model, False, not self.options.use_classes)), "relations", "merged over all")
+        self._write(resolve.merge_by_name(reduced, False, judges.merge_judge(self.model, False, not self.options.use_classes, templates=self.templates)), "relations", "merged over all")
         return True
 
     def _write(self, merged: DataFrame, name: str, what: str) -> None:
@@ -188,10 +188,14 @@ def main(argv: list[str] | None = None, model: Callable[[], Model] | None = None
     name, url = options.model, told.url
     model = model or ((lambda: HttpModel(url, name)) if url else (lambda: Stub(lambda prompt: '{"relations": []}')))
     classes = [Category(c, "", "", "") for c in validate.CLASSES]
+    whole = lambda path: spark.read.text(store.literal(path), wholetext=True).head().value
+    sections = all_sections(map(whole, told.prompts))
     if told.classes:
-        classes = categories_of(spark.read.text(store.literal(told.classes), wholetext=True).head().value)
+        classes = categories_of(whole(told.classes))
+    elif CATALOGUE in sections:
+        classes = parse_categories(sections[CATALOGUE])
     began = time.time()
-    run = Run(spark, options, told.papers, told.out, told.corpora, classes, model)
+    run = Run(spark, options, told.papers, told.out, told.corpora, classes, model, templates=Templates.of(sections))
     done = run_stages(list(options.stages), run.stages(), run.snapshot)
     for what, n in {**run.counts(), "elapsed": elapsed(time.time() - began)}.items():
         print(f"{what}: {n}")

@@ -325,6 +325,29 @@ def reading_prompts(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", prompts.reading_prompt(F.col("text")).alias("prompt"))
 
 
+OWN = """@@@ extract @@@
+{{#context}}$$known:
+$snippets
+{{/context}}${relation_type}x: $chunk_text
+@@@ disambiguate @@@
+$name1|$usage_example1|${definition2}
+@@@ unused @@@
+$whatever"""
+
+
+@query("own_prompts", """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '$known:' || chr(10) || 'role (1):' || chr(10) || '- ' || role || chr(10) ELSE '' END || role || 'x: ' || text AS extract, text || '|u|' || role AS same FROM conversations""")
+def own_prompts(spark, sf_dir):
+    """Prompts by the templates of a prompt file; sections it does not have are ours."""
+    own = prompts.Templates.of(prompts.all_sections([OWN]))
+    c = table(spark, sf_dir, "conversations")
+    item = F.struct(F.col("role").alias("text"), F.lit("f").alias("source_file"), F.lit(1.0).alias("score"))
+    found = F.create_map(F.lit("role"), F.when(F.col("turn") % 2 == 0, F.array(item)).otherwise(F.array().cast("array<struct<text:string,source_file:string,score:double>>")))
+    blank = F.lit("")
+    a = F.struct(F.col("text").alias("name"), blank.alias("description"), F.col("role").alias("definition"), blank.alias("relation_type"), F.lit("u").alias("usage_example"))
+    extract = prompts.extraction_prompt(found, blank, F.col("text"), F.col("role"), blank, blank, blank, own)
+    return c.select("conv_id", "turn", extract.alias("extract"), prompts.same_prompt(a, a, own).alias("same"))
+
+
 def _moody() -> model.Stub:
     """A model that answers, answers nothing, fails or thinks, as the prompt's first word says."""
 

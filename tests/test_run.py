@@ -172,3 +172,44 @@ def test_a_references_heading_is_the_first_line(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r.t: r.h for r in df.select("t", is_references_heading(F.col("t")).alias("h")).collect()} == texts
     assert df.where(starts_with_references(F.col("t"))).count() == 3
+
+
+def test_prompt_files_replace_templates_and_classes(spark, tmp_path):
+    papers, asked = tmp_path / "papers", tmp_path / "asked"
+    papers.mkdir()
+    (papers / "p.txt").write_text(PARA.format("red"))
+    (tmp_path / "a.txt").write_text("@@@ extract @@@\nMINE $relation_type / $relation_definition, $$5: $chunk_text\n@@@ analyse_snippet @@@\nREAD $chunk_text")
+    (tmp_path / "b.txt").write_text(CLASSES)
+
+    def answer(prompt):
+        with open(asked, "a") as f:
+            f.write(prompt.split(":")[0].split(" A wheel")[0] + "\n")
+        return '{"relations": []}'
+
+    args = ["extract", "--papers", str(papers), "--out", str(tmp_path / "out"), "--model", "m", "--no-rag"]
+    files = [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")]
+    assert cli.main([*args, "--prompts", *files], lambda: Stub(answer)) == 0
+    want = ["MINE Causality / Of causes., $5", "MINE Mereology / Of parts and wholes., $5", "READ"]
+    assert sorted(asked.read_text().splitlines()) == want
+    asked.unlink()
+    assert cli.main([*args, "--prompts", *files], lambda: Stub(answer)) == 0 and not asked.exists()  # finished
+    (tmp_path / "a.txt").write_text("@@@ extract @@@\nOTHER $relation_type: $chunk_text")
+    assert cli.main([*args, "--prompts", *files], lambda: Stub(answer)) == 0  # other prompts are another run
+    assert sorted(x.split("\n")[0] for x in asked.read_text().splitlines() if x.startswith("OTHER")) == ["OTHER Causality", "OTHER Mereology"]
+    with pytest.raises(ValueError, match="two files"):
+        cli.main([*args, "--prompts", files[1], files[1]], lambda: Stub(answer))
+
+
+def test_templates_are_checked_before_any_request(spark):
+    from folioloom.plans import prompts
+
+    for body, why in (("", "blank"), ("$chunk_text $other", "unknown variables"), ("costs 5 $", "without a name"), ("${chunk_text} $chunk", "unknown variables")):
+        with pytest.raises(ValueError, match=why):
+            prompts.Templates.of({"extract_open": body})
+    own = prompts.Templates.of({"merge": "$count of ${relation_type}é$$: $listed", "other": "$anything"})
+    assert own.extract == prompts.EXTRACT
+    rows = [{"name": "$count", "description": "d", "definition": "e", "relation_type": "T", "usage_example": "u"}]
+    df = spark.createDataFrame(rows).select(F.array(F.struct("name", "description", "definition", "relation_type", "usage_example")).alias("r"))
+    assert df.select(prompts.merge_prompt(F.col("r"), True, own)).head()[0] == prompts.merge_text(rows, True, own) == "1 of Té$: " + prompts.relations_text(rows)
+    both = prompts.Templates.of({"disambiguate": "$name1 $definition2"})
+    assert df.select(prompts.same_prompt(F.col("r")[0], F.col("r")[0], both)).head()[0] == prompts.same_text(rows[0], rows[0], both) == "$count e"
