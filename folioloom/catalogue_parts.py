@@ -261,16 +261,18 @@ def progress_log(spark, sf_dir):
     return done.select(F.col("source_pdf"), F.col("paragraph_index"), F.lit(p.valid and not other.valid).alias("valid"), F.lit(p.finished and not other.finished).alias("finished"))
 
 
-DECISIONS = [("run", "s", True, False, "reuse"), ("run", "t", True, False, "discard"), ("open", "s", True, False, "resume"), ("open", "s", False, False, "discard"), ("open", "s", True, True, "discard"), ("none", "s", True, False, "discard")]
-
-
-@query("resume_decisions", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c}, {d}, '{e}')" for a, b, c, d, e in DECISIONS) + ") t(log, signature, raw_exists, restart, decision)")
+@query("resume_decisions", """WITH r AS (SELECT DISTINCT conv_id AS run, conv_id % 5 <> 0 AS raw, conv_id % 11 = 0 AS again FROM conversations),
+ l AS (SELECT conv_id AS run, bool_or(conv_id % 7 = 0 AND turn > 1) AS other, bool_or(turn >= 4 AND role = 'user') AS finished, bool_or(conv_id % 3 <> 0 AND role = 'user') AS done FROM conversations WHERE conv_id % 13 <> 0 GROUP BY 1)
+ SELECT run, CASE WHEN again OR NOT raw OR coalesce(other, false) THEN 'discard' WHEN finished THEN 'reuse' WHEN done THEN 'resume' ELSE 'discard' END AS decision FROM r LEFT JOIN l USING (run)""")
 def resume_decisions(spark, sf_dir):
-    kind = "signature string, source_pdf long, paragraph_index int, event string"
-    lines = table(spark, sf_dir, "labels").select(F.lit("s").alias("signature"), F.col("doc_id").alias("source_pdf"), F.lit(1).alias("paragraph_index"), F.lit(None).cast("string").alias("event"))
-    logs = {"run": lines.unionByName(spark.createDataFrame([("s", None, None, "finished")], kind)), "open": lines, "none": lines.limit(0)}
-    rows = [(log, s, raw, again, checkpoint.decide(logs[log], s, raw, again)) for log, s, raw, again, _ in DECISIONS]
-    return spark.createDataFrame(rows, "log string, signature string, raw_exists boolean, restart boolean, decision string")
+    """What to do with the run that each conversation stands for: its turns are the lines of the run's log; some runs have none."""
+    c, i, t = table(spark, sf_dir, "conversations"), F.col("conv_id"), F.col("turn")
+    runs = c.select(i.alias("run"), F.lit("s").alias("signature"), (i % 5 != 0).alias("raw_exists"), (i % 11 == 0).alias("restart")).distinct()
+    said = F.when((i % 3 != 0) & (F.col("role") == "user"), i)
+    logs = c.where(i % 13 != 0).select(
+        i.alias("run"), F.when((i % 7 != 0) | (t <= 1), "s").otherwise(F.when(t % 2 == 0, "t")).alias("signature"), said.alias("source_pdf"), t.alias("paragraph_index"), F.when((t >= 4) & (F.col("role") == "user"), "finished").alias("event")
+    )
+    return checkpoint.decisions(runs, logs)
 
 
 # --- prompts, models, answers ----------------------------------------------------------------
