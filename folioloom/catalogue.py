@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -466,10 +467,10 @@ def _stub_answer(prompt: str) -> str:
         fields = dict(line.split(": ", 1) for line in listed[0].split("\n")[1:])
         return json.dumps({"groups": [{"members": list(range(1, len(listed) + 1)), **{f: fields[label] for label, f in prompts.FIELDS}}]})
     passage = prompt.rsplit("Passage:\n", 1)[-1].split("\nAnswer", 1)[0]
-    words = [w.strip(".,").lower() for w in passage.split() if len(w.strip(".,")) > 3] or ["none"]
+    words = re.findall("[a-z]{4,}", passage.lower()) or ["none"]
     if prompt.startswith("Read"):
         return f"Verbs: {words[0]}\nReading: {passage[:80]}\nLinks: {words[0]} | is | {words[-1]}"
-    row = '{{"name": "part of", "description": "A {0} is part of a {1}.", "definition": "Parts of {1} are {0}.", "relation_type": "Subsumption", "usage_example": "{0} | part of | {1}"}}'
+    row = '{{"name": "{0} of", "description": "A {0} belongs to a {1}.", "definition": "What a {1} has of {0}.", "relation_type": "Subsumption", "usage_example": "{0} | {0} of | {1}"}}'
     return "<think>so</think>```json\n{\"relations\": [" + row.format(words[0], words[-1]) + "]}\n```"
 
 
