@@ -93,14 +93,15 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 INDEX = "n int, d int, ids binary, codes binary, scalars binary, vectors binary"
 
 
-def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 11) -> DataFrame:
-    """Blocks of at most BLOCK vectors of one length: ids, packed codes, correction scalars and the original vectors.
+def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 11, size: int | None = None) -> DataFrame:
+    """Blocks of at most ``size`` (BLOCK) vectors of one length: ids, packed codes, correction scalars and the original vectors.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, are left out, as are null ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
+        most = size or BLOCK
         for ids, column in by_column(batches, "id", "v"):
             ids = ids.to_numpy(zero_copy_only=False)
             parts: dict[int, list[int]] = {}
@@ -110,8 +111,8 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
             for d, rows in parts.items():
                 if not d:
                     continue
-                for at in range(0, len(rows), BLOCK):
-                    take = np.array(rows[at : at + BLOCK])
+                for at in range(0, len(rows), most):
+                    take = np.array(rows[at : at + most])
                     part = column.take(pa.array(take))
                     if part.null_count == 0 and part.flatten().null_count == 0:
                         x = part.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
@@ -148,48 +149,73 @@ def _rows(blob: bytes, d: int) -> np.ndarray:
     return np.frombuffer(blob, float).reshape(-1, d)
 
 
-#: Places of a query block's queries (at) and a block's vectors that are to meet, as pairs of int32.
+#: The pairs of a query block's queries and a block's vectors that are to meet (``_packed``).
 WANTED = "q int, d int, block long, pairs binary"
 
 
+def _packed(i: np.ndarray, j: np.ndarray) -> bytes:
+    """Pairs of places: a byte of 0, and int32 by pair."""
+    return b"\0" + np.stack([i, j], axis=1).astype(np.int32).tobytes()
+
+
+def _packed_of(keep: np.ndarray) -> bytes:
+    """The pairs that a matrix of queries by vectors marks: listed while few, else a byte of 1 and a bit by vector, each query's in whole bytes."""
+    if 64 * np.count_nonzero(keep) < keep.size:
+        return _packed(*np.nonzero(keep))
+    return b"\1" + np.packbits(keep, axis=1, bitorder="little").tobytes()
+
+
+def _by_query(pairs: bytes, m: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A query's place and those of its vectors, of m, query by query."""
+    if pairs[0]:
+        for n, bits in enumerate(np.frombuffer(pairs, np.uint8, offset=1).reshape(-1, -(-m // 8))):
+            if bits.any():
+                yield n, np.flatnonzero(np.unpackbits(bits, count=m, bitorder="little"))
+        return
+    i, j = np.frombuffer(pairs, np.int32, offset=1).reshape(-1, 2).T
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])[: len(i)])
+    for a, b in zip(starts, [*starts[1:], len(i)]):
+        yield int(i[a]), j[a:b]
+
+
 def _scan(cell: pa.Table, k: int, seed: int, bars: bool) -> Iterator[tuple]:
-    """(q, d, block, places of queries, places of vectors, estimates) of what is to be fetched: each query's seeds in the cell, or all that reach its bar."""
+    """What is to be fetched, QUERY_BLOCK queries at a time: (q, d, block, packed pairs) of all that reach their query's bar; or each query's seeds in the cell, as
+    (q, d, block, places of queries, places of vectors, estimates)."""
     rows = cell.to_pylist()
     blocks = sorted((r for r in rows if not r["is_query"]), key=lambda r: r["block"])
     for q in (r for r in rows if r["is_query"]):
-        d = q["d"]
+        d, every = q["d"], _ids(q["ids"])
         turned = _unit(_rows(q["vectors"], d)) @ rotation(d, seed).T
-        asked, own = Rounded(turned), _ids(q["ids"])
-        bar = np.frombuffer(q["bars"], float)[:, None] if bars else None
-        best = np.full((len(own), 0), -np.inf)
-        place = np.empty((len(own), 0), np.int64)  # block's number in this cell and place in it
-        for n, b in enumerate(blocks):
-            if b["d"] != d:
-                continue
-            ids = _ids(b["ids"])
-            est, bound = asked.estimate(np.frombuffer(b["codes"], np.uint64).reshape(len(ids), -1), np.frombuffer(b["scalars"], float))
-            mine = ids[None] == own[:, None]
-            if bars:
-                i, j = np.nonzero((est + bound >= bar) & ~mine)
-                if len(i):
-                    yield q["q"], d, b["block"], i, j, None
-                continue
-            est[mine] = -np.inf
-            best = np.concatenate([best, est], axis=1)
-            place = np.concatenate([place, np.broadcast_to((n << 32) + np.arange(len(ids)), est.shape)], axis=1)
-            if best.shape[1] > SEEDS * k:
-                top = np.argpartition(-best, SEEDS * k - 1, axis=1)[:, : SEEDS * k]
-                best, place = np.take_along_axis(best, top, 1), np.take_along_axis(place, top, 1)
-        if not bars and best.shape[1]:
+        cuts = [(at, Rounded(turned[at : at + QUERY_BLOCK]), every[at : at + QUERY_BLOCK]) for at in range(0, len(every), QUERY_BLOCK)]
+        mine = [(n, _ids(b["ids"]), np.frombuffer(b["codes"], np.uint64).reshape(b["n"], -1), np.frombuffer(b["scalars"], float)) for n, b in enumerate(blocks) if b["d"] == d]
+        if bars:
+            bar = np.frombuffer(q["bars"], float)[:, None]
+            for n, ids, codes, scalars in mine:
+                keep = np.empty((len(every), len(ids)), bool)
+                for at, asked, own in cuts:
+                    est, bound = asked.estimate(codes, scalars)
+                    keep[at : at + len(own)] = (est + bound >= bar[at : at + len(own)]) & (ids[None] != own[:, None])
+                if keep.any():
+                    yield q["q"], d, blocks[n]["block"], _packed_of(keep)
+            continue
+        for at, asked, own in cuts:
+            best = np.full((len(own), 0), -np.inf)
+            place = np.empty((len(own), 0), np.int64)  # block's number in this cell and place in it
+            for n, ids, codes, scalars in mine:
+                est = asked.estimate(codes, scalars)[0]
+                est[ids[None] == own[:, None]] = -np.inf
+                best = np.concatenate([best, est], axis=1)
+                place = np.concatenate([place, np.broadcast_to((n << 32) + np.arange(len(ids)), est.shape)], axis=1)
+                if best.shape[1] > SEEDS * k:
+                    top = np.argpartition(-best, SEEDS * k - 1, axis=1)[:, : SEEDS * k]
+                    best, place = np.take_along_axis(best, top, 1), np.take_along_axis(place, top, 1)
             i, j = np.nonzero(np.isfinite(best))
-            at = place[i, j]
-            for n in np.unique(at >> 32):
-                here = at >> 32 == n
-                yield q["q"], d, blocks[n]["block"], i[here], at[here] & 0xFFFFFFFF, best[i, j][here]
-
-
-def _pairs(i: np.ndarray, j: np.ndarray) -> bytes:
-    return np.stack([i, j], axis=1).astype(np.int32).tobytes()
+            found = place[i, j]
+            for n in np.unique(found >> 32):
+                here = found >> 32 == n
+                yield q["q"], d, blocks[n]["block"], at + i[here], found[here] & 0xFFFFFFFF, best[i, j][here]
 
 
 FOUND = "query_id long, vec_id long, score double, q int, d int, at int"
@@ -203,14 +229,10 @@ def _cosines(wanted: DataFrame, asked: DataFrame, vectors: DataFrame, k: int) ->
         out: list[tuple] = []
         for r in group.to_pylist():
             d = r["d"]
-            i, j = np.frombuffer(r["pairs"], np.int32).reshape(-1, 2).T
-            order = np.argsort(i, kind="stable")
-            i, j = i[order], j[order]
             q_ids, ids, qx, x = _ids(r["q_ids"]), _ids(r["ids"]), _rows(r["q_vectors"], d), _rows(r["vectors"], d)
-            starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-            for a, b in zip(starts, [*starts[1:], len(i)]):
-                at, take = i[a], j[a:b]
-                s = _unit(x[take]) @ _unit(qx[at : at + 1])[0]
+            q_unit, unit = _unit(qx), _unit(x)
+            for at, take in _by_query(r["pairs"], len(ids)):
+                s = unit[take] @ q_unit[at]
                 # Scores that differ by rounding only are ties here, and go to the smaller id; a repeated row counts once.
                 rank = np.lexsort((ids[take], -np.round(s, 12)))
                 key = list(zip(ids[take][rank].tolist(), np.round(s[rank], 12).tolist()))
@@ -229,7 +251,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     lengths do not meet. Repeated rows, of one id and vector, count once; rows of one id with other vectors are candidates of their own.
     """
     base = written(index(vectors, id_col, vector_col, seed).withColumn("block", F.monotonically_increasing_id()))
-    few = written(index(queries, id_col, vector_col, seed))
+    few = written(index(queries, id_col, vector_col, seed, max(1, QUERY_BLOCK // 16)))  # small blocks, so that each of the larger ones gets about as many
     size, told = base.agg(F.count("*").alias("b"), F.sum("n").alias("n")).head(), few.agg(F.sum("n")).head()
     q_blocks = max(1, -(-(told[0] or 0) // QUERY_BLOCK))
     cells = max(1, min(size["b"], max(CELLS, -(-(size["n"] or 0) // CELL_ROWS))))
@@ -243,14 +265,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
     dealt = few.withColumn("q", F.pmod(F.xxhash64("ids"), F.lit(q_blocks)).cast("int"))
     asked = written(dealt.select("q", "d", "ids", "vectors").groupBy("q", "d").applyInArrow(gather, "q int, d int, ids binary, vectors binary, n int"))
-    codes = base.select("block", "d", "ids", "codes", "scalars").withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int"))
+    codes = base.select("block", "d", "n", "ids", "codes", "scalars").withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int"))
     codes = codes.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     nothing = F.lit(None).cast("binary")
 
     def meeting(asked: DataFrame) -> DataFrame:
-        q = asked.select("q", "d", "ids", "vectors", "bars", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
-        q = q.select("q", "cell", "d", "ids", "vectors", "bars", F.lit(None).cast("long").alias("block"), nothing.alias("codes"), nothing.alias("scalars"), F.lit(True).alias("is_query"))
-        c = codes.select("q", "cell", "d", "ids", nothing.alias("vectors"), nothing.alias("bars"), "block", "codes", "scalars", F.lit(False).alias("is_query"))
+        q = asked.select("q", "d", "n", "ids", "vectors", "bars", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+        q = q.select("q", "cell", "d", "ids", "vectors", "bars", F.lit(None).cast("long").alias("block"), "n", nothing.alias("codes"), nothing.alias("scalars"), F.lit(True).alias("is_query"))
+        c = codes.select("q", "cell", "d", "ids", nothing.alias("vectors"), nothing.alias("bars"), "block", "n", "codes", "scalars", F.lit(False).alias("is_query"))
         return q.unionByName(c).groupBy("q", "cell")
 
     def seeds(cell: pa.Table) -> pa.Table:
@@ -259,7 +281,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         return pa.table([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["q", "d", "block", "at", "place", "est"])
 
     def survivors(cell: pa.Table) -> pa.Table:
-        rows = [(q, d, b, _pairs(i, j)) for q, d, b, i, j, _ in _scan(cell, k, seed, True)]
+        rows = list(_scan(cell, k, seed, True))
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
         return pa.table([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["q", "d", "block", "pairs"])
 
@@ -268,7 +290,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     first = first.withColumn("r", F.row_number().over(by_estimate)).where(F.col("r") <= SEEDS * k)
 
     def pack(group: pa.Table) -> pa.Table:
-        return pa.table({c: group[c].slice(0, 1) for c in ("q", "d", "block")} | {"pairs": pa.array([_pairs(group["at"].to_numpy(), group["place"].to_numpy())], pa.binary())})
+        return pa.table({c: group[c].slice(0, 1) for c in ("q", "d", "block")} | {"pairs": pa.array([_packed(group["at"].to_numpy(), group["place"].to_numpy())], pa.binary())})
 
     wanted = written(first.select("q", "d", "block", "at", "place").groupBy("q", "d", "block").applyInArrow(pack, WANTED))  # QUERY_BLOCK * SEEDS * k places at most
     originals = base.select("block", "ids", "vectors")
@@ -281,9 +303,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         out = np.full(n, -np.inf)  # without k seeds there is no bar
         for x in group["b"][0].as_py() or []:
             out[x["at"]] = x["score"] - 1e-9
-        return group.select(["q", "d", "ids", "vectors"]).append_column("bars", pa.array([out.tobytes()], pa.binary()))
+        return group.select(["q", "d", "n", "ids", "vectors"]).append_column("bars", pa.array([out.tobytes()], pa.binary()))
 
-    barred = written(asked.join(bars, ["q", "d"], "left").groupBy("q", "d").applyInArrow(told_bars, "q int, d int, ids binary, vectors binary, bars binary"))
+    barred = written(asked.join(bars, ["q", "d"], "left").groupBy("q", "d").applyInArrow(told_bars, "q int, d int, n int, ids binary, vectors binary, bars binary"))
     left = written(meeting(barred).applyInArrow(survivors, WANTED))
     found = _cosines(left, asked, originals, k).select("query_id", "vec_id", "score")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -89,3 +89,29 @@ def test_repeated_rows_count_once(spark):
     got, want = check(rows, spark)
     again, _ = check(rows + [r for r in rows for _ in range(3)], spark)
     assert got == want == again
+
+
+def test_many_survivors_take_a_bit_of_each_pair(spark, monkeypatch):
+    """Of random vectors a large part survives; what is written of them stays under a bit for each query and vector of a block."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(64).tolist()) for i in range(4000)]
+    told = []
+    cosines = onebit._cosines
+
+    def spy(wanted, *more):
+        told.append([len(r.pairs) for r in wanted.collect()])
+        return cosines(wanted, *more)
+
+    monkeypatch.setattr(onebit, "_cosines", spy)
+    got, want = check(rows, spark)
+    assert got.keys() == want.keys() and sum(got[x] == want[x] for x in want) >= 0.99 * len(want)
+    assert sum(told[1]) <= 80 * (4000 / 8 + len(told[1])) + len(told[1])
+
+
+def test_packed_pairs_are_read_as_they_were():
+    rng = np.random.default_rng(9)
+    for n, m, share in ((3, 5, 0.5), (7, 13, 0.9), (1, 1, 1.0), (40, 2048, 0.3), (40, 333, 0.001), (5, 8, 0.0), (9, 1, 0.5)):
+        keep = rng.random((n, m)) < share
+        blob = onebit._packed_of(keep)
+        assert len(blob) <= n * -(-m // 8) + 1
+        assert {(i, j) for i, js in onebit._by_query(blob, m) for j in js.tolist()} == set(zip(*(x.tolist() for x in np.nonzero(keep))))
