@@ -32,12 +32,13 @@ def streamed_snippets(spark, sf_dir):
     """Snippets that arrive in files, some of them twice, through a stream that answers each once."""
     at = parts._fresh(spark)
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_pdf"), F.lit(1).alias("paragraph_index"), "text")
-    d.repartition(3, "source_pdf").write.parquet(f"{at}/in")
+    files = max(3, d.rdd.getNumPartitions())  # more of them, the more there is to read, in two batches
+    d.repartition(files, "source_pdf").write.parquet(f"{at}/in")
     schema = "source_pdf long, paragraph_index int, text string"
     for _ in range(2):  # the second time all of them arrive again
         work = lambda batch: batch.select("source_pdf", "paragraph_index", F.length("text").cast("long").alias("n"))
-        extract_stream(stream_snippets(spark, f"{at}/in", schema, 2), work, f"{at}/out", f"{at}/log", f"{at}/state").awaitTermination()
-        d.coalesce(1).write.mode("append").parquet(f"{at}/in")
+        extract_stream(stream_snippets(spark, f"{at}/in", schema, -(-2 * files // 3)), work, f"{at}/out", f"{at}/log", f"{at}/state").awaitTermination()
+        d.write.mode("append").parquet(f"{at}/in")
     return spark.read.parquet(f"{at}/out").drop("batch")
 
 
