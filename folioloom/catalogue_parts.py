@@ -31,7 +31,8 @@ def _fresh(spark) -> str:
 @query("corpus_files", f"WITH {LINES} SELECT 'source=' || source AS corpus, line FROM lines JOIN documents USING (doc_id) WHERE line <> ''")
 def corpus_files(spark, sf_dir):
     at = _fresh(spark)
-    _lines(spark, sf_dir).select("source", "line").repartition(4).write.partitionBy("source").text(at)
+    # Written where the documents are read, in files of so many lines: a file is one row below.
+    _lines(spark, sf_dir).select("source", "line").write.option("maxRecordsPerFile", 50_000).partitionBy("source").text(at)
     found = documents.corpus_files(spark, at)
     return found.select("corpus", F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line <> ''")
 
