@@ -233,8 +233,8 @@ def letters(texts: list[str]) -> np.ndarray:
 @query("encoded", """WITH c AS (SELECT conv_id, turn, 'query: ' || text AS t FROM conversations), n AS (SELECT conv_id, turn, list_transform(['a', 'e', 'i', 'n', 'r'], lambda x: (length(t) - length(replace(t, x, '')))::DOUBLE) AS x FROM c)
  SELECT conv_id, turn, list_transform(x, lambda y: round(y / sqrt(list_sum(list_transform(x, lambda z: z * z))), 4)) AS vector FROM n""")
 def encoded(spark, sf_dir):
-    e = retrieval.encode(table(spark, sf_dir, "conversations"), "text", letters, "query: ")
-    return e.select("conv_id", "turn", F.transform("vector", lambda x: F.round(x.cast("double"), 4)).alias("vector"))
+    e = retrieval.encode(table(spark, sf_dir, "conversations"), "text", letters, "query: ", kind="double")  # rounded once, from doubles, as SQL does
+    return e.select("conv_id", "turn", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
 
 
 @query("index_refresh", """WITH p AS (SELECT page_id, source_file, h, unnest(string_split(t, chr(10) || chr(10))) AS raw, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) AS n FROM (SELECT doc_id AS page_id, 'd' || doc_id AS source_file, replace(text, chr(10), chr(10) || chr(10)) AS t, doc_id % 5 = 0 OR doc_id % 11 = 0 AS h FROM documents WHERE doc_id % 7 <> 0)),
