@@ -71,3 +71,12 @@ def test_no_choice_of_frequent_shingles_loses_a_pair():
         seen = np.sort(rng.choice(np.union1d(x, y), len(np.union1d(x, y)) // 2, replace=False))
         frequent = (seen, rng.integers(1, 1000, len(seen)))
         assert len(np.intersect1d(simhash.prefix(x, 0.8, frequent), simhash.prefix(y, 0.8, frequent)))
+
+
+def test_lines_and_paragraphs_are_dealt_once_and_never_joined(spark):
+    from folioloom import catalogue
+    from folioloom.operators import layout
+
+    lines = layout.group_lines(catalogue._words(spark, SF), ["doc", "page"], with_words=False)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (lines, layout.group_paragraphs(lines, ["doc", "page"]))]
+    assert [p.count("Exchange") for p in plans] == [1, 2] and "Join" not in plans[1]
