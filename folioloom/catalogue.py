@@ -111,8 +111,10 @@ def triples(spark, sf_dir):
 LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)"
 
 
-def _lines(spark, sf_dir):
+def _lines(spark, sf_dir, dealt=False):
     docs = table(spark, sf_dir, "documents")
+    if dealt:  # a document's lines and words stay where it is put, so that grouping them by document moves nothing
+        docs = docs.repartition("doc_id")
     return docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("n", F.col("n") + 1)
 
 
@@ -190,8 +192,8 @@ WORDS = """ls AS (SELECT doc_id, n, line FROM (SELECT doc_id, unnest(string_spli
    (2000 * n + 12 * ((i - 1) // 10) + CASE WHEN doc % 5 <> 0 AND i % 10 >= 5 THEN 6 ELSE 0 END)::DOUBLE AS y_min, text FROM ws)"""
 
 
-def _words(spark, sf_dir):
-    w = _lines(spark, sf_dir).select(F.col("doc_id").alias("doc"), "n", F.posexplode(F.filter(F.split("line", " "), lambda x: x != "")).alias("i", "text")).withColumn("i", F.col("i") + 1)
+def _words(spark, sf_dir, dealt=False):
+    w = _lines(spark, sf_dir, dealt).select(F.col("doc_id").alias("doc"), "n", F.posexplode(F.filter(F.split("line", " "), lambda x: x != "")).alias("i", "text")).withColumn("i", F.col("i") + 1)
     i, d, right = F.col("i"), F.col("doc"), (F.col("i") % 10 >= 5) & (F.col("doc") % 5 == 0)
     x = (F.when(right, 600).otherwise(0) + 60 * (i % 5)).cast("double")
     y = (2000 * F.col("n") + 12 * F.floor((i - 1) / 10) + F.when((d % 5 != 0) & (i % 10 >= 5), 6).otherwise(0)).cast("double")

@@ -39,9 +39,12 @@ def corpus_files(spark, sf_dir):
 
 @query("word_markup", f"WITH {WORDS} SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY word_no) - 1 AS word_no, x_min, x_max, y_min, text FROM words")
 def word_markup(spark, sf_dir):
-    w = _words(spark, sf_dir)
-    said = F.format_string('<word xMin="%s" yMin="%s" xMax="%s" yMax="%s">%s</word>', "x_min", "y_min", "x_max", "y_max", F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")))
-    pages = w.groupBy("doc", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", said.alias("s")))), lambda x: x["s"]), "").alias("s"))
+    w = _words(spark, sf_dir, dealt=True)
+    escaped = lambda t: F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    said = lambda x: F.format_string('<word xMin="%s" yMin="%s" xMax="%s" yMax="%s">%s</word>', x["x_min"], x["y_min"], x["x_max"], x["y_max"], escaped(x["text"]))
+    # Words become markup behind the grouping: as such they are ten times as large.
+    words = F.array_sort(F.collect_list(F.struct("word_no", "x_min", "x_max", "y_min", "y_max", "text")))
+    pages = w.groupBy("doc", "page").agg(F.array_join(F.transform(words, said), "").alias("s"))
     xml = pages.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "s"))), lambda x: F.concat(F.lit("<page>"), x["s"], F.lit('<word xMin="1">broken</word></page>'))), "\n").alias("xml"))
     got = documents.words_of_markup(xml.select(F.col("doc").cast("string").alias("doc"), "xml"))
     return got.select(F.col("doc").cast("long").alias("doc"), "page", "word_no", "x_min", "x_max", "y_min", "text")

@@ -94,6 +94,11 @@ def test_the_whole_run_reads_all_documents_with_the_default_options(spark, monke
     assert seen == {"docs": texts, "options": Options(), "corpora": {"benchmark", "conversations"}}
 
 
+def test_markup_moves_a_document_once(spark, capsys):
+    QUERIES["word_markup"](spark, SF).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+
+
 def test_lines_do_not_depend_on_how_the_words_are_planned(spark):
     """Words that come out of a join by the columns' keys, which may become a broadcast, give the lines of written ones."""
     from folioloom import catalogue
