@@ -1,176 +1,150 @@
 """Stupid-backoff scores of documents (Brants et al., 2007), each against all other documents.
 
-S(w | context) = f(context w) / f(context) if the n-gram occurs, else ALPHA * S(w | shorter context); the shortest is
-f(w) / N. A document's own n-grams do not count for it: f is the corpus count less the document's.
+S(w | context) = f(context w) / f(context) if the n-gram occurs, else ALPHA * S(w | shorter context); the shortest context is
+the empty n-gram, whose count is the number of words. A document's own n-grams do not count for it: f is the corpus count less the document's.
 
-n-grams are exploded, one row for each distinct one of a document, and counted into tables partitioned by their hash. A
-count also gets the counts of the n-gram's context, of its suffix, and of the suffix's context, by joins of the counts with themselves.
-The counts are joined to the exploded n-grams, and what each gives is summed for each document:
+Documents are dealt into blocks by hash. A block's distinct n-grams, with their counts in it, are exploded once, partitioned by their hash, and
+each gets its corpus count by a sum over all blocks that have it: the count table and its join to the exploded n-grams are one window, so an n-gram
+is shuffled once. What a block knows already (counts that no other block adds to) is left out; the others return to their block,
+where log scores are summed for each document.
 
-An n-gram occurs elsewhere only if its suffix does, so the log score of a word is that of its shortest n-gram plus, for each
-longer one that occurs, the difference from the one a word shorter. Each difference is a function of one row of the join.
-
-Both explosions are done in PASSES, each over one range of hashes, so that a fraction of the n-grams is in shuffle files at a time.
-Counting combines before it shuffles; the join leaves an n-gram that a large part of the documents have to the splitting of skewed partitions
-at run time. Different n-grams of one 64-bit hash count as one.
+An n-gram in every document is one row a block, so no partition has more of it than there are blocks. N-grams travel as one array for each block
+and part of the hashes, which saves bytes and nothing else: they are rows before they are counted, and an array may be as short as one.
+Different n-grams of one 64-bit hash count as one.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioloom.llm._common import BASE, as_bytes, bits_of, by_column, forget, hashes, mixed, written
-
-#: Longest n-gram, weight of a shorter context, ranges of hashes, and rows in an Arrow batch of exploded n-grams.
-ORDER, ALPHA, PASSES, BATCH = 2, 0.4, 4, 1 << 17
+from folioloom.llm._common import BASE, as_bytes, bits_of, hashes, lists, mixed, trim, written
 
-_NONE = np.zeros(0, np.uint64)
+#: Longest n-gram, weight of a shorter context, ranges of hashes that are counted one after the other, bytes of text in a block and for each partition of the counts.
+ORDER, ALPHA, PASSES, BLOCK_BYTES, PART_BYTES = 2, 0.4, 2, 8 << 20, 16 << 20
 
+#: Parts of the hashes for each partition, so that partitions are even; bytes of text below which neither blocks nor partitions are made smaller
+#: to keep all tasks busy; an n-gram's place in its block is in the low bits of `first` and `at`.
+PARTS, LEAST_BYTES, PLACE_BITS = 4, 1 << 20, 32
 
-def _schema(order: int, counting: bool) -> str:
-    """Columns of exploded n-grams. What only trigrams and longer ones need is left out where there are none."""
-    if counting:
-        return "gram long, m int, ctx long, suf long" + (", mid long" if order > 2 else "")
-    return "doc_id long, text_hash long, gram long, m int, own_ctx int, own_suf int" + (", own_mid int, top int" if order > 2 else "")
 
-
-def _grams(text: bytes, order: int) -> list[np.ndarray]:
-    """For m = 1 .. order, the hash of the m-gram that ends at each word from the m-th on."""
-    words = hashes(text.split())
+def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of a block's words: each one's document, its place in it, and the hash of the m-gram that ends with it (m = 1 ..)."""
+    each = [hashes(t.split()) for t in texts]  # words themselves are held for one document at a time
+    lengths = np.array([len(w) for w in each], np.int64)
+    doc = np.repeat(np.arange(len(each)), lengths)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    words = np.concatenate([np.zeros(0, np.uint64), *each])
     out, run = [], np.zeros(len(words), np.uint64)
     for m in range(1, order + 1):
-        if m > len(words):
-            out.append(_NONE)
-            continue
-        run = run[m > 1 :] + words[: len(words) - m + 1] * np.uint64(pow(BASE, m - 1, 1 << 64))
+        # The polynomial of the last m words: what is before a document's start is never used.
+        run[m - 1 :] += words[: max(len(words) - m + 1, 0)] * np.uint64(pow(BASE, m - 1, 1 << 64))
         out.append(mixed(run + np.uint64(m)))
-    return out
-
-
-def _exploded(order: int, part: int, parts: int, counting: bool):
-    """A function of Arrow batches of doc_id, text_hash, text: rows of the n-grams whose hash is in one range."""
-
-    def rows(text: bytes) -> Iterator[list[np.ndarray]]:
-        grams = _grams(text, order)
-        own = []  # how often the text has the m-gram at each place, of those that are a context or a suffix
-        for g in grams[: 0 if counting else order - 1]:
-            _, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
-            own.append(count[inverse])
-        for m, g in enumerate(grams, 1):
-            here = np.flatnonzero((g >> np.uint64(40)) % np.uint64(parts) == part)
-            if not len(here):
-                continue
-            key, at, count = np.unique(g[here], return_index=True, return_counts=True)
-            at = here[at]
-            none = np.zeros(len(at), np.uint64 if counting else np.int64)
-            # The m-gram at i: its context is the (m-1)-gram at i, its suffix the one at i + 1, their common middle at i + 1.
-            if counting:
-                ctx, suf = (grams[m - 2][at], grams[m - 2][at + 1]) if m > 1 else (none, none)
-                yield [key, count, ctx, suf] + ([grams[m - 3][at + 1] if m > 2 else none] if order > 2 else [])
-            else:
-                top = count if m == order else (at == 0).astype(np.int64)
-                ctx, suf = (own[m - 2][at], own[m - 2][at + 1]) if m > 1 else (none, none)
-                yield [key, count, ctx, suf] + ([own[m - 3][at + 1] if m > 2 else none, top] if order > 2 else [])
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _schema(order, counting).split(", ")
-        names, kinds = zip(*((f.split()[0], pa.int64() if f.endswith("long") else pa.int32()) for f in schema))
-
-        def batch(held: list[list[np.ndarray]], ids: list, repeats: list[int]) -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*held)]
-            out = [pa.array(bits_of(c) if c.dtype == np.uint64 else c, pa.int64()).cast(k) for c, k in zip(columns, kinds[len(kinds) - len(columns) :])]
-            if not counting:
-                where = pa.array(np.repeat(np.arange(len(ids)), repeats))
-                out = [pa.array([i[j] for i in ids], pa.int64()).take(where) for j in (0, 1)] + out
-            return pa.RecordBatch.from_arrays(out, names=names)
-
-        held, ids, repeats, n = [], [], [], 0
-        for doc_ids, text_hashes, texts in by_column(batches, "doc_id", "text_hash", "text"):
-            for doc_id, text_hash, text in zip(doc_ids.to_pylist(), text_hashes.to_pylist(), as_bytes(texts)):
-                for row in rows(text):
-                    held.append(row)
-                    ids.append((doc_id, text_hash))
-                    repeats.append(len(row[0]))
-                    n += len(row[0])
-                if n >= BATCH:
-                    yield batch(held, ids, repeats)
-                    held, ids, repeats, n = [], [], [], 0
-        if n:
-            yield batch(held, ids, repeats)
-
-    return explode
-
-
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for doc_ids, text_hashes, texts in by_column(batches, "doc_id", "text_hash", "text"):
-        yield pa.RecordBatch.from_arrays([doc_ids, text_hashes, pa.array([len(t.split()) for t in as_bytes(texts)], pa.int64())], names=["doc_id", "text_hash", "n_words"])
-
-
-def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES) -> DataFrame:
+    return doc, place, out
+
+
+def _counted(grams: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams and their counts, each occurrence as often as its document has copies."""
+    if (copies == 1).all():
+        return np.unique(grams, return_counts=True)
+    distinct, at = np.unique(grams, return_inverse=True)
+    counts = np.zeros(len(distinct), np.int64)
+    np.add.at(counts, at, copies)
+    return distinct, counts
+
+
+def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_backoff, log_score, mean_log_score: one row for each of docs, over its whole text.
 
     n_backoff is how many words had to do with a shorter context. A word that no other document has counts as 1 / (N + 1),
     N being the other documents' words. Without words log_score is 0 and mean_log_score null. Null text has no words. Repeated rows
-    are other documents to each other, and each has its row. A very long text is exploded whole, an empty table gives no rows. Other columns of docs are left out.
+    are other documents to each other, and each has its row; they are scored once. A very long text is exploded whole, an empty table gives no rows.
+    Other columns of docs are left out.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    sizes = written(d.mapInArrow(_sizes, "doc_id long, text_hash long, n_words long").groupBy("doc_id", "text_hash").agg(F.min("n_words").alias("n_words"), F.count("*").alias("copies")))
-    n = sizes.agg(F.sum(F.col("n_words") * F.col("copies"))).head()[0] or 0
-
-    wider = ["ctx", "suf", "mid"][: 3 if order > 2 else 2]
-
-    def counted(part: int) -> DataFrame:
-        """The n-grams of a range of hashes that more than one document has: no other can occur elsewhere."""
-        each = d.mapInArrow(_exploded(order, part, passes, True), _schema(order, True)).groupBy("gram")
-        c = each.agg(F.sum("m").alias("f"), F.count("*").alias("docs"), *[F.min(x).alias(x) for x in wider])
-        return written(c.where("docs > 1").drop("docs"))
-
-    ranges = [counted(p) for p in range(passes)]
-    f = reduce(DataFrame.union, ranges)
-    told = f
-    for name in wider:  # zero, a word's context, is no n-gram's hash but by chance
-        told = told.join(f.select(F.col("gram").alias(name), F.col("f").alias(f"f_{name}")), name, "left").drop(name)
-    told = written(told)
-    forget(*ranges)
-
-    def left(count: str, own: str) -> F.Column:
-        return F.log(F.col(count) - F.col(own))
-
-    longer = left("f", "m") - left("f_ctx", "own_ctx") - left("f_suf", "own_suf") - F.lit(math.log(alpha))
-    one = F.col("f_ctx").isNull()
-    two = ~one & (F.col("f_mid").isNull() if order > 2 else F.lit(True))
-    gain = F.when(one, left("f", "m")).when(two, longer)
-    gain = gain.otherwise(longer + left("f_mid", "own_mid")) if order > 2 else gain
-    top = F.col("top" if order > 2 else "m")
-
-    def summed(part: int) -> DataFrame:
-        each = d.mapInArrow(_exploded(order, part, passes, False), _schema(order, False))
-        found = each.join(told, "gram").where(F.col("f") > F.col("m"))
-        sums = {"gain": F.col("m") * gain, "known": F.when(one, F.col("m")), "pairs": F.when(two, F.col("m")), "top": F.when(~one, top)}
-        return written(found.groupBy("doc_id", "text_hash").agg(*[F.sum(v).alias(k) for k, v in sums.items()]))
-
-    parts = reduce(DataFrame.union, [summed(p) for p in range(passes)])
-    forget(told)
-    # Sums are over all copies of a row; a copy has its share of them.
-    all_ = sizes.withColumns({k: F.lit(None).cast(t) for k, t in parts.dtypes[2:]}).unionByName(parts.withColumns({"n_words": F.lit(None).cast("long"), "copies": F.lit(None).cast("long")}))
-    per = all_.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k, _ in parts.dtypes[2:]])
-    per = per.withColumns({k: F.col(k) / F.col("copies") for k, _ in parts.dtypes[2:]}).withColumn("others", F.lit(n) - F.col("n_words"))
-    able = reduce(lambda a, b: a + b, [F.greatest(F.col("n_words") - m, F.lit(0)) for m in range(1, order)], F.lit(0))
-    log = (
-        F.col("gain")
-        + able * math.log(alpha)
-        + (F.col("pairs") - F.col("known")) * F.log(F.greatest(F.col("others"), F.lit(1)))
-        - (F.col("n_words") - F.col("known")) * F.log(F.col("others") + 1)
-    )
-    backed = (F.greatest(F.col("n_words") - 1, F.lit(0)) if order > 1 else F.lit(0)) - F.col("top")
-    out = per.withColumn("log_score", log).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
-    return out.select("doc_id", "n_words", F.round(backed).cast("long").alias("n_backoff"), "log_score", mean.alias("mean_log_score"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    size = d.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    # A row goes from each block to each part, so there are no more of either than the texts need, whatever the number of shuffle partitions.
+    blocks, partitions = (max(1, min(n, -(-size // min(b, LEAST_BYTES))), -(-size // b)) for b in (block_bytes, PART_BYTES))
+    bits = (PARTS * partitions - 1).bit_length()
+    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    d = d.repartition(blocks, "block").groupBy("block", "doc_id", "text").agg(F.count("*").alias("copies"))
+
+    def exploded(part: int):
+        """A function of a block: its distinct n-grams and their counts, in order, cut where the first bits of the hash change."""
+
+        def explode(group: pa.Table) -> pa.Table:
+            doc, place, grams = _grams(as_bytes(group["text"].combine_chunks()), order)
+            copies = group["copies"].to_numpy()[doc]
+            first = group["block"][0].as_py() << PLACE_BITS
+            rows = []
+            for m in range(order + 1):
+                if m == 0:  # the empty n-gram, once for each word
+                    key, count = np.zeros(1, np.uint64), np.array([copies.sum()])
+                else:
+                    key, count = _counted(grams[m - 1][place >= m - 1], copies[place >= m - 1])
+                of = (key >> np.uint64(64 - bits)).astype(np.int64)
+                here = of % passes == part
+                parts, start, length = np.unique(of[here], return_index=True, return_counts=True)
+                at = first + np.flatnonzero(here)[start]
+                rows.append((parts, at, length, bits_of(key[here]), count[here].astype(np.int64)))
+                first += len(key)
+            parts, at, length, key, count = (np.concatenate(c) for c in zip(*rows))
+            out = pa.table({"part": pa.array(parts), "first": pa.array(at), "grams": lists(length, pa.array(key)), "counts": lists(length, pa.array(count))})
+            trim()
+            return out
+
+        return explode
+
+    def told(part: int) -> DataFrame:
+        """block, place, f: the corpus count of each n-gram of a block that others have too."""
+        runs = d.groupBy("block").applyInArrow(exploded(part), "part long, first long, grams array<long>, counts array<long>")
+        each = runs.repartition(partitions, "part").select("part", "first", "counts", F.posexplode("grams").alias("i", "gram"))
+        each = each.select("part", "gram", (F.col("first") + F.col("i")).alias("at"), F.col("counts")[F.col("i")].alias("n"))
+        f = each.withColumn("f", F.sum("n").over(Window.partitionBy("gram", "part"))).where("f > n")
+        return written(f.select(F.shiftright("at", PLACE_BITS).alias("block"), F.col("at").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("place"), "f"))
+
+    def judge(group: pa.Table, known: pa.Table) -> pa.Table:
+        doc, place, grams = _grams(as_bytes(group["text"].combine_chunks()), order)
+        of, copies = len(group), group["copies"].to_numpy()
+        n_words = np.bincount(doc, minlength=of)
+        where, f = known["place"].to_numpy(), known["f"].to_numpy()
+        by_place = np.argsort(where)
+        where, f = where[by_place], f[by_place]
+
+        def corpus(counts: np.ndarray, first: int) -> np.ndarray:
+            """Counts in all blocks, of n-grams whose counts in this one are given."""
+            a, b = np.searchsorted(where, (first, first + len(counts)))
+            counts = counts.astype(np.float64)
+            counts[where[a:b] - first] = f[a:b]
+            return counts
+
+        others = corpus(np.array([(n_words * copies).sum()]), 0)[0] - n_words[doc]
+        first, score, short, context = 1, 1 / (others + 1), np.zeros(len(doc), bool), others
+        for m, g in enumerate(grams):
+            able = np.flatnonzero(place >= m)
+            key, at = np.unique(g[able], return_inverse=True)
+            counts = np.bincount(at, copies[doc[able]], len(key))
+            _, own, mine = np.unique(doc[able] * len(key) + at, return_inverse=True, return_counts=True)
+            left = np.zeros(len(doc))  # what other documents have of the m-gram that ends at each word
+            left[able] = corpus(counts, first)[at] - mine[own]
+            first += len(key)
+            seen = left > 0
+            backed = score if m == 0 else np.where(place >= m, alpha * score, score)
+            score = np.where(seen, left / np.maximum(context, 1), backed)
+            if m:
+                short = np.where(seen, False, short | (place >= m))
+            context = np.concatenate([[0.0], left[:-1]])
+        log = np.bincount(doc, np.log(score), of).astype(np.float64)
+        n_backoff = np.bincount(doc, short, of).astype(np.int64)
+        trim()
+        return pa.table({"doc_id": group["doc_id"], "copies": group["copies"], "n_words": pa.array(n_words.astype(np.int64)), "n_backoff": pa.array(n_backoff), "log_score": pa.array(log)})
+
+    known = reduce(DataFrame.union, [told(p) for p in range(passes)])
+    out = d.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(judge, "doc_id long, copies long, n_words long, n_backoff long, log_score double")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.select("doc_id", "n_words", "n_backoff", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))

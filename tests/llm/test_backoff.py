@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -59,3 +60,35 @@ def test_passes_and_repeated_rows(spark):
         got = sorted((str(r.doc_id), r.n_words, r.n_backoff, round(r.log_score, 6)) for r in backoff.scores(df, 3, passes=passes).collect())
         assert [g[:3] for g in got] == [w[:3] for w in want]
         assert all(abs(g[3] - w[3]) < 1e-5 for g, w in zip(got, want))
+
+
+def test_shuffled_rows(spark):
+    """N-grams are shuffled once, by block: not exploded for each document, once to be counted and once to be joined."""
+    rng = random.Random(5)
+    texts = [" ".join(f"word{int(rng.paretovariate(0.6)) % 3000}" for _ in range(400)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def shuffled() -> int:
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    df.count()
+    before = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        assert backoff.scores(df).count() == 400
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled() - before < 200 * len(texts)
+
+
+def test_many_blocks_and_a_row_many_times(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(7, "a b c q")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_backoff, round(r.log_score, 6)) for r in backoff.scores(df, 3, passes=3, block_bytes=64).collect())
+    want = brute(rows, 3)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(abs(g[3] - w[3]) < 1e-5 * max(1, abs(w[3])) for g, w in zip(got, want))
