@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ WORDS = "doc string, page int, word_no long, x_min double, x_max double, y_min d
 _PAGE = re.compile(r"<page\b[^>]*>(.*?)</page>", re.S)
 _WORD = re.compile(r"<word\b([^>]*)>(.*?)</word>", re.S)
 _ATTRIBUTE = re.compile(r'(\w+)="([^"]*)"')
+#: Words that leave a task at once.
+AT_ONCE = 16_384
 
 
 def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,9 +43,9 @@ def corpus_files(spark: SparkSession, root: str) -> DataFrame:
 
 def parse_words(xml: str, doc: str) -> Iterator[tuple]:
     """Words with coordinates from bounding-box markup; empty and malformed ones are skipped."""
-    for page, body in enumerate(_PAGE.findall(xml), 1):
+    for page, body in enumerate(_PAGE.finditer(xml), 1):
         n = 0
-        for attributes, text in _WORD.findall(body):
+        for attributes, text in (w.groups() for w in _WORD.finditer(body[1])):
             at = dict(_ATTRIBUTE.findall(attributes))
             try:
                 box = [float(at[k]) for k in ("xMin", "xMax", "yMin", "yMax")]
@@ -54,14 +57,30 @@ def parse_words(xml: str, doc: str) -> Iterator[tuple]:
 
 
 def words_of_markup(df: DataFrame, doc_col: str = "doc", xml_col: str = "xml") -> DataFrame:
-    """Word rows of documents already converted to bounding-box markup."""
+    """Word rows of documents already converted to bounding-box markup.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in WORDS.split(", ")]
-        for b in batches:
-            yield pd.DataFrame([w for d, x in zip(b["doc"], b["xml"]) for w in parse_words(x or "", d)], columns=names)
+    One document's markup is read at a time, and words leave as they are found: what a task holds does not grow with the documents of a batch, nor with a document's words.
+    """
+    names, kinds = zip(*(c.split() for c in WORDS.split(", ")))
+    arrow = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
 
-    return df.select(F.col(doc_col).alias("doc"), F.col(xml_col).alias("xml")).mapInPandas(run, WORDS).withColumn("text", expand_ligatures(F.col("text")))
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        # A number that is none is null, as it is in pandas.
+        return pa.RecordBatch.from_arrays([pa.array(c, arrow[k], from_pandas=True) for c, k in zip(zip(*rows), kinds)], list(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for d, x in zip(b.column(0), b.column(1)):
+                for w in parse_words(x.as_py() or "", d.as_py()):
+                    rows.append(w)
+                    if len(rows) == AT_ONCE:
+                        yield told(rows)
+                        rows = []
+            if rows:
+                yield told(rows)
+
+    return df.select(F.col(doc_col).cast("string").alias("doc"), F.col(xml_col).alias("xml")).mapInArrow(run, WORDS).withColumn("text", expand_ligatures(F.col("text")))
 
 
 def pdf_markup(files: DataFrame, arguments: tuple[str, ...] = ("-bbox-layout",)) -> DataFrame:

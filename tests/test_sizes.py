@@ -80,3 +80,34 @@ def test_lines_and_paragraphs_are_dealt_once_and_never_joined(spark):
     lines = layout.group_lines(catalogue._words(spark, SF), ["doc", "page"], with_words=False)
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in (lines, layout.group_paragraphs(lines, ["doc", "page"]))]
     assert [p.count("Exchange") for p in plans] == [1, 2] and "Join" not in plans[1]
+
+
+def test_words_of_markup_leave_before_all_documents_of_a_batch_are_read():
+    """A task's memory: words of many documents, and of one long one, come in parts of a fixed size."""
+    import pyarrow as pa
+
+    from folioloom.sources import documents
+
+    word = '<word xMin="1" xMax="2" yMin="nan" yMax="4">w</word>'
+    xml = ["<page>" + word * 3_000 + "</page>"] * 40 + ["<page>" + word * 50_000 + "</page>", None]
+
+    class Frame:
+        """What stands for a table: the function that is run on its batches is kept."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def withColumn(self, *_):
+            return self
+
+    from unittest import mock
+
+    with mock.patch.object(documents, "F"), mock.patch.object(documents, "expand_ligatures"):
+        run = documents.words_of_markup(Frame()).run
+    out = list(run(iter([pa.RecordBatch.from_pydict({"doc": [str(i) for i in range(42)], "xml": xml})])))
+    assert max(b.num_rows for b in out) <= documents.AT_ONCE and sum(b.num_rows for b in out) == 40 * 3_000 + 50_000
+    assert out[0].column(5).null_count == out[0].num_rows  # yMin: not a number
