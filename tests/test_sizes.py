@@ -111,3 +111,57 @@ def test_words_of_markup_leave_before_all_documents_of_a_batch_are_read():
     out = list(run(iter([pa.RecordBatch.from_pydict({"doc": [str(i) for i in range(42)], "xml": xml})])))
     assert max(b.num_rows for b in out) <= documents.AT_ONCE and sum(b.num_rows for b in out) == 40 * 3_000 + 50_000
     assert out[0].column(5).null_count == out[0].num_rows  # yMin: not a number
+
+
+def test_columns_are_split_without_joins_as_the_cuts_say(spark):
+    """Words move once and are joined to nothing; columns are those of the cuts, also without coordinates, width, order or keys."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from folioloom.operators import layout
+
+    rng, rows = random.Random(3), []
+    for page in range(60):
+        for n in range(rng.choice([0, 1, 39, 40, 41, 120, 400])):
+            x = rng.choice([0, 0, 600, 1500, 2100]) + rng.choice([0.0, 0.25, 7.5]) * rng.randrange(40)
+            x1 = None if rng.random() < 0.01 else x + rng.choice([0.0, 50.0, 50.0, 120.0, -3.0 if page % 7 == 0 else 20.0])
+            rows.append((None if page % 11 == 5 else page % 4, page, n, None if rng.random() < 0.01 and page % 3 == 0 else x, x1, 1.0, 2.0, f"w{n}"))
+    words = spark.createDataFrame(rows, "doc long, page int, word_no long, x_min double, x_max double, y_min double, y_max double, text string")
+    want = words.withColumn("column", F.lit(""))
+    for _ in range(2):
+        joined = want.join(layout.column_cuts(want, ["doc", "page", "column"]), ["doc", "page", "column"], "left")
+        left = F.col("cut") - F.col("x_min") >= F.col("x_max") - F.col("cut")
+        want = joined.withColumn("column", F.concat("column", F.when(F.col("cut").isNull(), "").when(left, "L").otherwise("R"))).drop("cut").localCheckpoint()
+    got = layout.split_columns(words)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert {r.column for r in want.collect()} >= {"", "L", "R", "LL", "LR"}
+    plan = layout.split_columns(words)._jdf.queryExecution().executedPlan().toString()  # of one that has not run: a final plan is told beside the first
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_blocks_of_words_leave_no_words_behind(spark):
+    """Words are written twice at most at a time; once blocks are made, only the body's lines are left."""
+    from unittest import mock
+
+    from folioloom import catalogue
+    from folioloom.operators import layout
+    from folioloom.sources import store
+
+    left, most = set(), []
+
+    def written(df):
+        out = store.written(df)
+        left.add(out._written)
+        most.append(len(left))
+        return out
+
+    def forget(*tables):
+        left.difference_update(t._written for t in tables)
+        return real(*tables)
+
+    real = store.forget
+    with mock.patch.object(layout, "written", written), mock.patch.object(store, "forget", forget):
+        assert layout.blocks_from_words(catalogue._words(spark, "/root/testdata/sf0.001", dealt=True)).count()
+    assert max(most) == 2 and len(left) == 1
