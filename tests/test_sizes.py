@@ -165,3 +165,38 @@ def test_blocks_of_words_leave_no_words_behind(spark):
     with mock.patch.object(layout, "written", written), mock.patch.object(store, "forget", forget):
         assert layout.blocks_from_words(catalogue._words(spark, "/root/testdata/sf0.001", dealt=True)).count()
     assert max(most) == 2 and len(left) == 1
+
+
+def test_a_query_is_encoded_once(spark):
+    """The condition that a vector is there is not put below the encoder, and rows without one take no part."""
+    from pyspark.sql import functions as F
+
+    from folioloom.operators import retrieval
+    from folioloom.sources.store import written
+
+    texts = spark.createDataFrame([(str(i), "c", f"f{i}", f"text of {i} things") for i in range(50)], "id string, corpus string, source_file string, text string")
+    passages = written(retrieval.encode(texts, "text"))
+    best = retrieval.top_passages(passages, retrieval.encode(texts.select("id", "text"), "text"), k=2)
+    assert best._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.query for r in best.where("rank = 1 AND query = id").collect()} == {str(i) for i in range(50)}
+    some = lambda of: F.when(F.col("id").cast("int") % 3 != of, F.col("vector")).alias("vector")
+    left = retrieval.top_passages(passages.select("id", "corpus", some(0)), passages.select("id", some(1)), k=50, least=-1.0)
+    found = {(int(r.query), int(r.id)) for r in left.collect()}
+    assert found == {(a, b) for a in range(50) if a % 3 != 1 for b in range(50) if b % 3 != 0}
+
+
+def test_ngrams_are_counted_as_one_by_one():
+    import numpy as np
+    import xxhash
+
+    from folioloom.operators.retrieval import hashed_ngrams
+
+    texts = ["", "a", "Abra cadabra", "ﬁn — Ünï" * 40, " \n ", "x" * 5000]
+    want = np.zeros((len(texts), 256), np.float32)
+    for i, t in enumerate(texts):
+        t = f" {t.lower()} "
+        for j in range(max(1, len(t) - 2)):
+            h = xxhash.xxh64_intdigest(t[j : j + 3])
+            want[i, h % 256] += 1 if h >> 32 & 1 else -1
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)
+    assert (hashed_ngrams(texts) == want).all()
